@@ -17,14 +17,14 @@ VIEWS = {
                'data/' || substring(uid, 1, 7) || '/' || source || '_' || doc_id || '.' || lang
                  || '.txt' as path,
                n_chars as size, sha256(text) as content_hash,
-               doc_id * 1000 + case when doc_id % 11 = 0 then 1 else 0 end as mtime
+               doc_id * 1000 + n_chars % 2 as mtime, source, lang
         from (select *, sha256(source || ':' || doc_id) as uid from documents)""",
     "manifest_old": """
         select path,
-               case when doc_id % 7 = 0 then sha256(content_hash) else content_hash end
+               case when lang = 'de' then sha256(content_hash) else content_hash end
                  as content_hash,
                doc_id * 1000 as mtime
-        from artifacts where doc_id % 10 <> 0""",
+        from artifacts where source not in ('src3', 'src13')""",
     "present_files": """
         select uid, path, quality as length from artifacts join labels using (doc_id)""",
     "tasks_conv": """

@@ -50,4 +50,4 @@ def release(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
