@@ -12,7 +12,7 @@ from sluice.operators.skew import lookup, ordinal, scan_before
 
 BIN = 16384  # width of an index bin
 TILE = 4096  # positions of one contig that one task sweeps
-PIECE = 1000  # bases of a contig handled as one string
+PIECE = 64  # bases of a contig handled as one string
 
 
 def coord_sort(aln: DataFrame) -> DataFrame:
@@ -144,28 +144,23 @@ def placement_index(
     """
     span = (n_seeds - 1) * stride + k
     windows = split_windows(contigs.select("contig", "seq"), "seq", PIECE, span - 1)
-    starts = F.sequence(F.lit(1), F.col("own"))
     placed = windows.select(
+        "contig", "start", "seq", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("_i")
+    ).select(
         "contig",
-        "start",
-        "seq",
-        F.explode(starts).alias("_i"),
+        (F.col("start") + F.col("_i") - 1).alias("pos"),
+        F.col("seq").substr(F.col("_i"), F.lit(span)).alias("_word"),
     )
-    shapes: dict[str, tuple[int, ...]] = {}
-    for seeds in _spans(n_seeds, min_votes):
-        shapes.setdefault(_shape(seeds), tuple(s - seeds[0] for s in seeds))
+    shapes = {_shape(s): tuple(i - s[0] for i in s) for s in _spans(n_seeds, min_votes)}
 
-    def key(seeds):
-        room = F.col("_i") + (seeds[-1] * stride + k - 1) <= F.length("seq")
-        words = [F.col("seq").substr(F.col("_i") + s * stride, F.lit(k)) for s in seeds]
-        return F.when(
-            room, F.struct(F.lit(_shape(seeds)).alias("shape"), F.concat(*words).alias("seeds"))
-        )
+    def key(shape, seeds):
+        words = [F.substring("_word", s * stride + 1, k) for s in seeds]
+        packed = F.struct(F.lit(shape).alias("shape"), F.concat(*words).alias("seeds"))
+        return F.when(F.length("_word") >= seeds[-1] * stride + k, packed)
 
-    keys = F.array_compact(F.array(*[key(s) for s in shapes.values()]))
-    pos = F.col("start") + F.col("_i") - 1
+    keys = F.array_compact(F.array(*[key(*item) for item in shapes.items()]))
     return (
-        placed.select("contig", pos.alias("pos"), F.inline(keys))
+        placed.select("contig", "pos", F.inline(keys))
         .groupBy("shape", "seeds")
         .agg(F.min(F.struct("contig", "pos")).alias("place"))
         .select("shape", "seeds", "place.contig", "place.pos")

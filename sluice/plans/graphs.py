@@ -22,12 +22,12 @@ def dag_edges(spark, sf):
     "dag_junction",
     """with l as (select run_id, name, arg_max(uid, pos) as src from tasks_conv group by all),
             v as (select run_id, sha256(string_agg(src, '' order by
-                    case name when 'user' then 0 else 1 end)) as dst from l group by run_id)
+                    case name when 'system' then 0 when 'user' then 1 else 2 end)) as dst from l group by run_id)
        select run_id, src, dst from l join v using (run_id)""",
     ("tasks_conv",),
 )
 def dag_junction(spark, sf):
-    _, _, edges = graph.add_junction(t.tasks_conv(spark, sf), ["user", "assistant"])
+    _, _, edges = graph.add_junction(t.tasks_conv(spark, sf), ["system", "user", "assistant"])
     return edges
 
 

@@ -218,7 +218,7 @@ def kmer_count(spark, sf):
 )
 def kmer_count_text(spark, sf):
     """Substrings of the documents themselves, cut into windows first."""
-    windows = split_windows(t.table(spark, sf, "documents").select("text"), "text", 1000, K - 1)
+    windows = split_windows(t.documents(spark, sf, "text"), "text", align.PIECE, K - 1)
     return kmers.kmer_count(windows.withColumnRenamed("text", "seq"), K, canonical=False)
 
 

@@ -19,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Put a scan that comes in fewer partitions than there are cores on all of them.
+
+    Only tables of a few files need this; larger ones keep the partitions of their scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores, key) if few else df
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of the documents, ready for work that multiplies rows."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
 def _text(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("string")
 
@@ -133,7 +148,7 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "text").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
 
@@ -144,7 +159,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reference sequence per document: the low half of each byte picks the base."""
     low = F.regexp_replace(F.hex(F.encode("text", "utf-8")), "(?s).(.)", "$1")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "text").select(
         F.col("doc_id").alias("ord"),
         F.concat(F.lit("c"), _text("doc_id")).alias("contig"),
         F.translate(low, "0123456789ABCDEF", "ACGTACGTACGTACGT").alias("seq"),
