@@ -13,6 +13,7 @@ from sluice.operators.skew import lookup, ordinal, scan_before
 BIN = 16384  # width of an index bin
 TILE = 4096  # positions of one contig that one task sweeps
 PIECE = 64  # bases of a contig handled as one string
+LOW = 1 << 32  # a place is one number: order of the contig times this, plus position
 
 
 def coord_sort(aln: DataFrame) -> DataFrame:
@@ -132,23 +133,35 @@ def seed_index(contigs: DataFrame, k: int = 16) -> DataFrame:
     )
 
 
+def _place(order: Column, pos: Column) -> Column:
+    """One number that sorts like (order, position). Positions fit: no string is longer."""
+    too_many = F.raise_error(F.lit("contig order numbers must be below 2^31"))
+    checked = F.when(order < (1 << 31), order.cast("long")).otherwise(too_many.cast("long"))
+    return checked * LOW + pos
+
+
 def placement_index(
-    contigs: DataFrame, k: int = 16, stride: int = 27, n_seeds: int = 3, min_votes: int = 2
+    contigs: DataFrame,
+    k: int = 16,
+    stride: int = 27,
+    n_seeds: int = 3,
+    min_votes: int = 2,
+    order: str = "ord",
 ) -> DataFrame:
-    """First place of every combination of seeds: ``(shape, seeds, contig, pos)``.
+    """First place of every combination of seeds: ``(shape, seeds, place)``.
 
     A place that collects v votes matches some v of a read's seeds at the right distances,
     so the best place of a read is the first place of the largest such combination that
     occurs. Listing combinations, reduced to their first place before the shuffle, stands
     in for counting votes: a seed that occurs everywhere stays one row per combination.
+    ``order`` numbers the contigs; the place is kept as one number for a hash aggregation.
     """
     span = (n_seeds - 1) * stride + k
-    windows = split_windows(contigs.select("contig", "seq"), "seq", PIECE, span - 1)
+    windows = split_windows(contigs.select(order, "seq"), "seq", PIECE, span - 1)
     placed = windows.select(
-        "contig", "start", "seq", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("_i")
+        order, "start", "seq", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("_i")
     ).select(
-        "contig",
-        (F.col("start") + F.col("_i") - 1).alias("pos"),
+        _place(F.col(order), F.col("start") + F.col("_i") - 1).alias("place"),
         F.col("seq").substr(F.col("_i"), F.lit(span)).alias("_word"),
     )
     shapes = {_shape(s): tuple(i - s[0] for i in s) for s in _spans(n_seeds, min_votes)}
@@ -160,20 +173,21 @@ def placement_index(
 
     keys = F.array_compact(F.array(*[key(*item) for item in shapes.items()]))
     return (
-        placed.select("contig", "pos", F.inline(keys))
+        placed.select("place", F.inline(keys))
         .groupBy("shape", "seeds")
-        .agg(F.min(F.struct("contig", "pos")).alias("place"))
-        .select("shape", "seeds", "place.contig", "place.pos")
+        .agg(F.min("place").alias("place"))
     )
 
 
 def seed_map(
     reads: DataFrame,
     index: DataFrame,
+    contigs: DataFrame,
     k: int = 16,
     stride: int = 27,
     n_seeds: int = 3,
     min_votes: int = 2,
+    order: str = "ord",
 ) -> DataFrame:
     """Place every read where most of its seeds agree, the first such place on a tie.
 
@@ -185,8 +199,8 @@ def seed_map(
         room = F.length("seq") >= seeds[-1] * stride + k
         words = [F.substring("seq", s * stride + 1, k) for s in seeds]
         packed = F.struct(
-            F.lit(len(seeds)).alias("votes"),
-            F.lit(seeds[0] * stride).alias("shift"),
+            F.lit(len(seeds)).alias("_votes"),
+            F.lit(seeds[0] * stride).alias("_shift"),
             F.lit(_shape(seeds)).alias("shape"),
             F.concat(*words).alias("seeds"),
         )
@@ -195,22 +209,29 @@ def seed_map(
     keys = F.array_compact(F.array(*[key(s) for s in _spans(n_seeds, min_votes)]))
     asked = reads.select("read_id", "mate", F.inline(keys))
     hits = lookup(asked, index, ["shape", "seeds"])
-    best = F.min(
-        F.struct((-F.col("votes")).alias("_v"), "contig", (F.col("pos") - F.col("shift")).alias("pos"))
+    levels = range(n_seeds, min_votes - 1, -1)
+    start = F.col("place") - F.col("_shift")
+    firsts = [F.min(F.when(F.col("_votes") == v, start)).alias(f"_v{v}") for v in levels]
+    best = F.coalesce(*[F.col(f"_v{v}") for v in levels])
+    votes = F.coalesce(*[F.when(F.col(f"_v{v}").isNotNull(), v) for v in levels])
+    placed = (
+        hits.groupBy("read_id", "mate")
+        .agg(*firsts)
+        .select("read_id", "mate", best.alias("_best"), votes.alias("votes"))
+    )
+    exact = F.shiftright(F.col("_best") + LOW // 2, 32)
+    placed = placed.select(
+        "read_id",
+        "mate",
+        exact.alias(order),
+        (F.col("_best") - exact * LOW).alias("pos"),
+        "votes",
     )
-    placed = hits.groupBy("read_id", "mate").agg(best.alias("_best"))
+    named = lookup(placed, contigs.select(order, "contig"), [order])
     return (
         reads.select("read_id", "mate", "seq")
-        .join(placed, ["read_id", "mate"])
-        .select(
-            "read_id",
-            "mate",
-            "_best.contig",
-            "_best.pos",
-            F.length("seq").alias("len"),
-            "seq",
-            (-F.col("_best._v")).alias("votes"),
-        )
+        .join(named, ["read_id", "mate"])
+        .select("read_id", "mate", "contig", "pos", F.length("seq").alias("len"), "seq", "votes")
     )
 
 
@@ -227,17 +248,24 @@ def pileup(aln: DataFrame, contigs: DataFrame) -> DataFrame:
         "contig",
         F.posexplode(F.split("seq", "")).alias("_i", "base"),
         "pos",
-    ).select("contig", (F.col("pos") + F.col("_i")).alias("pos"), "base", F.lit(None).alias("ref"))
+    ).select("contig", (F.col("pos") + F.col("_i")).alias("pos"), "base", F.lit(None).alias("_ref"))
     windows = split_windows(contigs.select("contig", "seq"), "seq", PIECE)
     known = windows.select(
         "contig", "start", F.posexplode(F.split("seq", "")).alias("_i", "ref")
-    ).select("contig", (F.col("start") + F.col("_i")).alias("pos"), F.lit(None).alias("base"), "ref")
-    counts = [F.count_if(F.col("base") == b).alias(f"n_{b.lower()}") for b in "ACGT"]
+    ).select(
+        "contig",
+        (F.col("start") + F.col("_i")).alias("pos"),
+        F.lit(None).alias("base"),
+        F.ascii("ref").alias("_ref"),
+    )
+    names = [f"n_{b.lower()}" for b in "ACGT"]
+    counts = [F.count_if(F.col("base") == b).alias(n) for b, n in zip("ACGT", names)]
     return (
         seen.unionByName(known)
         .groupBy("contig", "pos")
-        .agg(F.max("ref").alias("ref"), F.count("base").alias("depth"), *counts)
-        .where("depth > 0 and ref is not null")
+        .agg(F.max("_ref").alias("_ref"), F.count("base").alias("depth"), *counts)
+        .where("depth > 0 and _ref is not null")
+        .select("contig", "pos", F.chr("_ref").alias("ref"), "depth", *names)
     )
 
 

@@ -48,13 +48,13 @@ def _map(reads, k, stride, n_seeds, min_votes):
     offsets = ", ".join(f"({i * stride})" for i in range(n_seeds))
     return f"""select read_id, mate, contig, pos, len(seq) as len, seq, votes from (
           select *, row_number() over (partition by read_id, mate
-                                       order by votes desc, contig, pos) as r
-          from (select read_id, mate, contig, i.p - o as pos, cast(count(*) as int) as votes
+                                       order by votes desc, ord, pos) as r
+          from (select read_id, mate, ord, contig, i.p - o as pos, cast(count(*) as int) as votes
                 from (select read_id, mate, o, substring(seq, o + 1, {k}) as word
                       from {reads} cross join (values {offsets}) v(o)
                       where o + {k} <= len(seq)) q
-                join ({_windows('(select contig, seq from contigs)', 'seq', k)}) i using (word)
-                group by read_id, mate, contig, i.p - o having count(*) >= {min_votes}))
+                join ({_windows('contigs', 'seq', k)}) i using (word)
+                group by read_id, mate, ord, contig, i.p - o having count(*) >= {min_votes}))
         join (select read_id, mate, seq from {reads}) using (read_id, mate)
         where r = 1"""
 
@@ -212,14 +212,20 @@ def kmer_count(spark, sf):
 
 @query(
     "kmer_count_text",
-    "select word as kmer, count(*) as n from ("
+    "select n, count(*) as n_kmers, min(kmer) as first_kmer, max(kmer) as last_kmer from ("
+    + "select word as kmer, count(*) as n from ("
     + _windows("(select doc_id, text from documents)", "text", K)
-    + ") group by word",
+    + ") group by word) group by n",
 )
 def kmer_count_text(spark, sf):
-    """Substrings of the documents themselves, cut into windows first."""
+    """Substrings of the documents themselves, reported per abundance."""
     windows = split_windows(t.documents(spark, sf, "text"), "text", align.PIECE, K - 1)
-    return kmers.kmer_count(windows.withColumnRenamed("text", "seq"), K, canonical=False)
+    counts = kmers.kmer_count(windows.withColumnRenamed("text", "seq"), K, canonical=False)
+    return counts.groupBy("n").agg(
+        F.count(F.lit(1)).alias("n_kmers"),
+        F.min("kmer").alias("first_kmer"),
+        F.max("kmer").alias("last_kmer"),
+    )
 
 
 @query(
@@ -331,9 +337,25 @@ def region_query(spark, sf):
     return align.region_query(t.aln(spark, sf), regions).select("region", "read_id", "mate", "pos")
 
 
-@query("depth", _depth("aln"), ("aln",))
+@query(
+    "depth",
+    f"""select contig, count(*) as n_pos, cast(sum(depth) as bigint) as bases,
+               max(depth) as deepest, cast(sum(pos * depth) as bigint) as weighted
+        from ({_depth('aln')}) group by contig""",
+    ("aln",),
+)
 def depth(spark, sf):
-    return align.depth(t.aln(spark, sf))
+    """Depth of every position, summed per contig."""
+    return _depth_report(align.depth(t.aln(spark, sf)))
+
+
+def _depth_report(df):
+    return df.groupBy("contig").agg(
+        F.count(F.lit(1)).alias("n_pos"),
+        F.sum("depth").alias("bases"),
+        F.max("depth").alias("deepest"),
+        F.sum(F.col("pos") * F.col("depth")).alias("weighted"),
+    )
 
 
 @query(
@@ -351,23 +373,29 @@ def sam_view(spark, sf):
 
 @query(
     "seed_index",
-    """select word as seed, count(*) as n, min({'contig': contig, 'pos': p}).contig as contig,
-              min({'contig': contig, 'pos': p}).pos as pos from ("""
-    + _windows("(select contig, seq from contigs)", "seq", 16)
-    + ") group by word",
+    """select contig, count(*) as n_places, count(distinct seed) as n_seeds,
+              cast(sum(pos) as bigint) as places, min(seed) as first_seed, max(seed) as last_seed
+       from (select contig, p as pos, word as seed from ("""
+    + _windows("contigs", "seq", 16)
+    + ")) group by contig",
     ("contigs",),
 )
 def seed_index(spark, sf):
-    first = F.min(F.struct("contig", "pos"))
+    """Every seed of every contig, reported per contig."""
     seeds = align.seed_index(t.contigs(spark, sf), 16)
-    counted = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), first.alias("_f"))
-    return counted.select("seed", "n", "_f.contig", "_f.pos")
+    return seeds.groupBy("contig").agg(
+        F.count(F.lit(1)).alias("n_places"),
+        F.count_distinct("seed").alias("n_seeds"),
+        F.sum("pos").alias("places"),
+        F.min("seed").alias("first_seed"),
+        F.max("seed").alias("last_seed"),
+    )
 
 
 @query("seed_map", _map("reads", **COARSE), ("reads",))
 def seed_map(spark, sf):
     index = align.placement_index(t.contigs(spark, sf), **COARSE)
-    return align.seed_map(t.reads(spark, sf), index, **COARSE)
+    return align.seed_map(t.reads(spark, sf), index, t.contigs(spark, sf), **COARSE)
 
 
 PILED = """select contig, count(*) as n_pos, cast(sum(depth) as bigint) as bases,
@@ -402,7 +430,7 @@ def consensus_call(spark, sf):
 
 def _mapper(contigs, name, setting):
     index = align.placement_index(contigs, **setting)
-    return Task(name, lambda df, **kw: align.seed_map(df, index, **kw), setting)
+    return Task(name, lambda df, **kw: align.seed_map(df, index, contigs, **kw), setting)
 
 
 def _two_mappers(spark, sf):
@@ -474,7 +502,7 @@ def variants_end_to_end(spark, sf):
                 {"cutoff": CUTOFF},
             ),
         ),
-        Task("map", lambda df: align.seed_map(df, index, **COARSE)),
+        Task("map", lambda df: align.seed_map(df, index, contigs, **COARSE)),
         Task("pile", lambda df: align.pileup(df, contigs)),
         Task("call", lambda df: align.call_variants(df)),
     )
@@ -483,22 +511,16 @@ def variants_end_to_end(spark, sf):
 
 @query(
     "depth_end_to_end",
-    f"""select 'coarse' as branch, contig, count(*) as n_pos, max(depth) as deepest,
-               cast(sum(pos * depth) as bigint) as weighted
+    f"""select 'coarse' as branch, contig, count(*) as n_pos, cast(sum(depth) as bigint) as bases,
+               max(depth) as deepest, cast(sum(pos * depth) as bigint) as weighted
         from ({_depth('(' + _map('reads', **COARSE) + ')')}) group by all
         union all
-        select 'fine', contig, count(*), max(depth), cast(sum(pos * depth) as bigint)
+        select 'fine', contig, count(*), cast(sum(depth) as bigint), max(depth),
+               cast(sum(pos * depth) as bigint)
         from ({_depth('(' + _map('reads', **FINE) + ')')}) group by all""",
     ("reads",),
 )
 def depth_end_to_end(spark, sf):
-    summary = Task(
-        "summary",
-        lambda df: df.groupBy("contig").agg(
-            F.count(F.lit(1)).alias("n_pos"),
-            F.max("depth").alias("deepest"),
-            F.sum(F.col("pos") * F.col("depth")).alias("weighted"),
-        ),
-    )
+    summary = Task("summary", lambda df: _depth_report(df))
     tree = chain(_two_mappers(spark, sf), Task("depth", lambda df: align.depth(df)), summary)
     return run(tree, t.reads(spark, sf).drop("qual"), share="table")
