@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.rows import split_windows
 from sluice.operators.skew import lookup, ordinal, scan_before
+from sluice.session import materialize
 
 BIN = 16384  # width of an index bin
 TILE = 4096  # positions of one contig that one task sweeps
@@ -148,7 +149,8 @@ def placement_index(
     min_votes: int = 2,
     order: str = "ord",
 ) -> DataFrame:
-    """First place of every combination of seeds: ``(shape, seeds, place)``.
+    """First place of every combination of seeds: ``(seeds, place)``, the
+    seeds led by their distances.
 
     A place that collects v votes matches some v of a read's seeds at the right distances,
     so the best place of a read is the first place of the largest such combination that
@@ -168,17 +170,23 @@ def placement_index(
 
     def key(shape, seeds):
         words = [F.substring("_word", s * stride + 1, k) for s in seeds]
-        packed = F.struct(F.lit(shape).alias("shape"), F.concat(*words).alias("seeds"))
-        return F.when(F.length("_word") >= seeds[-1] * stride + k, packed)
+        room = F.length("_word") >= seeds[-1] * stride + k
+        return F.when(room, F.concat(F.lit(f"{shape}:"), *words))
 
-    keys = F.array_compact(F.array(*[key(*item) for item in shapes.items()]))
+    keys = F.array(*[key(*item) for item in shapes.items()])
     return (
-        placed.select("place", F.inline(keys))
-        .groupBy("shape", "seeds")
+        placed.select("place", F.explode(keys).alias("seeds"))
+        .where("seeds is not null")
+        .groupBy("seeds")
         .agg(F.min("place").alias("place"))
     )
 
 
+def build_index(contigs: DataFrame, **setting) -> DataFrame:
+    """The placement index as a stored table, for as many mappings as needed."""
+    return materialize(placement_index(contigs, **setting), "index")
+
+
 def seed_map(
     reads: DataFrame,
     index: DataFrame,
@@ -201,14 +209,13 @@ def seed_map(
         packed = F.struct(
             F.lit(len(seeds)).alias("_votes"),
             F.lit(seeds[0] * stride).alias("_shift"),
-            F.lit(_shape(seeds)).alias("shape"),
-            F.concat(*words).alias("seeds"),
+            F.concat(F.lit(f"{_shape(seeds)}:"), *words).alias("seeds"),
         )
         return F.when(room, packed)
 
-    keys = F.array_compact(F.array(*[key(s) for s in _spans(n_seeds, min_votes)]))
-    asked = reads.select("read_id", "mate", F.inline(keys))
-    hits = lookup(asked, index, ["shape", "seeds"])
+    keys = F.array(*[key(s) for s in _spans(n_seeds, min_votes)])
+    asked = reads.select("read_id", "mate", F.inline(keys)).where("seeds is not null")
+    hits = lookup(asked, index, ["seeds"])
     levels = range(n_seeds, min_votes - 1, -1)
     start = F.col("place") - F.col("_shift")
     firsts = [F.min(F.when(F.col("_votes") == v, start)).alias(f"_v{v}") for v in levels]

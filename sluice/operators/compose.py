@@ -255,8 +255,9 @@ def _split_rows(df: DataFrame, rows: list[_RowLeaf], tag: str | None, out: str)
 
     names = list(rows[0].columns)
     kept = [c for c in df.columns if c not in names and c != tag]
-    went = F.inline(F.array_compact(F.array(*map(taken, rows))))
+    went = F.inline(F.array(*map(taken, rows)))
     wide = df.select(*kept, *([F.col(tag).alias("_tag")] if tag else []), went)
+    wide = wide.where("_name is not null")
     label = F.concat_ws(SEP, "_tag", "_name") if tag else F.col("_name")
     return wide.select(label.alias(out), *kept, *names)
 

@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.session import materialize, plan_bytes
+from sluice.session import bounded_bytes, materialize, plan_bytes
 
 BLOCK = 1 << 18  # rows of one ordered group that one task may see
 SALTS = 64  # pieces a hot key is cut into
 HOT_SHARE = 0.001  # a key is hot from this share of the rows, so at most 1000 are
+BROADCAST_BYTES = 8 << 20  # a side is broadcast only if it is known to be below this
 SALT_FROM_BYTES = 4 << 30  # below this size adaptive execution alone is enough
 
 
@@ -106,21 +107,28 @@ def lookup(
 ) -> DataFrame:
     """Join ``big`` to ``small``, which holds few rows per key, spreading big's hot keys.
 
-    Hot keys of ``big`` are found in one bounded-memory pass. Their rows get one of
-    ``SALTS`` salts and the matching rows of ``small`` are copied once per salt. The hash
-    of the key decides on both sides, so a false alarm costs copies, never results.
+    A ``small`` side of proven size is broadcast. Otherwise both sides are shuffled, as a
+    sort-merge join, which spills and which adaptive execution splits where it is skewed.
+    For a large ``big`` hot keys are found beforehand, in one bounded-memory pass. Their
+    rows get one of ``SALTS`` salts and the matching rows of ``small`` are copied once per
+    salt. The hash of the key decides on both sides, so a false alarm costs copies, never
+    results.
     """
     on = list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
+    size = bounded_bytes(small)
+    if not salt and size is not None and size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on, how)
     if salt is None:
         salt = plan_bytes(big) > SALT_FROM_BYTES
     hot = hot_hashes(big, on, share) if salt else []
+    small = small.hint("merge")
     if not hot:
         return big.join(small, on, how)
     is_hot = F.xxhash64(*on).isin(hot)
     spread = F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = big.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
-    right = small.withColumn("_salt", F.explode(copies))
+    right = small.withColumn("_salt", F.explode(copies)).hint("merge")
     return left.join(right, [*on, "_salt"], how).drop("_salt")

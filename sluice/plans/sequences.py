@@ -394,7 +394,7 @@ def seed_index(spark, sf):
 
 @query("seed_map", _map("reads", **COARSE), ("reads",))
 def seed_map(spark, sf):
-    index = align.placement_index(t.contigs(spark, sf), **COARSE)
+    index = align.build_index(t.contigs(spark, sf), **COARSE)
     return align.seed_map(t.reads(spark, sf), index, t.contigs(spark, sf), **COARSE)
 
 
@@ -429,7 +429,7 @@ def consensus_call(spark, sf):
 
 
 def _mapper(contigs, name, setting):
-    index = align.placement_index(contigs, **setting)
+    index = align.build_index(contigs, **setting)
     return Task(name, lambda df, **kw: align.seed_map(df, index, contigs, **kw), setting)
 
 
@@ -490,7 +490,7 @@ def variants_end_to_end(spark, sf):
     once.
     """
     contigs = t.contigs(spark, sf)
-    index = materialize(align.placement_index(contigs, **COARSE), "index")
+    index = align.build_index(contigs, **COARSE)
     paired = materialize(run(chain(*_prepared()), t.reads(spark, sf)), "paired")
     counts = materialize(kmers.kmer_count(paired, K), "counts")
     tree = chain(

@@ -51,3 +51,13 @@ def release(spark: SparkSession) -> None:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bounded_bytes(df: DataFrame) -> int | None:
+    """Upper estimate of ``df`` in bytes, or None where the estimate proves nothing.
+
+    Catalyst takes an exploded side for as small as its input, so a plan with a generator
+    has no bound until it is stored.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return None if "Generate " in plan else plan_bytes(df)
