@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.bases import fuzzy_regex
@@ -98,10 +98,13 @@ def adapter_clip(
 
 
 def paired_split(trimmed: DataFrame) -> DataFrame:
-    """Add ``output``: ``paired`` if both mates survived, else ``single``."""
-    mates = trimmed.groupBy("read_id").agg(F.count(F.lit(1)).alias("_mates"))
-    label = F.when(F.col("_mates") == 2, "paired").otherwise("single")
-    return trimmed.join(mates, "read_id").withColumn("output", label).drop("_mates")
+    """Add ``output``: ``paired`` if both mates survived, else ``single``.
+
+    A group is the at most two mates of one read, so the trimmed reads are computed and
+    shuffled once.
+    """
+    mates = F.count(F.lit(1)).over(Window.partitionBy("read_id"))
+    return trimmed.withColumn("output", F.when(mates == 2, "paired").otherwise("single"))
 
 
 def read_sam(spark: SparkSession, pattern: str) -> DataFrame:

@@ -170,7 +170,7 @@ def split_mates(spark, sf):
     ("reads",),
 )
 def interleave_mates(spark, sf):
-    mates = rd.split_mates(t.reads(spark, sf).drop("qual"))
+    mates = rd.split_mates(t.plain_reads(spark, sf))
     return rd.interleave(mates[1], mates[2]).select("slot", "read_id", "mate", "seq")
 
 
@@ -187,7 +187,7 @@ def quality_trim(spark, sf):
 
 @query("adapter_clip", _clip_sql(), ("reads",))
 def adapter_clip(spark, sf):
-    clipped = rd.adapter_clip(t.reads(spark, sf), ADAPTERS)
+    clipped = rd.adapter_clip(t.plain_reads(spark, sf), ADAPTERS)
     return clipped.select("read_id", "mate", "seq", "clip_at")
 
 
@@ -207,7 +207,7 @@ def paired_survival(spark, sf):
 
 @query("kmer_count", "select kmer, n from raw_counts", ("raw_counts",))
 def kmer_count(spark, sf):
-    return kmers.kmer_count(t.reads(spark, sf), K)
+    return kmers.kmer_count(t.plain_reads(spark, sf), K)
 
 
 @query(
@@ -236,7 +236,7 @@ def kmer_count_text(spark, sf):
     ("raw_counts",),
 )
 def kmer_read_filter(spark, sf):
-    reads = materialize(t.reads(spark, sf).drop("qual"), "reads")
+    reads = materialize(t.plain_reads(spark, sf), "reads")
     counts = materialize(kmers.kmer_count(reads, K), "counts")
     return kmers.filter_reads_by_kmer(reads, counts, K, cx=CX)
 
@@ -250,7 +250,7 @@ def kmer_read_filter(spark, sf):
     ("raw_counts",),
 )
 def kmer_abundance_trim(spark, sf):
-    reads = materialize(t.reads(spark, sf).drop("qual"), "reads")
+    reads = materialize(t.plain_reads(spark, sf), "reads")
     counts = materialize(kmers.kmer_count(reads, K), "counts")
     return kmers.trim_low_abundance(reads, counts, K, cutoff=CUTOFF)
 
@@ -264,7 +264,7 @@ def kmer_abundance_trim(spark, sf):
     ("raw_counts",),
 )
 def kmer_histogram(spark, sf):
-    return kmers.abundance_hist(kmers.kmer_count(t.reads(spark, sf), K))
+    return kmers.abundance_hist(kmers.kmer_count(t.plain_reads(spark, sf), K))
 
 
 @query(
@@ -275,7 +275,7 @@ def kmer_histogram(spark, sf):
     ("raw_counts",),
 )
 def kmer_sketch(spark, sf):
-    return kmers.kmer_sketch(t.reads(spark, sf), K)
+    return kmers.kmer_sketch(t.plain_reads(spark, sf), K)
 
 
 # alignment tables
@@ -395,7 +395,7 @@ def seed_index(spark, sf):
 @query("seed_map", _map("reads", **COARSE), ("reads",))
 def seed_map(spark, sf):
     index = align.build_index(t.contigs(spark, sf), **COARSE)
-    return align.seed_map(t.reads(spark, sf), index, t.contigs(spark, sf), **COARSE)
+    return align.seed_map(t.plain_reads(spark, sf), index, t.contigs(spark, sf), **COARSE)
 
 
 PILED = """select contig, count(*) as n_pos, cast(sum(depth) as bigint) as bases,
@@ -449,7 +449,7 @@ def _two_mappers(spark, sf):
     ("reads",),
 )
 def mapper_compare(spark, sf):
-    mapped = run(_two_mappers(spark, sf), t.reads(spark, sf).drop("qual"), share="table")
+    mapped = run(_two_mappers(spark, sf), t.plain_reads(spark, sf), share="table")
     at = F.concat("contig", F.lit(":"), F.col("pos").cast("string"))
     return compare(mapped.withColumn("at", at), ["read_id", "mate"], "at", ["coarse", "fine"])
 
@@ -523,4 +523,4 @@ def variants_end_to_end(spark, sf):
 def depth_end_to_end(spark, sf):
     summary = Task("summary", lambda df: _depth_report(df))
     tree = chain(_two_mappers(spark, sf), Task("depth", lambda df: align.depth(df)), summary)
-    return run(tree, t.reads(spark, sf).drop("qual"), share="table")
+    return run(tree, t.plain_reads(spark, sf), share="table")

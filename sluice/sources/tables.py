@@ -217,6 +217,11 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plain_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aligned pairs as raw reads without quality values."""
+    return aln(spark, sf_dir).select("read_id", "mate", "seq")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aligned pairs as raw reads with quality values 0 to 39 and a bad tail."""
     mate = _text("mate")
@@ -234,6 +239,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.transform(
         F.slice("noise", F.lit(1), F.col("len")),
         lambda c, i: F.when((i > 0) & (i < F.col("cut")), 24).otherwise(0)
-        + F.conv(c, 16, 10).cast("int"),
+        + F.ascii(c)
+        - F.when(c >= "a", 87).otherwise(48),
     )
     return once(rows, qual=quality).select("read_id", "mate", "seq", "qual")
