@@ -78,7 +78,6 @@ def stream_last_n(
     path = path or scratch_path(spark, "last")
     checkpoint = checkpoint or scratch_path(spark, "checkpoint")
     schema = events.schema
-    done: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
         known = batch
@@ -86,9 +85,18 @@ def stream_last_n(
             before = spark.read.schema(schema).parquet(f"{path}/version={number - 1}")
             known = before.unionByName(batch)
         last_n(known, n).write.mode("overwrite").parquet(f"{path}/version={number}")
-        done.append(number)
 
     _drain(events.writeStream.foreachBatch(write), checkpoint, timeout)
-    if not done:
-        raise ValueError("the stream has processed no batch")
-    return spark.read.schema(schema).parquet(f"{path}/version={max(done)}")
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/version={max(versions)}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(at)]
+    return [int(name.removeprefix("version=")) for name in names if name.startswith("version=")]

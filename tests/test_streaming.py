@@ -46,3 +46,5 @@ def test_restart_goes_on_where_it_stopped(spark, parts, tmp_path):
     second.where("event_id >= 500").coalesce(1).write.mode("append").parquet(first)
     got = streams.stream_last_n(stream(spark, first), 5, **where)
     assert rows(got) == rows(events.last_n(t.as_task_events(second), 5))
+    again = streams.stream_last_n(stream(spark, first), 5, **where)
+    assert rows(again) == rows(got)
