@@ -38,7 +38,8 @@ def scan_before(
     """
     group = list(group)
     keys = [*group, "_block"]
-    rows = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_value", value)
+    rows = df.withColumn("_block", F.expr(f"`{order}` div {int(block)}"))
+    rows = rows.withColumn("_value", value)
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys).orderBy(order)
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +61,7 @@ def scan_before(
         raise ValueError(f"unknown scan {how!r}")
     blocks = blocks.select(*keys, carried.alias("_carry"))
     return (
-        rows.join(blocks, keys, "left")
+        lookup(rows, blocks, keys, "left", salt=False)
         .withColumn("_here", here)
         .withColumn(out, result)
         .drop("_block", "_value", "_carry", "_here")

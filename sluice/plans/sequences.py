@@ -5,7 +5,7 @@ The reads tile every sequence about twice, so abundance limits are 1 and 2 here.
 
 from pyspark.sql import functions as F
 
-from sluice.functions.rows import split_windows
+from sluice.functions.rows import once, split_windows
 from sluice.operators import align, kmers
 from sluice.operators import reads as rd
 from sluice.operators.compose import Task, agreement, branch, chain, compare, run
@@ -326,8 +326,8 @@ def contig_index(spark, sf):
     ("aln",),
 )
 def region_query(spark, sf):
-    length = F.length("seq")
-    regions = t.contigs(spark, sf).select(
+    length = F.col("length")
+    regions = once(t.contigs(spark, sf), length=F.length("seq")).select(
         "contig",
         F.floor(length / 4 + 1).alias("start"),
         F.floor(length / 2 + 1).alias("end"),
