@@ -60,7 +60,8 @@ def last_n(events: DataFrame, n: int = 100, by: str = "uid", order: str = "seq")
     sends at most ``n`` rows per input partition.
     """
     newest = Window.partitionBy(by).orderBy(F.col(order).desc())
-    return events.withColumn("_rank", F.row_number().over(newest)).where(f"_rank <= {int(n)}").drop("_rank")
+    ranked = events.withColumn("_rank", F.row_number().over(newest))
+    return ranked.where(f"_rank <= {int(n)}").drop("_rank")
 
 
 def explode_lines(df: DataFrame, column: str, prefix: str, depth: int = 0) -> DataFrame:

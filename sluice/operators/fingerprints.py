@@ -84,7 +84,6 @@ def lineage_uid(
     rows = rows.withColumn("_l0", F.collect_list(uid).over(earlier))
     steps = rows.select(run, F.col(pos).cast("long").alias("_at"), F.col(uid).alias("_uid"))
     for level in range(1, levels + 1):
-        whole = steps.withColumn("_at", F.floor(F.col("_at") / width)).alias("steps")
         whole = (
             steps.withColumn("_slot", F.floor(F.col("_at") / width))
             .groupBy(run, "_slot")
@@ -95,9 +94,15 @@ def lineage_uid(
         parent = F.lit(0) if top else F.floor(F.col("_at") / width)
         before = Window.partitionBy(run, "_parent").orderBy("_at")
         before = before.rowsBetween(Window.unboundedPreceding, -1)
-        listed = whole.withColumn("_parent", parent).select(
-            run, F.col("_at").alias(f"_b{level - 1}"), F.collect_list("_uid").over(before).alias(f"_l{level}")
-        ).where(F.size(f"_l{level}") > 0)
+        listed = (
+            whole.withColumn("_parent", parent)
+            .select(
+                run,
+                F.col("_at").alias(f"_b{level - 1}"),
+                F.collect_list("_uid").over(before).alias(f"_l{level}"),
+            )
+            .where(F.size(f"_l{level}") > 0)
+        )
         rows = rows.join(listed, [run, f"_b{level - 1}"], "left")
         rows = rows.withColumn(f"_b{level}", F.floor(F.col(f"_b{level - 1}") / width))
         steps = whole

@@ -1,7 +1,5 @@
 """Queries on the event log, batch and streaming."""
 
-from pyspark.sql import functions as F
-
 from sluice.operators import events
 from sluice.plans.oracle import query
 from sluice.sources import tables as t

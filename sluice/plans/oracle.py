@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,17 +106,18 @@ NEEDS = {
 }
 
 
-def _with_needs(names: list[str], more: dict[str, list[str]]) -> list[str]:
+def _with_needs(names: Iterable[str]) -> list[str]:
     ordered: list[str] = []
     for name in names:
-        needed = _with_needs(more.get(name, NEEDS.get(name, [])), more)
-        ordered += [n for n in [*needed, name] if n not in ordered]
+        for view in [*_with_needs(NEEDS.get(name, [])), name]:
+            if view not in ordered:
+                ordered.append(view)
     return ordered
 
 
 def with_views(sql: str, *names: str) -> str:
     """``sql`` with the named derived views in front."""
-    ordered = _with_needs(list(names), {})
+    ordered = _with_needs(names)
     if not ordered:
         return sql
     ctes = ",\n".join(f"{n} as materialized ({VIEWS[n]})" for n in ordered)

@@ -35,7 +35,10 @@ def glob_scan(spark: SparkSession, pattern: str, fmt: str = "text", **options) -
 
 
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """Path, size, time and content hash of every file matching ``pattern``."""
+    """Path, size, time and content hash of every file matching ``pattern``.
+
+    A file is hashed as one value, so it must be below 2 GB, as part files are.
+    """
     files = glob_scan(spark, pattern, "binaryFile")
     return files.select(
         "path",

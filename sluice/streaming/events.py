@@ -71,6 +71,7 @@ def stream_last_n(
 ) -> DataFrame:
     """The newest ``n`` events per task, kept as a table with one version per micro-batch.
 
+    The version before last is dropped: a batch that is run again needs only the last one.
     A batch is cut to ``n`` rows per task before it meets the previous version, with the
     rank limit applied ahead of the shuffle, so a busy task costs no more than others.
     """
@@ -85,6 +86,9 @@ def stream_last_n(
             before = spark.read.schema(schema).parquet(f"{path}/version={number - 1}")
             known = before.unionByName(batch)
         last_n(known, n).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     _drain(events.writeStream.foreachBatch(write), checkpoint, timeout)
     versions = _versions(spark, path)

@@ -37,6 +37,12 @@ def test_last_n(spark, parts):
     assert rows(got) == rows(events.last_n(t.as_task_events(spark.read.parquet(parts)), 5))
 
 
+def test_only_two_versions_are_kept(spark, parts, tmp_path):
+    path = tmp_path / "out"
+    streams.stream_last_n(stream(spark, parts), 5, path=str(path))
+    assert len(list(path.glob("version=*"))) == 2
+
+
 def test_restart_goes_on_where_it_stopped(spark, parts, tmp_path):
     first, second = str(tmp_path / "in"), spark.read.parquet(parts)
     early = second.where("event_id < 500").coalesce(1)
