@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.llm.exact import exact_groups
+from sluice.llm.language import identify, train
 from sluice.llm.licences import license_scan
+from sluice.llm.packing import pack, token_pieces
 from sluice.llm.quality import COUNTS, learn_rules, quality_verdicts, text_statistics
 from sluice.session import materialize
 
@@ -48,3 +52,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = materialize(text_statistics(read(spark, sf_dir, "documents")), "statistics")
     rules = learn_rules(counts, read(spark, sf_dir, "labels"))
     return quality_verdicts(counts, rules).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
+@query
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = train(docs.where(~held_out))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(read(spark, sf_dir, "documents"))
+
+
+def packed_pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of all documents with the checksum of their ids and their places."""
+    pieces = token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(materialize(narrow, "pieces"), ["doc_id", "piece", "ids_crc32"])
