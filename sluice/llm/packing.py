@@ -63,17 +63,27 @@ class WordEncoder:
     def _learn(self, parts: list[str]) -> None:
         """Remember the ids of parts that are one word to the tokenizer."""
         ids, sizes = [self.ids], [self.sizes]
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
+
+        def keep(some: list[str], own: list[int], lengths: list[int]) -> None:
+            self.parts.update(zip(some, range(len(self.parts), len(self.parts) + len(some)), strict=True))
+            ids.append(np.array(own, np.uint32))
+            sizes.append(np.array(lengths, np.int64))
+
+        # Lowered ASCII is what it is to the normaliser: straight to the merges.
+        merges = self.tokenizer.model.tokenize
+        plain = [p for p in parts if p.isascii()]
+        single = [[t.id for t in merges(p)] for p in plain]
+        keep(plain, [i for one in single for i in one], [len(one) for one in single])
+        other = [p for p in parts if not p.isascii()]
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
             own = np.array(self.raw(" ".join(some)), np.uint32)
             ends = np.flatnonzero(self.closes[own]) + 1
-            if len(ends) != len(some) or ends[-1] != len(own):
+            if len(ends) == len(some) and ends[-1] == len(own):
+                keep(some, own, np.diff(ends, prepend=0))
+            else:
                 single = [self.raw(part) for part in some]
-                own = np.array([i for one in single for i in one], np.uint32)
-                ends = np.cumsum([len(one) for one in single])
-            self.parts.update(zip(some, range(len(self.parts), len(self.parts) + len(some)), strict=True))
-            ids.append(own)
-            sizes.append(np.diff(ends, prepend=0))
+                keep(some, [i for one in single for i in one], [len(one) for one in single])
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
