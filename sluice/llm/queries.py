@@ -13,6 +13,7 @@ from sluice.llm.language import identify, train
 from sluice.llm.licences import license_scan
 from sluice.llm.packing import pack, token_pieces
 from sluice.llm.quality import COUNTS, learn_rules, quality_verdicts, text_statistics
+from sluice.llm.setsketch import near_groups
 from sluice.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,8 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     pieces = token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialize(narrow, "pieces"), ["doc_id", "piece", "ids_crc32"])
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents")).drop("text_hash")
