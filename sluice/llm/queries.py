@@ -14,6 +14,7 @@ from sluice.llm.licences import license_scan
 from sluice.llm.packing import pack, token_pieces
 from sluice.llm.quality import COUNTS, learn_rules, quality_verdicts, text_statistics
 from sluice.llm.setsketch import near_groups
+from sluice.llm.substrings import remove_repeats
 from sluice.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,9 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = remove_repeats(read(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
