@@ -3,17 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.llm.exact import exact_owners
+from sluice.llm.language import NONE, identify, train
+from sluice.llm.mixing import mix, tempered_targets, tokens_of, topic_of
+from sluice.llm.queries import packed_pieces
+from sluice.llm.setsketch import drop_near_copies
 from sluice.session import materialize
 
+#: Expected share of all tokens that the mixing stage samples.
+KEEP = 0.8
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without any language go; a missing language is filled in."""
+    judged = identify(docs, train(docs), carry=docs.columns).where(F.col("lang_pred") != NONE)
+    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return exact_owners(docs).select(*docs.columns)
 
 
-STAGES = [("exact_dedup", distinct_texts)]
+def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id stays."""
+    return drop_near_copies(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics meet tempered shares."""
+    classed = docs.withColumn("_topic", topic_of(F.col("text"))).withColumn("_tokens", tokens_of(F.col("text")))
+    narrow = materialize(classed.select("source", "lang", "_topic", "_tokens"), "classes")
+    targets = tempered_targets(narrow, ["source", "lang", "_topic"], "_tokens")
+    return mix(classed, targets, "_tokens", KEEP, cells=narrow).where("sampled").select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequence and place."""
+    return packed_pieces(docs)
+
+
+STAGES = [
+    ("language", known_language),
+    ("exact_dedup", distinct_texts),
+    ("near_dedup", distinct_contents),
+    ("mixing", mixed_sources),
+    ("packing", packed_sequences),
+]
 
 #: Tries, sketches, raking and packing are not expressible in SQL.
 ORACLE_SQL = None

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm.bytewords import flat, slices, word_spans
 
@@ -169,13 +170,18 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     floor: float = 0.01,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Id, ``lang_pred``, ``score`` (its share) and ``mixture`` (language to share) of every row.
+    """Adds ``lang_pred``, ``score`` (its share) and ``mixture`` (language to share) to every row.
+
+    The columns ``carry`` (the id alone if none are given) come along unchanged, but for any
+    that have one of the new names.
 
     A text that is null or has no letter is ``und`` with score 0 and an empty mixture; so is
     every text if the model knows no language. Shares below ``floor`` are not listed.
     """
-    names = sorted(model)
+    carried = [c for c in carry or [id_col] if c not in ("lang_pred", "score", "mixture")]
+    width, names = len(carried), sorted(model)
     tables = np.array([model[n] for n in names], np.float32).reshape(len(names), CODES)
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # CODES numbers for each language
 
@@ -184,8 +190,8 @@ def identify(
             tables = shared.value
             rows = batch.num_rows
             share = np.zeros((rows, max(len(names), 1)))
-            data, offsets = flat(pc.utf8_lower(batch.column(1)))
-            known = np.array(batch.column(2).to_pylist(), bool)
+            data, offsets = flat(pc.utf8_lower(batch.column(width)))
+            known = np.array(batch.column(width + 1).to_pylist(), bool)
             for first, last in slices(offsets) if len(names) else ():
                 part = data[offsets[first] : offsets[last]]
                 codes, begin, word_at = trigram_codes(part, offsets[first : last + 1] - offsets[first])
@@ -203,20 +209,20 @@ def identify(
             ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:width],
                     pa.array([names[k] if ok else NONE for k, ok in zip(top, known, strict=True)]),
                     pa.array(np.where(known, np.minimum(value, 1.0), 0.0)),
                     pa.array(mixtures, pa.map_(pa.string(), pa.float64())),
                 ],
-                names=["_id", "lang_pred", "score", "mixture"],
+                names=[*(f"_c{k}" for k in range(width)), "lang_pred", "score", "mixture"],
             )
 
     text = F.col(f"`{text_col}`")
-    narrow = docs.select(
-        F.col(f"`{id_col}`").alias("_id"),
+    new = "lang_pred string, score double, mixture map<string,double>"
+    fields = [T.StructField(f"_c{k}", docs.schema[c].dataType) for k, c in enumerate(carried)]
+    out = docs.select(
+        *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carried)],
         text.alias("_text"),
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"),
-    )
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = narrow.mapInArrow(judge, f"_id {kind}, lang_pred string, score double, mixture map<string,double>")
-    return out.withColumnRenamed("_id", id_col)
+    ).mapInArrow(judge, T.StructType([*fields, *T.StructType.fromDDL(new)]))
+    return out.withColumnsRenamed({f"_c{k}": c for k, c in enumerate(carried)})

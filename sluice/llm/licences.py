@@ -127,7 +127,7 @@ _SINGLE = [
     ("bsd", "original bsd licen[cs]e", "bsd-4-clause", VERSIONED),
     ("bsd", "bsd (?:style )?licen[cs]e", "bsd", NAMED),
     ("redistribution and use", "redistribution and use in source and binary forms", "bsd", FAMILY),
-    ("isc", "isc licen[cs]e", "isc", NAMED),
+    ("isc licen", "isc licen[cs]e", "isc", NAMED),
     ("permission to use", "permission to use copy modify and (?:or )?distribute", "isc", FAMILY),
     ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib", NAMED),
     ("unlicense", "(?:the )?unlicense", "unlicense", NAMED),
@@ -184,15 +184,21 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat both id and text give their spans once. A null text has none.
     """
     keywords = sorted({k for _, k, _, _, _ in signature_rules()})
-    low = F.lower("_text")
-    # A keyword of two words may be split by any separators, so its words are looked for one by one.
-    tests = [
-        F.when(_all(F.contains(low, F.lit(w)) for w in keyword.split()), F.lit(keyword))
-        for keyword in keywords
-    ]
+
+    def likely(low: Column) -> Column:
+        # A keyword of two words may be split by any separators, so its words are looked for
+        # one by one.
+        tests = [
+            F.when(_all(F.contains(low, F.lit(w)) for w in keyword.split()), F.lit(keyword))
+            for keyword in keywords
+        ]
+        return F.array_compact(F.array(*tests))
+
+    # The lambda binds the lowered text, so it is made once and not once for each keyword.
+    hits = F.transform(F.array(F.lower("_text")), likely)[0]
     gated = (
         docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-        .withColumn("_likely", F.array_compact(F.array(*tests)))
+        .withColumn("_likely", hits)
         .where("size(_likely) > 0")
         .withColumn("_hash", F.xxhash64("_text"))
         .withColumn(
@@ -203,7 +209,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ),
         )
         .select("_id", "_hash", "_words", F.explode("_likely").alias("_keyword"))
-        .where(F.contains("_words", "_keyword"))
+        .where(F.contains("_words", F.concat(F.lit(" "), "_keyword")))
     )
     rules = F.broadcast(_rule_table(docs.sparkSession))  # a fixed table of a few hundred rows
     matched = (

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.exact import exact_groups
+from sluice.llm.gru import score_texts
 from sluice.llm.language import identify, train
+from sluice.llm.layout import extract_text
 from sluice.llm.licences import license_scan
+from sluice.llm.mixing import mix, tempered_targets, tokens_of, topic_of
 from sluice.llm.packing import pack, token_pieces
 from sluice.llm.quality import COUNTS, learn_rules, quality_verdicts, text_statistics
 from sluice.llm.setsketch import near_groups
@@ -85,3 +88,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = remove_repeats(read(spark, sf_dir, "documents"))
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    narrow = read(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", topic_of(text).alias("topic"), tokens_of(text).alias("tokens")
+    )
+    narrow = materialize(narrow, "classes")
+    targets = tempered_targets(narrow, ["source", "lang", "topic"], "tokens")
+    return mix(narrow, targets, "tokens")
+
+
+@query
+def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    scored = score_texts(docs, docs.where(~held_out))
+    return scored.withColumn("held_out", held_out)
+
+
+@query
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))

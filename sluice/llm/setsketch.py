@@ -31,6 +31,7 @@ from sluice.llm.bytewords import (
     word_spans,
 )
 from sluice.llm.components import components
+from sluice.llm.sieve import sieve
 from sluice.session import materialize
 
 SHINGLE = 5
@@ -398,3 +399,22 @@ def near_groups(
         component.alias("component_id"),
         F.col("_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_groups` keeps, with all their columns."""
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")))
+    gone = near_groups(docs, id_col, text_col, threshold).where("not kept")
+    gone = gone.select(F.col(f"`{id_col}`").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
+    gone = materialize(gone, "gone")
+    may = sieve(gone, F.xxhash64("_gone", "_gone_hash"))
+    unsure = docs.where(may(key))
+    left = unsure.join(
+        gone,
+        F.col(f"`{id_col}`").eqNullSafe(F.col("_gone"))
+        & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_gone_hash")),
+        "left_anti",
+    )
+    return docs.where(~may(key)).union(left)
