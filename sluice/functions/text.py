@@ -25,17 +25,25 @@ def line_count(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def to_letters(df: DataFrame, column: str = "line") -> DataFrame:
-    """Integer prefix of each line, modulo 65, as ``code`` and ``letter``; others drop out."""
-    prefix = F.regexp_extract(column, r"^\s*([+-]?[0-9]+)", 1)
-    number = F.expr("try_cast(_prefix as decimal(38,0))")
-    code = (F.col("_number") % LETTER_MODULUS).cast("int")
+    """Integer prefix of each line, modulo 65, as ``code`` and ``letter``; others drop out.
+
+    The remainder is folded over the digits, so a number may have any length. A negative
+    number has a negative code, whose letter is that of its 16-bit unit.
+    """
+    sign = F.when(F.startswith("_prefix", F.lit("-")), -1).otherwise(1)
+    digits = F.split(F.regexp_replace("_prefix", "[+-]", ""), "")
+    folded = F.aggregate(
+        digits,
+        F.lit(0),
+        lambda rest, digit: (rest * 10 + F.coalesce(digit.try_cast("int"), F.lit(0))) % LETTER_MODULUS,
+    )
+    unit = F.lpad(F.hex(F.pmod("code", F.lit(UTF16_UNITS))), 4, "0")
     return (
-        df.withColumn("_prefix", prefix)
-        .withColumn("_number", number)
-        .where("_number is not null")
-        .withColumn("code", code)
-        .withColumn("letter", F.chr(F.pmod("code", F.lit(UTF16_UNITS))))
-        .drop("_prefix", "_number")
+        df.withColumn("_prefix", F.regexp_extract(column, r"^\s*([+-]?[0-9]+)", 1))
+        .where("_prefix != ''")
+        .withColumn("code", (sign * folded).cast("int"))
+        .withColumn("letter", F.decode(F.unhex(unit), "UTF-16BE"))
+        .drop("_prefix")
     )
 
 

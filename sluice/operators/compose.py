@@ -117,14 +117,18 @@ class Chain:
 class Merge:
     members: Mapping[str, Any]
     key: tuple[str, ...] = ()
+    how: str = "outer"
 
     @property
     def uid(self) -> str:
         return fp.members_uid(m.uid for m in self.members.values())
 
-    def on(self, *key: str) -> Merge:
-        """Join the members on ``key``; each member's other columns get its name as prefix."""
-        return replace(self, key=key)
+    def on(self, *key: str, how: str = "outer") -> Merge:
+        """Join the members on ``key``; each member's other columns get its name as prefix.
+
+        A key that one member lacks has nulls there; ``how`` may name another kind of join.
+        """
+        return replace(self, key=key, how=how)
 
 
 @dataclass(frozen=True)
@@ -311,7 +315,7 @@ def _expand(node, leaf: Leaf, share: str) -> Iterator[Leaf]:
             for name, m in node.members.items()
         }
         uid = fp.members_uid(r.lineage[-1] for rs in results.values() for r in rs)
-        joined = _joined(results, node.key) if node.key else _stacked(results)
+        joined = _joined(results, node.key, node.how) if node.key else _stacked(results)
         yield replace(leaf, df=joined, lineage=(*leaf.lineage, uid))
     else:
         raise TypeError(f"not a step: {node!r}")
@@ -326,14 +330,14 @@ def _stacked(results: Mapping[str, list[Leaf]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _joined(results: Mapping[str, list[Leaf]], key: Sequence[str]) -> DataFrame:
+def _joined(results: Mapping[str, list[Leaf]], key: Sequence[str], how: str) -> DataFrame:
     parts = []
     for name, rs in results.items():
         for r in rs:
             label = "_".join((name, *r.path))
             others = [F.col(c).alias(f"{label}_{c}") for c in r.df.columns if c not in key]
             parts.append(r.df.select(*key, *others))
-    return reduce(lambda a, b: a.join(b, list(key), "inner"), parts)
+    return reduce(lambda a, b: a.join(b, list(key), how), parts)
 
 
 def expand(node, df: DataFrame, share: str = "plan") -> list[Leaf]:
@@ -395,11 +399,17 @@ def compare(
 ) -> DataFrame:
     """Values of each branch side by side per key, and whether all of them agree.
 
-    A key missing from a branch has null there; null agrees with null only.
+    A key missing from a branch has null there; null agrees with null only. Two rows of one
+    branch for the same key cannot be compared and are an error.
     """
-    sides = [
-        F.max(F.when(F.col(out) == name, F.col(value))).alias(f"{value}_{name}") for name in names
-    ]
+
+    def side(name: str) -> Column:
+        own = F.col(out) == name
+        twice = F.raise_error(F.lit(f"branch {name} has several rows for one key"))
+        only = F.max(F.when(own, F.col(value)))
+        return F.when(F.count_if(own) > 1, twice).otherwise(only).alias(f"{value}_{name}")
+
+    sides = [side(name) for name in names]
     wide = branched.groupBy(*key).agg(*sides)
     first, *rest = [F.col(f"{value}_{name}") for name in names]
     return wide.withColumn("agree", reduce(lambda a, c: a & c.eqNullSafe(first), rest, F.lit(True)))

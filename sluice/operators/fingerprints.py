@@ -1,116 +1,114 @@
-"""Fingerprints of groups and runs, and tables keyed by fingerprint."""
+"""Fingerprints of groups and runs, and tables keyed by fingerprint.
+
+A hash over a sequence cannot be split, so the members of a group are brought together once,
+sorted by Spark, and hashed as they stream by: a task holds one hash state and one batch of
+rows, however long the group is.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from sluice.functions.fingerprint import fold_uid_of, run_uid_of
-
-MEMBERS = 4096  # members hashed as one string
-LEVELS = 3
-STEPS = 64  # steps of a run that a lineage lists one by one
+from pyspark.sql import types as T
 
 
-def _in_order(order: str, uid: str) -> Column:
-    pairs = F.array_sort(F.collect_list(F.struct(order, uid)))
-    return F.transform(pairs, lambda p: p[uid])
+def _gathered(df: DataFrame, key: Sequence[str], order: str, uid: str) -> DataFrame:
+    return df.repartition(*key).sortWithinPartitions(*key, order, uid)
 
 
-def _tree(
-    df: DataFrame,
-    key: Sequence[str],
-    order: str,
-    uid: str,
-    combine: Callable[[Column], Column],
-    out: str,
-    width: int,
-    levels: int,
+def _one_per_group(
+    df: DataFrame, key: Sequence[str], order: str, uid: str, out: str, start: Callable, step: Callable, end: Callable
 ) -> DataFrame:
-    """Combine the uids of a group in order, ``width`` neighbours at a time.
+    """One value per group: ``start()``, then ``step(state, uid)`` in order, then ``end(state)``.
 
-    A group whose orders lie below ``width`` is combined in one piece; a longer one by
-    combining the results of its pieces, so no task ever holds a whole long group.
+    Rows of equal order are taken by uid; a null uid is passed over. An empty table gives an
+    empty result, and a group whose uids are all null the value of no members.
     """
     key = list(key)
-    rows = df.select(*key, F.col(order).cast("long").alias("_at"), F.col(uid).alias("_uid"))
-    for level in range(levels + 1):
-        slot = F.floor(F.col("_at") / width) if level < levels else F.lit(0)
-        grouped = rows.withColumn("_slot", slot).groupBy(*key, "_slot")
-        packed = grouped.agg(_in_order("_at", "_uid").alias("_uids"))
-        joined = combine(F.col("_uids"))
-        if level:
-            joined = F.when(F.size("_uids") == 1, F.get("_uids", F.lit(0))).otherwise(joined)
-        rows = packed.select(*key, F.col("_slot").alias("_at"), joined.alias("_uid"))
-    return rows.select(*key, F.col("_uid").alias(out))
-
-
-def group_uid(
-    df: DataFrame, key: Sequence[str], order: str, uid: str = "uid", width: int = MEMBERS
-) -> DataFrame:
-    """``H`` of the members' uids in order, one row per group."""
-    return _tree(
-        df, key, order, uid, lambda uids: F.sha2(F.array_join(uids, ""), 256), "group_uid",
-        width, LEVELS,
-    )
+    rows = _gathered(df.select(*key, F.col(order).alias("_at"), F.col(uid).alias("_uid")), key, "_at", "_uid")
+    width = len(key)
 
+    def fold(batches):
+        group, state, types = None, None, []
 
-def fold_uid(
-    df: DataFrame, key: Sequence[str], order: str, uid: str = "uid", width: int = MEMBERS
-) -> DataFrame:
-    """Left fold of the members' uids in order, one row per group."""
-    return _tree(df, key, order, uid, fold_uid_of, "fold_uid", width, LEVELS)
+        def row(values, digest):
+            arrays = [pa.array([v], kind) for v, kind in zip(values, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([digest])], names=[*key, out])
 
+        for batch in batches:
+            types = [c.type for c in batch.columns[:width]]
+            columns = [c.to_pylist() for c in batch.columns]
+            for *values, _, member in zip(*columns, strict=True):
+                if values != group:
+                    if group is not None:
+                        yield row(group, end(state))
+                    group, state = values, start()
+                if member is not None:
+                    state = step(state, member)
+        if group is not None:
+            yield row(group, end(state))
 
-def lineage_uid(
-    df: DataFrame,
-    run: str,
-    pos: str,
-    uid: str = "uid",
-    width: int = STEPS,
-    levels: int = 4,
-) -> DataFrame:
-    """Add ``lineage`` (what came before in the run) and ``run_uid`` to every step.
+    schema = T.StructType([*(df.schema[k] for k in key), T.StructField(out, T.StringType())])
+    return rows.mapInArrow(fold, schema)
+
+
+def group_uid(df: DataFrame, key: Sequence[str], order: str, uid: str = "uid") -> DataFrame:
+    """``H`` of the members' uids in order, put together, one row per group."""
+
+    def step(state, member):
+        state.update(member.encode("utf-8"))
+        return state
 
-    The lineage lists the earlier uids. Once ``width`` steps are complete they are
-    replaced by their fold, and ``width`` such folds by theirs, so the lineage of a step
-    stays below ``width`` entries per level however long its run is.
+    return _one_per_group(df, key, order, uid, "group_uid", hashlib.sha256, step, lambda s: s.hexdigest())
+
+
+def fold_uid(df: DataFrame, key: Sequence[str], order: str, uid: str = "uid") -> DataFrame:
+    """Left fold ``H(acc + uid)`` from ``'0'`` over the members in order, one row per group."""
+
+    def step(state, member):
+        return hashlib.sha256((state + member).encode("utf-8")).hexdigest()
+
+    return _one_per_group(df, key, order, uid, "fold_uid", lambda: "0", step, lambda s: s)
+
+
+def lineage_uid(df: DataFrame, run: str, pos: str, uid: str = "uid") -> DataFrame:
+    """Add ``lineage_hash`` and ``run_uid`` to every step.
+
+    ``lineage_hash`` is ``H`` of the JSON list of the earlier uids of the run, ``run_uid`` is
+    ``H(lineage_hash + uid)``. The list is fed to the hash piece by piece and finished on a
+    copy at each step, so neither time nor memory grows with what came before.
     """
-    rows = df.withColumn("_b0", F.floor(F.col(pos) / width))
-    inside = Window.partitionBy(run, "_b0").orderBy(pos)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_l0", F.collect_list(uid).over(earlier))
-    steps = rows.select(run, F.col(pos).cast("long").alias("_at"), F.col(uid).alias("_uid"))
-    for level in range(1, levels + 1):
-        whole = (
-            steps.withColumn("_slot", F.floor(F.col("_at") / width))
-            .groupBy(run, "_slot")
-            .agg(_in_order("_at", "_uid").alias("_uids"))
-            .select(run, F.col("_slot").alias("_at"), fold_uid_of(F.col("_uids")).alias("_uid"))
-        )
-        top = level == levels
-        parent = F.lit(0) if top else F.floor(F.col("_at") / width)
-        before = Window.partitionBy(run, "_parent").orderBy("_at")
-        before = before.rowsBetween(Window.unboundedPreceding, -1)
-        listed = (
-            whole.withColumn("_parent", parent)
-            .select(
-                run,
-                F.col("_at").alias(f"_b{level - 1}"),
-                F.collect_list("_uid").over(before).alias(f"_l{level}"),
+    columns = [c for c in df.columns if c not in ("lineage_hash", "run_uid")]
+    kept = df.select(*columns)
+    at = columns.index(uid)
+    group_at = columns.index(run)
+
+    def walk(batches):
+        group, state, first, begun = None, None, True, False
+        for batch in batches:
+            hashes, runs = [], []
+            for name, member in zip(batch.column(group_at).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if not begun or name != group:
+                    group, state, first, begun = name, hashlib.sha256(b"["), True, True
+                done = state.copy()
+                done.update(b"]")
+                hashes.append(done.hexdigest())
+                whole = None if member is None else hashlib.sha256((hashes[-1] + member).encode("utf-8")).hexdigest()
+                runs.append(whole)
+                state.update(("" if first else ",").encode() + json.dumps(member, ensure_ascii=False).encode("utf-8"))
+                first = False
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(hashes, pa.string()), pa.array(runs, pa.string())],
+                names=[*columns, "lineage_hash", "run_uid"],
             )
-            .where(F.size(f"_l{level}") > 0)
-        )
-        rows = rows.join(listed, [run, f"_b{level - 1}"], "left")
-        rows = rows.withColumn(f"_b{level}", F.floor(F.col(f"_b{level - 1}") / width))
-        steps = whole
-    none = F.array().cast("array<string>")
-    parts = [F.coalesce(f"_l{level}", none) for level in range(levels, -1, -1)]
-    rows = rows.withColumn("lineage", F.concat(*parts))
-    made = [c for c in rows.columns if c[:2] in ("_b", "_l")]
-    return rows.withColumn("run_uid", run_uid_of(F.col(uid), F.col("lineage"))).drop(*made)
+
+    new = [T.StructField(c, T.StringType()) for c in ("lineage_hash", "run_uid")]
+    return _gathered(kept, [run], pos, uid).mapInArrow(walk, T.StructType([*kept.schema.fields, *new]))
 
 
 def short_id_collisions(df: DataFrame, uid: str = "uid", n: int = 7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 
@@ -97,7 +98,7 @@ def graph_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def descendants(
     vertices: DataFrame,
     edges: DataFrame,
-    max_depth: int = 100,
+    max_depth: int | None = None,
     distinct: bool = False,
     roots: DataFrame | None = None,
 ) -> DataFrame:
@@ -106,7 +107,8 @@ def descendants(
     Levels are walked one by one, each stored so that the plan stays short. The edges
     keep their place and the frontier comes to them, with hot parents salted. With
     ``distinct`` a node is listed once per root, at its smallest depth and first path;
-    this mode also ends on cycles. Without it a path longer than ``max_depth`` is an error.
+    this mode also ends on cycles. Without it every path is listed, and a cycle never ends; a
+    path longer than ``max_depth``, if one is given, is an error.
     """
     tops = (sources(vertices, edges) if roots is None else roots).select("uid")
     steps = edges.select("src", "dst")
@@ -120,7 +122,7 @@ def descendants(
         "level",
     )
     found = [level]
-    for depth in range(1, max_depth + 2):
+    for depth in itertools.count(1):
         here = level.select("root", F.col("node").alias("src"), "path")
         below = lookup(steps, here, ["src"]).select(
             "root",
@@ -135,13 +137,13 @@ def descendants(
         level = materialize(below, "level")
         if level.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             raise ValueError(f"a path is longer than {max_depth} steps")
         found.append(level)
     return reduce(DataFrame.unionByName, found)
 
 
-def ancestors(edges: DataFrame, targets: DataFrame, max_depth: int = 100) -> DataFrame:
+def ancestors(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Everything above each target, nearest first: ``(node, ancestor, distance)``.
 
     An ancestor reached over several paths is listed at its smallest distance.
@@ -151,29 +153,24 @@ def ancestors(edges: DataFrame, targets: DataFrame, max_depth: int = 100) -> Dat
         F.col("uid").alias("node"), F.col("uid").alias("at"), F.lit(0).alias("distance")
     )
     found: list[DataFrame] = []
-    for distance in range(1, max_depth + 1):
-        reached = lookup(level, up, ["at"])
-        level = materialize(
-            reached.select(
-                "node", F.col("above").alias("at"), F.lit(distance).alias("distance")
-            ).distinct(),
-            "level",
-        )
+    for distance in itertools.count(1):
+        reached = lookup(level, up, ["at"]).select("node", F.col("above").alias("at")).distinct()
+        if found:  # a vertex is walked from once, at its smallest distance
+            seen = reduce(DataFrame.unionByName, found).select("node", "at")
+            reached = reached.join(seen, ["node", "at"], "left_anti")
+        level = materialize(reached.withColumn("distance", F.lit(distance)), "level")
         if level.isEmpty():
+            found = found or [level]
             break
+        if max_depth is not None and distance > max_depth:
+            raise ValueError(f"a path is longer than {max_depth} steps")
         found.append(level)
-    else:
-        raise ValueError(f"a path is longer than {max_depth} steps")
-    if not found:
-        found = [level]
-    return (
-        reduce(DataFrame.unionByName, found)
-        .groupBy("node", F.col("at").alias("ancestor"))
-        .agg(F.min("distance").alias("distance"))
+    return reduce(DataFrame.unionByName, found).select(
+        "node", F.col("at").alias("ancestor"), "distance"
     )
 
 
-def leaf_paths(vertices: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def leaf_paths(vertices: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The path from a root to every leaf: ``(leaf, path)``."""
     walked = descendants(vertices, edges, max_depth)
     parents = edges.select(F.col("src").alias("node")).distinct()

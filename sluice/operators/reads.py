@@ -13,11 +13,14 @@ from sluice.operators.skew import ordinal
 
 
 def read_fasta(spark: SparkSession, pattern: str) -> DataFrame:
-    """Records of FASTA files: the ``>`` line names the sequence, the rest is joined."""
-    records = spark.read.text(pattern, lineSep=">").where("trim(value) <> ''")
+    """Records of FASTA files: a line that begins with ``>`` names a sequence, the rest is joined.
+
+    A ``>`` inside a header belongs to the header.
+    """
+    records = spark.read.text(pattern, lineSep="\n>").where("trim(value) not in ('', '>')")
     body = F.regexp_replace("value", r"^[^\n]*\n?", "")
     return records.select(
-        F.regexp_extract("value", r"^(\S*)", 1).alias("contig"),
+        F.regexp_extract("value", r"^>?(\S*)", 1).alias("contig"),
         F.regexp_replace(body, r"\s", "").alias("seq"),
     )
 

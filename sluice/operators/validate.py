@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.globs import glob_match
+from sluice.operators.incremental import newest_entries
 
 
 def check_non_empty(expected: DataFrame, present: DataFrame, path: str = "path") -> DataFrame:
@@ -28,7 +29,7 @@ def _against(value: Column, known: Column) -> Column:
 
 
 def _with_manifest(df: DataFrame, manifest: DataFrame, path: str, *columns: str) -> DataFrame:
-    known = manifest.select(path, *[F.col(c).alias(f"_{c}") for c in columns])
+    known = newest_entries(manifest, path).select(path, *[F.col(c).alias(f"_{c}") for c in columns])
     return df.join(known, path, "left")
 
 

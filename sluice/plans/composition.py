@@ -227,6 +227,23 @@ def merge_keyed(spark, sf):
     return run(tree, table(spark, sf, "orders"))
 
 
+@query(
+    "merge_outer",
+    """select o_custkey, cheap.n as cheap_n, dear.n as dear_n
+       from (select o_custkey, count(*) as n from orders where o_totalprice < 50000 group by all) cheap
+       full join (select o_custkey, count(*) as n from orders where o_totalprice > 400000 group by all)
+         dear using (o_custkey)""",
+)
+def merge_outer(spark, sf):
+    """Members whose keys differ: a key that one of them lacks has nulls there."""
+    count = Summarise("count", ["o_custkey"], {"n": "count(1)"})
+    tree = merge(
+        cheap=chain(Where("cheap", "o_totalprice < 50000"), count),
+        dear=chain(Where("dear", "o_totalprice > 400000"), count),
+    ).on("o_custkey")
+    return run(tree, table(spark, sf, "orders"))
+
+
 @query(
     "chain_after_write",
     """select p_brand, count(*) as n, min(p_size) as smallest from part where p_size > 10

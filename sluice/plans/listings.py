@@ -227,6 +227,42 @@ def fold_fingerprint(spark, sf):
     return fingerprints.fold_uid(t.tasks_conv(spark, sf), ["run_id"], "pos")
 
 
+@query(
+    "sparse_group_fingerprint",
+    """select uid, sha256(string_agg(content, '' order by seq)) as group_uid
+       from task_events group by uid""",
+    ("task_events",),
+)
+def sparse_group_fingerprint(spark, sf):
+    """Members whose places lie far apart, many per group."""
+    return fingerprints.group_uid(t.task_events(spark, sf), ["uid"], "seq", "content")
+
+
+@query(
+    "sparse_fold_fingerprint",
+    """select uid, list_reduce(list_prepend('0', list(content order by seq)),
+                               lambda a, b: sha256(a || b)) as fold_uid
+       from task_events group by uid""",
+    ("task_events",),
+)
+def sparse_fold_fingerprint(spark, sf):
+    return fingerprints.fold_uid(t.task_events(spark, sf), ["uid"], "seq", "content")
+
+
+@query(
+    "sparse_lineage_fingerprint",
+    """select seq, sha256(sha256('[' || coalesce(array_to_string(
+                list_transform(before, lambda x: '"' || x || '"'), ','), '') || ']') || step) as run_uid
+       from (select seq, step, list(step) over (partition by uid order by seq
+               rows between unbounded preceding and 1 preceding) as before
+             from (select uid, seq, sha256(content) as step from task_events))""",
+    ("task_events",),
+)
+def sparse_lineage_fingerprint(spark, sf):
+    steps = t.task_events(spark, sf).select("uid", "seq", F.sha2("content", 256).alias("step"))
+    return fingerprints.lineage_uid(steps, "uid", "seq", "step").select("seq", "run_uid")
+
+
 @query(
     "short_id_collisions",
     """select substring(uid, 1, 4) as short_id, count(distinct uid) as n_uids,

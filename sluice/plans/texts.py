@@ -26,15 +26,16 @@ def line_count(spark, sf):
 
 @query(
     "numbers_to_letters",
-    """select * from (
-         select seq, try_cast(regexp_extract(line, '^\\s*([+-]?[0-9]+)', 1) as bigint) % 65 as code
+    """select seq, code, printf('%04X', (code + 65536) % 65536) as unit from (
+         select seq, try_cast(regexp_extract(line, '^\\s*([+-]?[0-9]+)', 1) as hugeint) % 65 as code
          from (select seq, split_part(content, ':', 2) as line from task_events))
        where code is not null""",
     ("task_events",),
 )
 def numbers_to_letters(spark, sf):
     lines = t.task_events(spark, sf).select("seq", F.get(F.split("content", ":"), F.lit(1)).alias("line"))
-    return text.to_letters(lines).select("seq", F.col("code").cast("long").alias("code"))
+    unit = F.hex(F.encode("letter", "UTF-16BE"))
+    return text.to_letters(lines).select("seq", F.col("code").cast("long").alias("code"), unit.alias("unit"))
 
 
 @query(

@@ -11,21 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster such a
-    folder would be invisible to the other machines and die with its owner.
+    A machine-local folder would be invisible to the other machines and die with its owner,
+    so none is made up here: a session without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="sluice-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return f"{base.rstrip('/')}/sluice-{spark.sparkContext.applicationId}"
 
 
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """For callers that run as they are: a local session without the setting gets a folder.
+
+    On a cluster, and in ``local-cluster`` mode, nothing is made up.
+    """
+    master = spark.sparkContext.master
+    unset = not spark.conf.get("spark.checkpoint.dir", None)
+    unset = unset and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    if unset and (master == "local" or master.startswith("local[")):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+
+
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import shlex
+import subprocess
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,18 @@ from sluice.operators.skew import scan_before
 
 # S1, S6, S7, S8, S10: files
 
+#: Spark's own limit of a binary value.
+HASHED_BYTES = (1 << 31) - 1
+
 
 def glob_scan(spark: SparkSession, pattern: str, fmt: str = "text", **options) -> DataFrame:
     """Rows of every file matching ``pattern``, with the file's path in ``file``.
 
-    ``a/b/**/name`` reads below ``a/b`` recursively and filters on the name.
+    ``a/b/**/name`` reads below ``a/b`` recursively and filters on the name. Paths are as
+    written, not as URLs: a blank is a blank.
     """
+    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    path = F.url_decode(escaped)
     reader = spark.read.format(fmt).options(**options)
     if "**" in pattern:
         base, _, rest = pattern.partition("**")
@@ -28,23 +36,24 @@ def glob_scan(spark: SparkSession, pattern: str, fmt: str = "text", **options) -
         reader = reader.option("pathGlobFilter", rest.rsplit("/", 1)[-1] or "*")
         found = reader.load(base or ".")
         if rest.strip("/").count("/"):
-            found = found.where(glob_match(F.col("_metadata.file_path"), f"**{pattern}"))
+            found = found.where(glob_match(path, f"**{pattern}"))
     else:
         found = reader.load(pattern)
-    return found.withColumn("file", F.col("_metadata.file_path"))
+    return found.withColumn("file", path)
 
 
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
     """Path, size, time and content hash of every file matching ``pattern``.
 
-    A file is hashed as one value, so it must be below 2 GB, as part files are.
+    A file is hashed as one value. One of ``HASHED_BYTES`` or more does not fit a value: it is
+    listed with a null hash, so it counts as changed, and its content is not read.
     """
+    listed = [F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
     files = glob_scan(spark, pattern, "binaryFile")
-    return files.select(
-        "path",
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-        F.sha2("content", 256).alias("content_hash"),
+    small = files.where(F.col("length") < HASHED_BYTES)
+    large = files.where(F.col("length") >= HASHED_BYTES)
+    return small.select("path", *listed, F.sha2("content", 256).alias("content_hash")).unionByName(
+        large.select("path", *listed, F.lit(None).cast("string").alias("content_hash"))
     )
 
 
@@ -240,12 +249,40 @@ def concat_files(df: DataFrame, order: str, text: str = "text") -> DataFrame:
 def pipe_command(df: DataFrame, commands: str | Sequence[str], column: str = "line") -> DataFrame:
     """Feed the lines of a column to a shell command, or a chain of them, per partition.
 
-    Each output line is a row. A command that fails anywhere in the chain fails the job.
+    Each output line is a row. A null line is not sent. A command that fails anywhere in the
+    chain fails the job. A partition is written and read in blocks by two threads.
     """
     chained = commands if isinstance(commands, str) else " | ".join(commands)
-    shell = f"bash -o pipefail -c {shlex.quote(chained)}"
-    lines = df.select(column).rdd.map(lambda row: row[0]).pipe(shell, checkCode=True)
-    return df.sparkSession.createDataFrame(lines.map(lambda line: (line,)), f"{column} string")
+    shell = ["bash", "-o", "pipefail", "-c", chained]
+
+    def talk(batches):
+        run = subprocess.Popen(shell, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+        def feed():
+            try:
+                for batch in batches:
+                    lines = [line for line in batch.column(0).to_pylist() if line is not None]
+                    if lines:
+                        run.stdin.write(("\n".join(lines) + "\n").encode("utf-8"))
+                run.stdin.close()
+            except BrokenPipeError:  # a command such as head may stop reading
+                run.stdin = None
+
+        writer = threading.Thread(target=feed)
+        writer.start()
+        rest = b""
+        while block := run.stdout.read1(1 << 20):
+            *lines, rest = (rest + block).split(b"\n")
+            if lines:
+                texts = [line.decode("utf-8") for line in lines]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=[column])
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array([rest.decode("utf-8")], pa.string())], names=[column])
+        writer.join()
+        if run.wait():
+            raise RuntimeError(f"{chained!r} ended with {run.returncode}")
+
+    return df.select(column).mapInArrow(talk, f"{column} string")
 
 
 # T3: batches

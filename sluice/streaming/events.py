@@ -9,8 +9,6 @@ from pyspark.sql.types import StructType
 from sluice.operators.events import last_n, status_aggregates
 from sluice.session import scratch_path
 
-TIMEOUT = 600
-
 
 def read_events(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100
@@ -24,10 +22,15 @@ def read_events(
     return stream.parquet(path)
 
 
-def _drain(writer, checkpoint: str, timeout: int) -> None:
-    """Process what is there and stop; failures of the query reach the caller."""
+def _drain(writer, checkpoint: str, timeout: int | None) -> None:
+    """Process what is there and stop; failures of the query reach the caller.
+
+    A backlog may take as long as it takes, unless the caller sets a limit in seconds.
+    """
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")
 
@@ -36,7 +39,7 @@ def stream_status(
     events: DataFrame,
     path: str | None = None,
     checkpoint: str | None = None,
-    timeout: int = TIMEOUT,
+    timeout: int | None = None,
 ) -> DataFrame:
     """Status per task, kept current as events arrive; equals ``fold_status`` in the end.
 
@@ -67,7 +70,7 @@ def stream_last_n(
     n: int = 100,
     path: str | None = None,
     checkpoint: str | None = None,
-    timeout: int = TIMEOUT,
+    timeout: int | None = None,
 ) -> DataFrame:
     """The newest ``n`` events per task, kept as a table with one version per micro-batch.
 

@@ -36,22 +36,6 @@ def runs_of(steps):
     return by_run
 
 
-def tree_hash(uids, width, combine):
-    """The result of combining neighbours level by level."""
-    level, slots = 0, dict(enumerate(uids))
-    while True:
-        packed = defaultdict(list)
-        for at in sorted(slots):
-            packed[at // width].append(slots[at])
-        slots = {
-            at: group[0] if level and len(group) == 1 else combine(group)
-            for at, group in packed.items()
-        }
-        level += 1
-        if len(slots) == 1 and 0 in slots:
-            return slots[0]
-
-
 def fold(uids):
     acc = "0"
     for uid in uids:
@@ -59,36 +43,35 @@ def fold(uids):
     return acc
 
 
-@pytest.mark.parametrize("width", [4096, 6])
-def test_group_and_fold_uid(spark, steps, width):
+def test_group_fold_and_lineage_uid(spark, steps):
     df = spark.createDataFrame(steps, "run long, pos long, name string, uid string")
     for made, combine, out in [
         (fingerprints.group_uid, lambda g: sha("".join(g)), "group_uid"),
         (fingerprints.fold_uid, fold, "fold_uid"),
     ]:
-        got = {r.run: r[out] for r in made(df, ["run"], "pos", width=width).collect()}
-        assert got == {r: tree_hash(u, width, combine) for r, u in runs_of(steps).items()}
-
-
-def test_lineage_is_plain_while_short_and_bounded_when_long(spark, steps):
-    df = spark.createDataFrame(steps, "run long, pos long, name string, uid string")
-    plain = fingerprints.lineage_uid(df, "run", "pos", width=1000).collect()
+        got = {r.run: r[out] for r in made(df, ["run"], "pos").collect()}
+        assert got == {r: combine(u) for r, u in runs_of(steps).items()}
     uids = runs_of(steps)
-    for r in plain:
-        assert list(r.lineage) == uids[r.run][: r.pos]
+    for r in fingerprints.lineage_uid(df, "run", "pos").collect():
         assert r.run_uid == fp.run_uid(r.uid, uids[r.run][: r.pos])
-    short = fingerprints.lineage_uid(df, "run", "pos", width=4, levels=4).collect()
-    assert max(len(r.lineage) for r in short) <= 3 * 4
-    assert len({r.run_uid for r in short}) == len(steps)
-    for r in short:
-        if r.pos < 4:
-            assert list(r.lineage) == uids[r.run][: r.pos]
-        else:
-            tail = r.pos % 4
-            assert list(r.lineage)[len(r.lineage) - tail :] == uids[r.run][r.pos - tail : r.pos]
-    at = {(r.run, r.pos): list(r.lineage) for r in short}
-    first, second = fold(uids[0][:4]), fold(uids[0][4:8])
-    assert at[0, 9] == [first, second, uids[0][8]]
+
+
+def test_uids_of_sparse_and_long_runs(spark):
+    sparse = [(7, 9000, sha("b")), (7, 5000, sha("a")), (8, -3, None), (9, 1, sha("c"))]
+    df = spark.createDataFrame(sparse, "run long, pos long, uid string")
+    groups = {r.run: r.group_uid for r in fingerprints.group_uid(df, ["run"], "pos").collect()}
+    assert groups == {7: sha(sha("a") + sha("b")), 8: sha(""), 9: sha(sha("c"))}
+    walked = {(r.run, r.pos): r.run_uid for r in fingerprints.lineage_uid(df, "run", "pos").collect()}
+    assert walked[7, 9000] == fp.run_uid(sha("b"), [sha("a")])
+    assert walked[7, 5000] == fp.run_uid(sha("a")) and walked[8, -3] is None
+    long = [(1, 3 * k, sha(str(k))) for k in range(10_000)]
+    df = spark.createDataFrame(long, "run long, pos long, uid string").repartition(5)
+    uids = [u for _, _, u in long]
+    assert fingerprints.group_uid(df, ["run"], "pos").first().group_uid == sha("".join(uids))
+    assert fingerprints.fold_uid(df, ["run"], "pos").first().fold_uid == fold(uids)
+    last = fingerprints.lineage_uid(df, "run", "pos").where("pos = 29997").first()
+    assert last.run_uid == fp.run_uid(uids[-1], uids[:-1])
+    assert fingerprints.group_uid(df.limit(0), ["run"], "pos").count() == 0
 
 
 def test_chained_edges_and_upstream_outputs(spark, steps):
