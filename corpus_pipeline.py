@@ -10,8 +10,10 @@ from sluice.llm.language import NONE, identify, train
 from sluice.llm.mixing import mix, tempered_targets, tokens_of, topic_of
 from sluice.llm.queries import packed_pieces
 from sluice.llm.setsketch import drop_near_copies
-from sluice.session import materialize
+from sluice.session import ensure_shared_dir, materialize
 
+#: Columns of the mixing stage, named so that no column of the documents is in their way.
+TOPIC, TOKENS = "__mixing_topic", "__mixing_tokens"
 #: Expected share of all tokens that the mixing stage samples.
 KEEP = 0.8
 
@@ -34,10 +36,10 @@ def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that sources, languages and topics meet tempered shares."""
-    classed = docs.withColumn("_topic", topic_of(F.col("text"))).withColumn("_tokens", tokens_of(F.col("text")))
-    narrow = materialize(classed.select("source", "lang", "_topic", "_tokens"), "classes")
-    targets = tempered_targets(narrow, ["source", "lang", "_topic"], "_tokens")
-    return mix(classed, targets, "_tokens", KEEP, cells=narrow).where("sampled").select(*docs.columns)
+    classed = docs.withColumn(TOPIC, topic_of(F.col("text"))).withColumn(TOKENS, tokens_of(F.col("text")))
+    narrow = materialize(classed.select("source", "lang", TOPIC, TOKENS), "classes")
+    targets = tempered_targets(narrow, ["source", "lang", TOPIC], TOKENS)
+    return mix(classed, targets, TOKENS, KEEP, cells=narrow).where("sampled").select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +47,22 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packed_pieces(docs)
 
 
+def _ready(stage):
+    """The stage, in a session that has a folder for intermediate tables."""
+
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ensure_shared_dir(spark)
+        return stage(spark, docs, sf_dir)
+
+    return apply
+
+
 STAGES = [
-    ("language", known_language),
-    ("exact_dedup", distinct_texts),
-    ("near_dedup", distinct_contents),
-    ("mixing", mixed_sources),
-    ("packing", packed_sequences),
+    ("language", _ready(known_language)),
+    ("exact_dedup", _ready(distinct_texts)),
+    ("near_dedup", _ready(distinct_contents)),
+    ("mixing", _ready(mixed_sources)),
+    ("packing", _ready(packed_sequences)),
 ]
 
 #: Tries, sketches, raking and packing are not expressible in SQL.
@@ -59,6 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents, each written as Parquet and read again."""
+    ensure_shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -149,9 +149,9 @@ def exact_owners(
     Texts are equal when their bytes are; a null text counts as an empty one. The row with the
     largest (else smallest) id stays; a null id loses against any other, and of rows that agree
     in text and id one stays. An empty table gives an empty result. A column that is already
-    called ``group_size`` is replaced. ``with_text=False`` leaves the text null.
+    called ``group_size`` is replaced. ``with_text=False`` leaves the text empty.
     """
-    names = [c for c in docs.columns if c not in ("group_size", "_owner_rows")]
+    names = [c for c in docs.columns if c != "group_size"]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
     out = T.StructType([*fields, T.StructField("group_size", T.LongType())])
@@ -201,11 +201,7 @@ def exact_owners(
     partial = docs.withColumn("group_size", F.lit(1).cast("long")).mapInArrow(gather, out)
     key = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     dealt = (
-        partial.withColumn("_bytes", F.octet_length(key))
-        .withColumn("_content", F.xxhash64(key))
-        .repartition("_bytes", "_content")
-        .sortWithinPartitions(key)
-        .select(*out.fieldNames())
+        partial.repartition(F.octet_length(key), F.xxhash64(key)).sortWithinPartitions(key)
     )
     return dealt.mapInArrow(settle, out)
 
