@@ -12,21 +12,24 @@ from sluice.llm.queries import packed_pieces
 from sluice.llm.setsketch import drop_near_copies
 from sluice.session import ensure_shared_dir, materialize
 
-#: Columns of the mixing stage, named so that no column of the documents is in their way.
+#: Columns of the stages, named so that no column of the documents is in their way.
+LANGUAGE = ("__lang_pred", "__lang_score", "__lang_mixture")
 TOPIC, TOKENS = "__mixing_topic", "__mixing_tokens"
+MIXING = ("__mixing_weight", "__mixing_probability", "__mixing_sampled")
 #: Expected share of all tokens that the mixing stage samples.
 KEEP = 0.8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without any language go; a missing language is filled in."""
-    judged = identify(docs, train(docs), carry=docs.columns).where(F.col("lang_pred") != NONE)
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    judged = identify(docs, train(docs), carry=docs.columns, new=LANGUAGE)
+    judged = judged.where(F.col(LANGUAGE[0]) != NONE)
+    return judged.withColumn("lang", F.coalesce("lang", LANGUAGE[0])).select(*docs.columns)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
-    return exact_owners(docs).select(*docs.columns)
+    return exact_owners(docs, size_col="__group_size").select(*docs.columns)
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     classed = docs.withColumn(TOPIC, topic_of(F.col("text"))).withColumn(TOKENS, tokens_of(F.col("text")))
     narrow = materialize(classed.select("source", "lang", TOPIC, TOKENS), "classes")
     targets = tempered_targets(narrow, ["source", "lang", TOPIC], TOKENS)
-    return mix(classed, targets, TOKENS, KEEP, cells=narrow).where("sampled").select(*docs.columns)
+    return mix(classed, targets, TOKENS, KEEP, cells=narrow, new=MIXING).where(MIXING[2]).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,18 +143,19 @@ def exact_owners(
     largest: bool = True,
     budget: int = TRIE_BYTES,
     with_text: bool = True,
+    size_col: str = "group_size",
 ) -> DataFrame:
-    """One row per distinct text: the row that stays, with all its columns, and ``group_size``.
+    """One row per distinct text: the row that stays, with all its columns, and ``size_col``.
 
     Texts are equal when their bytes are; a null text counts as an empty one. The row with the
     largest (else smallest) id stays; a null id loses against any other, and of rows that agree
     in text and id one stays. An empty table gives an empty result. A column that is already
-    called ``group_size`` is replaced. ``with_text=False`` leaves the text empty.
+    called ``size_col`` is replaced. ``with_text=False`` leaves the text empty.
     """
-    names = [c for c in docs.columns if c != "group_size"]
+    names = [c for c in docs.columns if c != size_col]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
-    out = T.StructType([*fields, T.StructField("group_size", T.LongType())])
+    out = T.StructType([*fields, T.StructField(size_col, T.LongType())])
     sign = 1 if largest else -1
 
     def rank(identifier):
@@ -167,7 +168,7 @@ def exact_owners(
         others = [columns[w] for w in where]
         at = names.index(text_col)
         others[at] = [None if t is None else "" for t in text]
-        counts = columns[batch.schema.names.index("group_size")]
+        counts = columns[batch.schema.names.index(size_col)]
         for t, i, n, *payload in zip(text, ident, counts, *others, strict=True):
             yield (t or "").encode(), [n, rank(i), payload]
 
@@ -198,7 +199,7 @@ def exact_owners(
         if write:
             yield from write(trie.drain())
 
-    partial = docs.withColumn("group_size", F.lit(1).cast("long")).mapInArrow(gather, out)
+    partial = docs.withColumn(size_col, F.lit(1).cast("long")).mapInArrow(gather, out)
     key = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     dealt = (
         partial.repartition(F.octet_length(key), F.xxhash64(key)).sortWithinPartitions(key)

@@ -171,16 +171,17 @@ def identify(
     text_col: str = "text",
     floor: float = 0.01,
     carry: list[str] | None = None,
+    new: tuple[str, str, str] = ("lang_pred", "score", "mixture"),
 ) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (its share) and ``mixture`` (language to share) to every row.
 
     The columns ``carry`` (the id alone if none are given) come along unchanged, but for any
-    that have one of the new names.
+    that have one of the ``new`` names.
 
     A text that is null or has no letter is ``und`` with score 0 and an empty mixture; so is
     every text if the model knows no language. Shares below ``floor`` are not listed.
     """
-    carried = [c for c in carry or [id_col] if c not in ("lang_pred", "score", "mixture")]
+    carried = [c for c in carry or [id_col] if c not in new]
     width, names = len(carried), sorted(model)
     tables = np.array([model[n] for n in names], np.float32).reshape(len(names), CODES)
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # CODES numbers for each language
@@ -214,15 +215,15 @@ def identify(
                     pa.array(np.where(known, np.minimum(value, 1.0), 0.0)),
                     pa.array(mixtures, pa.map_(pa.string(), pa.float64())),
                 ],
-                names=[*(f"_c{k}" for k in range(width)), "lang_pred", "score", "mixture"],
+                names=[*(f"_c{k}" for k in range(width)), *new],
             )
 
     text = F.col(f"`{text_col}`")
-    new = "lang_pred string, score double, mixture map<string,double>"
+    kinds = ("string", "double", "map<string,double>")
     fields = [T.StructField(f"_c{k}", docs.schema[c].dataType) for k, c in enumerate(carried)]
     out = docs.select(
         *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carried)],
         text.alias("_text"),
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"),
-    ).mapInArrow(judge, T.StructType([*fields, *T.StructType.fromDDL(new)]))
+    ).mapInArrow(judge, T.StructType([*fields, *(T.StructField(n, T.DataType.fromDDL(k)) for n, k in zip(new, kinds, strict=True))]))
     return out.withColumnsRenamed({f"_c{k}": c for k, c in enumerate(carried)})

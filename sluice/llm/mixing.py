@@ -126,8 +126,9 @@ def mix(
     id_col: str = "doc_id",
     seed: int = 0,
     cells: DataFrame | None = None,
+    new: tuple[str, str, str] = ("mix_weight", "probability", "sampled"),
 ) -> DataFrame:
-    """Adds ``mix_weight``, ``probability`` and ``sampled`` to every row.
+    """Adds ``mix_weight``, ``probability`` and ``sampled`` to every row (or what ``new`` calls them).
 
     ``targets`` maps each dimension's column to the wanted token shares of its classes; nulls
     and classes that are not named belong to ``other``, which keeps its share. ``keep`` is the
@@ -159,10 +160,10 @@ def mix(
         looked_up = F.element_at(F.array(*[F.lit(float(f)) for f in factor]), _class_index(dimension, own) + 1)
         weight = weight * looked_up
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    kept = [c for c in docs.columns if c not in ("mix_weight", "probability", "sampled")]
+    kept = [c for c in docs.columns if c not in new]
     return (
         docs.select(*[F.col(f"`{c}`") for c in kept])
-        .withColumn("mix_weight", weight)
-        .withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("mix_weight")))
-        .withColumn("sampled", draw < F.col("probability"))
+        .withColumn(new[0], weight)
+        .withColumn(new[1], F.least(F.lit(1.0), F.lit(float(scale)) * F.col(new[0])))
+        .withColumn(new[2], draw < F.col(new[1]))
     )
