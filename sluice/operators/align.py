@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.rows import once, split_windows
+from sluice.functions.rows import split_windows
 from sluice.operators.skew import lookup, ordinal, scan_before
 from sluice.session import materialize
 
@@ -40,11 +40,11 @@ def faidx(contigs: DataFrame, order: str = "ord", width: int = 60) -> DataFrame:
 
     Columns: name, length, offset of the first base, bases and bytes per line.
     """
-    contigs = once(contigs, _len=F.length("seq"))
+    narrow = contigs.select("contig", order, F.length("seq").alias("_len"))
     length = F.col("_len")
     header = F.length("contig") + 2
     size = header + length + F.ceil(length / width)
-    placed = scan_before(contigs.withColumn("_size", size), [], order, F.col("_size"), "_start")
+    placed = scan_before(narrow.withColumn("_size", size), [], order, F.col("_size"), "_start")
     bases = F.least(length, F.lit(width))
     return placed.select(
         F.col("contig").alias("name"),

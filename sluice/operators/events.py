@@ -44,7 +44,11 @@ def concat_log(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A log of up to ``chunk`` entries is one row. A longer one is several, in order of
     ``part``, so that no log, however long, has to fit in one value.
     """
-    numbered = scan_before(events, ["uid", "channel"], "seq", F.lit(1), "_n")
+    places = events.select("uid", "channel", "seq")
+    places = scan_before(places, ["uid", "channel"], "seq", F.lit(1), "_n")
+    places = places.withColumnsRenamed({"uid": "_u", "channel": "_c", "seq": "_s"})
+    same = F.col("uid").eqNullSafe(F.col("_u")) & F.col("channel").eqNullSafe(F.col("_c"))
+    numbered = events.join(places, same & (F.col("seq") == F.col("_s")))
     entries = F.array_sort(F.collect_list(F.struct("seq", "content")))
     lines = F.transform(entries, lambda e: F.concat(F.lit("\n"), e["content"]))
     return (

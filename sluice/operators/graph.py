@@ -21,7 +21,7 @@ GRAPH_CLOSE = "]}}"
 
 def build_edges(tasks: DataFrame, run: str = "run_id", pos: str = "pos") -> DataFrame:
     """An edge from the previous step of a run to each step; none into its first."""
-    linked = scan_before(tasks, [run], pos, F.col("uid"), "src", "last")
+    linked = scan_before(tasks.select(run, pos, "uid"), [run], pos, F.col("uid"), "src", "last")
     return linked.where("src is not null").select(run, "src", F.col("uid").alias("dst"))
 
 

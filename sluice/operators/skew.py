@@ -1,20 +1,20 @@
 """Building blocks that keep one hot key from landing in one task.
 
-``scan_before``  running value over an ordered group, computed block by block
+``scan_before``  running value over an ordered group, computed partition by partition
 ``ordinal``      position in a total order, from a range-partitioned sort
 ``lookup``       join of a large side to a side with few rows per key, hot keys salted
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.session import bounded_bytes, materialize, plan_bytes
 
-BLOCK = 1 << 18  # rows of one ordered group that one task may see
 SALTS = 64  # pieces a hot key is cut into
 HOT_SHARE = 0.001  # a key is hot from this share of the rows, so at most 1000 are
 BROADCAST_BYTES = 8 << 20  # a side is broadcast only if it is known to be below this
@@ -25,47 +25,56 @@ def scan_before(
     df: DataFrame,
     group: Sequence[str],
     order: str,
-    value: Column,
-    out: str,
+    value: Column | Mapping[str, Column],
+    out: str | None = None,
     how: str = "sum",
-    block: int = BLOCK,
 ) -> DataFrame:
     """Add ``out``: the running ``sum`` or ``last`` non-null value strictly before each row.
 
-    ``order`` is an integer column, unique within its group. Groups are cut into ranges
-    of ``order``; each range is summarised on its own, the few summaries are scanned, and
-    the carried value is added to a window that never leaves its range.
+    ``order`` is unique within its group. ``value`` may be several named columns, which are
+    scanned together. Rows are range-partitioned by group and order, so a partition holds
+    about as many rows as any other, however the order is spaced and however large a group
+    is. Each partition is summarised on its own; per group there is one summary for each
+    partition it lies in, and only those are scanned. All columns of ``df`` travel along:
+    give narrow rows, and join wide ones by key.
     """
+    values = value if isinstance(value, Mapping) else {out: value}
     group = list(group)
-    keys = [*group, "_block"]
-    rows = df.withColumn("_block", F.expr(f"`{order}` div {int(block)}"))
-    rows = rows.withColumn("_value", value)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys).orderBy(order)
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    if group:
-        before = Window.partitionBy(*group).orderBy("_block")
-        before = before.rowsBetween(Window.unboundedPreceding, -1)
-    if how == "sum":
-        blocks = rows.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-        carried = F.coalesce(F.sum("_total").over(before), F.lit(0))
-        here = F.coalesce(F.sum("_value").over(inside), F.lit(0))
-        result = F.col("_carry") + F.col("_here")
-    elif how == "last":
-        newest = F.max(F.when(F.col("_value").isNotNull(), F.struct(order, "_value")))
-        blocks = rows.groupBy(*keys).agg(newest.alias("_newest"))
-        carried = F.last("_newest", ignorenulls=True).over(before)["_value"]
-        here = F.last("_value", ignorenulls=True).over(inside)
-        result = F.coalesce("_here", "_carry")
-    else:
-        raise ValueError(f"unknown scan {how!r}")
-    blocks = blocks.select(*keys, carried.alias("_carry"))
-    return (
-        lookup(rows, blocks, keys, "left", salt=False)
-        .withColumn("_here", here)
-        .withColumn(out, result)
-        .drop("_block", "_value", "_carry", "_here")
-    )
+    keys = [*group, "_part"]
+    rows = df.withColumns({f"_v{i}": v for i, v in enumerate(values.values())})
+    ranged = rows.repartitionByRange(*group, order).sortWithinPartitions(*group, order)
+    placed = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "scan")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    # without a group there is one row for each partition
+    before = Window.partitionBy(*group).orderBy("_part") if group else Window.orderBy("_part")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals, carried, here, result = [], [], {}, {}
+    for i, name in enumerate(values):
+        own = f"_v{i}"
+        if how == "sum":
+            totals.append(F.sum(own).alias(f"_t{i}"))
+            carried.append(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_c{i}"))
+            here[f"_h{i}"] = F.coalesce(F.sum(own).over(inside), F.lit(0))
+            result[name] = F.col(f"_c{i}") + F.col(f"_h{i}")
+        elif how == "last":
+            newest = F.max(F.when(F.col(own).isNotNull(), F.struct("_at", own)))
+            totals.append(newest.alias(f"_t{i}"))
+            carried.append(F.last(f"_t{i}", ignorenulls=True).over(before)[own].alias(f"_c{i}"))
+            here[f"_h{i}"] = F.last(own, ignorenulls=True).over(inside)
+            result[name] = F.coalesce(f"_h{i}", f"_c{i}")
+        else:
+            raise ValueError(f"unknown scan {how!r}")
+    blocks = placed.groupBy(*keys).agg(*totals).select(*keys, *carried)
+    if not group:  # one row for each partition
+        blocks = F.broadcast(blocks)
+    marked = placed.withColumns(here)
+    made = [c for i in range(len(values)) for c in (f"_v{i}", f"_c{i}", f"_h{i}")]
+    for k in keys:
+        blocks = blocks.withColumnRenamed(k, f"_of_{k}")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    joined = marked.join(blocks, same, "left").withColumns(result)
+    return joined.drop(*made, *[f"_of_{k}" for k in keys], "_at", "_part")
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], out: str = "ordinal") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.globs import glob_match, glob_match_any
 from sluice.functions.text import count_newlines
-from sluice.operators.skew import scan_before
+from sluice.operators.skew import lookup, scan_before
 
 # S1, S6, S7, S8, S10: files
 
@@ -171,10 +171,11 @@ def resolve_upstream(
     A pattern may match the file name or the whole path. Steps without an upstream match
     take the first matching path of ``fallback``, or null. One row per step and pattern.
     """
-    found = outputs
-    for i, pattern in enumerate(patterns):
-        hit = F.when(glob_match_any(path, pattern), F.col(path))
-        found = scan_before(found, [run], pos, hit, f"_hit{i}", "last")
+    hits = {
+        f"_hit{i}": F.when(glob_match_any(path, pattern), F.col(path))
+        for i, pattern in enumerate(patterns)
+    }
+    found = scan_before(outputs.select(run, pos, uid, path), [run], pos, hits, how="last")
     rows = found.select(
         run,
         uid,
@@ -234,11 +235,12 @@ def resolve_trajectory(
 def concat_files(df: DataFrame, order: str, text: str = "text") -> DataFrame:
     """All lines of all files, numbered through in file order as one dataset.
 
-    ``order`` is a unique integer per file. Only line counts are scanned; the lines
-    themselves are never gathered.
+    ``order`` is unique per file. Only line counts are scanned; a text moves once, to meet its
+    start by key.
     """
-    numbered = scan_before(df, [], order, count_newlines(text) + 1, "_start")
-    return numbered.select(
+    counts = df.select(order, (count_newlines(text) + 1).alias("_lines"))
+    starts = scan_before(counts, [], order, F.col("_lines"), "_start").select(order, "_start")
+    return lookup(df.select(order, text), starts, [order]).select(
         order, "_start", F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     ).select((F.col("_start") + F.col("line_no")).alias("out_no"), order, "line")
 

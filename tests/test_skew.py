@@ -19,12 +19,34 @@ def rows(df):
 
 
 def test_scan_before(spark):
-    df = skewed(spark)
-    w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    plain = df.withColumn("s", F.coalesce(F.sum("v").over(w), F.lit(0)))
-    assert rows(scan_before(df, ["k"], "pos", F.col("v"), "s", "sum", block=50)) == rows(plain)
-    plain = df.withColumn("l", F.last("v", True).over(w))
-    assert rows(scan_before(df, ["k"], "pos", F.col("v"), "l", "last", block=50)) == rows(plain)
+    spread = {
+        "dense": F.col("id"),
+        "sparse": F.col("id") * 1_000_003,
+        "huge steps": F.col("id") * F.lit(1 << 40) - F.lit(1 << 50),
+    }
+    for order in spread.values():
+        df = skewed(spark).withColumn("id", F.col("pos")).withColumn("pos", order).drop("id").repartition(5)
+        for group in (["k"], []):
+            w = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+            plain = df.withColumn("s", F.coalesce(F.sum("v").over(w), F.lit(0)))
+            assert rows(scan_before(df, group, "pos", F.col("v"), "s", "sum")) == rows(plain)
+            plain = df.withColumn("l", F.last("v", True).over(w)).withColumn("m", F.last("k", True).over(w))
+            both = {"l": F.col("v"), "m": F.col("k")}
+            assert rows(scan_before(df, group, "pos", both, how="last")) == rows(plain)
+
+
+def test_scan_before_with_null_groups_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7)], "k string, pos long, v long")
+    got = {(r.k, r.pos): r.s for r in scan_before(df, ["k"], "pos", F.col("v"), "s").collect()}
+    assert got == {(None, 1): 0, (None, 2): 5, ("a", 1): 0}
+    assert scan_before(df.limit(0), ["k"], "pos", F.col("v"), "s").count() == 0
+
+
+def test_texts_move_once_in_a_concatenation(spark, sf):
+    from sluice.plans import QUERIES
+
+    plan = QUERIES["multi_file_concat"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan[: plan.index("Join")] and plan.count("posexplode") == 1
 
 
 def test_ordinal(spark):
