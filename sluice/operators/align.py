@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.rows import split_windows
-from sluice.operators.skew import lookup, ordinal, scan_before
-from sluice.session import materialize
+from sluice.operators.skew import BROADCAST_BYTES, lookup, ordinal, scan_before
+from sluice.session import bounded_bytes, materialize
 
 BIN = 16384  # width of an index bin
+BROADCAST_BINS = 100_000  # bins of regions that are broadcast at most
 TILE = 4096  # positions of one contig that one task sweeps
 PIECE = 64  # bases of a contig handled as one string
 LOW = 1 << 32  # a place is one number: order of the contig times this, plus position
@@ -62,13 +63,19 @@ def _bins(start: Column, end: Column, bin: int) -> Column:
 def region_query(aln: DataFrame, regions: DataFrame, bin: int = BIN) -> DataFrame:
     """Alignments that overlap each region ``(region, contig, start, end)``, ends included.
 
-    Both sides meet in bins and a pair is reported in the first bin they share. Bins that
-    hold very many alignments are salted.
+    Both sides meet in bins and a pair is reported in the first bin they share. Few regions,
+    counted in bins before they are expanded, are broadcast and the alignments stay where they
+    are. Otherwise both are shuffled, and bins that hold very many alignments are salted.
     """
     last = F.col("pos") + F.col("len") - 1
     left = aln.withColumn("_last", last).withColumn("_bin", F.explode(_bins(F.col("pos"), last, bin)))
     right = regions.withColumn("_bin", F.explode(_bins(F.col("start"), F.col("end"), bin)))
-    met = lookup(left, right, ["contig", "_bin"])
+    n_bins = F.floor(F.col("end") / bin) - F.floor(F.col("start") / bin) + 1
+    size = bounded_bytes(regions)
+    few = size is not None and size <= BROADCAST_BYTES
+    few = few and (regions.agg(F.sum(n_bins)).first()[0] or 0) <= BROADCAST_BINS
+    keys = ["contig", "_bin"]
+    met = left.join(F.broadcast(right), keys) if few else lookup(left, right, keys)
     return met.where(
         (F.col("pos") <= F.col("end"))
         & (F.col("_last") >= F.col("start"))
@@ -249,32 +256,22 @@ def seed_map(
 def pileup(aln: DataFrame, contigs: DataFrame) -> DataFrame:
     """Reference base, depth and base counts of every covered reference position.
 
-    Reads and reference meet in one aggregation, whose counts combine before the shuffle;
-    a position under very many reads is a single row per input partition.
+    Reads are counted first, and counts combine before the shuffle; a position under very many
+    reads is a single row per input partition. Only covered positions then look up the piece
+    of the reference they lie in.
     """
-    seen = aln.select(
-        "contig",
-        F.posexplode(F.split("seq", "")).alias("_i", "base"),
-        "pos",
-    ).select("contig", (F.col("pos") + F.col("_i")).alias("pos"), "base", F.lit(None).alias("_ref"))
-    windows = split_windows(contigs.select("contig", "seq"), "seq", PIECE)
-    known = windows.select(
-        "contig", "start", F.posexplode(F.split("seq", "")).alias("_i", "ref")
-    ).select(
-        "contig",
-        (F.col("start") + F.col("_i")).alias("pos"),
-        F.lit(None).alias("base"),
-        F.ascii("ref").alias("_ref"),
-    )
+    seen = aln.select("contig", F.posexplode(F.split("seq", "")).alias("_i", "base"), "pos")
     names = [f"n_{b.lower()}" for b in "ACGT"]
     counts = [F.count_if(F.col("base") == b).alias(n) for b, n in zip("ACGT", names)]
-    return (
-        seen.unionByName(known)
-        .groupBy("contig", "pos")
-        .agg(F.max("_ref").alias("_ref"), F.count("base").alias("depth"), *counts)
-        .where("depth > 0 and _ref is not null")
-        .select("contig", "pos", F.chr("_ref").alias("ref"), "depth", *names)
+    counted = (
+        seen.groupBy("contig", (F.col("pos") + F.col("_i")).alias("pos"))
+        .agg(F.count("base").alias("depth"), *counts)
+        .withColumn("start", F.floor((F.col("pos") - 1) / PIECE) * PIECE + 1)
     )
+    windows = split_windows(contigs.select("contig", "seq"), "seq", PIECE)
+    met = lookup(counted, windows.select("contig", "start", "seq"), ["contig", "start"])
+    ref = F.substr("seq", (F.col("pos") - F.col("start") + 1).cast("int"), F.lit(1))
+    return met.select("contig", "pos", ref.alias("ref"), "depth", *names).where("ref != ''")
 
 
 def call_variants(piled: DataFrame, min_depth: int = 2, min_frac: float = 0.8) -> DataFrame:
