@@ -33,7 +33,9 @@ def bin_index(aln: DataFrame, bin: int = BIN) -> DataFrame:
 
 
 def write_binned(aln: DataFrame, path: str, bin: int = BIN) -> None:
-    aln.withColumn("bin", F.floor(F.col("pos") / bin)).write.partitionBy("bin").parquet(path)
+    """Alignments in one folder per bin, so that a read of some bins skips the others."""
+    binned = aln.withColumn("bin", F.floor(F.col("pos") / bin))
+    binned.repartitionByRange("bin", "contig", "pos").write.partitionBy("bin").parquet(path)
 
 
 def faidx(contigs: DataFrame, order: str = "ord", width: int = 60) -> DataFrame:

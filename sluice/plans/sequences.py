@@ -349,6 +349,11 @@ def depth(spark, sf):
     return _depth_report(align.depth(t.aln(spark, sf)))
 
 
+@query("depth_positions", _depth("aln"), ("aln",))
+def depth_positions(spark, sf):
+    return align.depth(t.aln(spark, sf))
+
+
 def _depth_report(df):
     return df.groupBy("contig").agg(
         F.count(F.lit(1)).alias("n_pos"),
@@ -420,6 +425,11 @@ def pileup(spark, sf):
     )
 
 
+@query("pileup_positions", _pileup("aln"), ("aln",))
+def pileup_positions(spark, sf):
+    return align.pileup(t.aln(spark, sf), t.contigs(spark, sf))
+
+
 @query("consensus_call", _call("(" + _pileup("aln") + ")"), ("aln",))
 def consensus_call(spark, sf):
     return align.call_variants(align.pileup(t.aln(spark, sf), t.contigs(spark, sf)))
@@ -471,7 +481,32 @@ def mapper_agreement(spark, sf):
 def _prepared():
     trim = Task("trim", lambda df: rd.quality_trim(df))
     pair = Task("pair", lambda df: rd.paired_split(df).where("output = 'paired'").drop("output"))
-    return trim, pair
+    mates = Task("interleave", lambda df: rd.interleave(*rd.split_mates(df).values()).drop("slot"))
+    return trim, pair, mates
+
+
+def _sorted_and_indexed(df):
+    """Alignments in coordinate order, stored by bin, and read again bin by bin of the index."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "binned")
+    align.write_binned(align.coord_sort(df), path)
+    stored = spark.read.parquet(path).drop("bin")
+    bin_start = F.col("bin") * align.BIN
+    regions = materialize(align.bin_index(stored), "bins").select(
+        "contig", bin_start.alias("start"), (bin_start + (align.BIN - 1)).alias("end")
+    )
+    # an alignment that reaches into the next bin belongs to the one it starts in
+    read = align.region_query(stored, regions).where("pos >= start")
+    return read.drop("start", "end", "rank")
+
+
+def _viewed(df):
+    """Alignments written as lines and read back."""
+    path = scratch_path(df.sparkSession, "view")
+    rd.to_sam(df).write.text(path, lineSep="\n")
+    lines = rd.read_sam(df.sparkSession, path)
+    mate = F.when(F.col("flag") == 64, 1).otherwise(2)
+    return lines.select("read_id", mate.alias("mate"), "contig", "pos", F.length("seq").alias("len"), "seq")
 
 
 @query(
@@ -484,7 +519,8 @@ def _prepared():
     ("filtered", "shortened"),
 )
 def variants_end_to_end(spark, sf):
-    """Trim, pair, then two read filters, each followed by mapping and calling.
+    """Reads are trimmed, paired and interleaved, then two read filters, each followed by mapping,
+    sorting, indexing, pileup and calling. The index comes from the reference.
 
     What both branches read (the paired reads, their k-mer counts, the index) is stored
     once.
@@ -503,6 +539,7 @@ def variants_end_to_end(spark, sf):
             ),
         ),
         Task("map", lambda df: align.seed_map(df, index, contigs, **COARSE)),
+        Task("sort and index", _sorted_and_indexed),
         Task("pile", lambda df: align.pileup(df, contigs)),
         Task("call", lambda df: align.call_variants(df)),
     )
@@ -522,5 +559,11 @@ def variants_end_to_end(spark, sf):
 )
 def depth_end_to_end(spark, sf):
     summary = Task("summary", lambda df: _depth_report(df))
-    tree = chain(_two_mappers(spark, sf), Task("depth", lambda df: align.depth(df)), summary)
+    tree = chain(
+        _two_mappers(spark, sf),
+        Task("view", _viewed),
+        Task("sort and index", _sorted_and_indexed),
+        Task("depth", lambda df: align.depth(df)),
+        summary,
+    )
     return run(tree, t.plain_reads(spark, sf), share="table")
