@@ -247,7 +247,14 @@ def _single_pass(node) -> list | None:
 
 
 def _split_rows(df: DataFrame, rows: list[_RowLeaf], tag: str | None, out: str) -> DataFrame:
-    """Send each row to every branch whose condition it meets, reading ``df`` once."""
+    """Send each row to every branch whose condition it meets, reading ``df`` once.
+
+    If every branch has a condition, a row that meets none of them is filtered out first, which
+    may reach the scan.
+    """
+    if all(leaf.conditions for leaf in rows):
+        each = [" and ".join(f"({c})" for c in leaf.conditions) for leaf in rows]
+        df = df.where(" or ".join(f"({c})" for c in dict.fromkeys(each)))
 
     def taken(leaf: _RowLeaf) -> Column:
         name = F.lit(SEP.join(leaf.path))
@@ -266,18 +273,30 @@ def _split_rows(df: DataFrame, rows: list[_RowLeaf], tag: str | None, out: str)
     return wide.select(label.alias(out), *kept, *names)
 
 
-def _run_single_pass(plan: list, df: DataFrame, out: str) -> DataFrame:
+def _run_single_pass(plan: list, df: DataFrame, out: str, key: Sequence[str] = ()) -> DataFrame:
+    """``key`` columns stay apart in every summary."""
     tag = None
     for step in plan:
         if isinstance(step, list):
             df, tag = _split_rows(df, step, tag, out), out
         elif isinstance(step, Summarise):
-            df = step(df, also=[tag] if tag else [])
+            df = step(df, also=[*key, *([tag] if tag else [])])
         else:
             df = step(df)
     return df
 
 
+def run_per_file(node, df: DataFrame, key: str, out: str = "branch") -> DataFrame:
+    """Run a tree once per value of ``key`` (such as a file), results kept apart, in one pass.
+
+    The tree consists of transparent steps; ``key`` is a column of the result.
+    """
+    plan = _single_pass(node)
+    if plan is None:
+        raise TypeError("only steps written as expressions can run per file")
+    return _run_single_pass(plan, df, out, [key])
+
+
 # one plan per leaf
 
 
@@ -296,6 +315,20 @@ def _after(lineage: tuple[str, ...], step) -> tuple[str, ...]:
     return (*lineage, *params, run)
 
 
+def _lineages(node, path: tuple[str, ...] = (), lineage: tuple[str, ...] = ()) -> list[tuple]:
+    """Path and lineage of every leaf of a tree without merges."""
+    if isinstance(node, STEPS):
+        return [(path, _after(lineage, node))]
+    if isinstance(node, Branch):
+        return [
+            found for name, sub in node.branches.items() for found in _lineages(sub, (*path, name), lineage)
+        ]
+    reached = [(path, lineage)]
+    for step in node.steps:
+        reached = [new for old in reached for new in _lineages(step, *old)]
+    return reached
+
+
 def _expand(node, leaf: Leaf, share: str) -> Iterator[Leaf]:
     if isinstance(node, STEPS):
         yield replace(leaf, df=node(leaf.df), lineage=_after(leaf.lineage, node))
@@ -360,9 +393,18 @@ def run(
     """
     if share not in ("plan", "table"):
         raise ValueError("share is 'plan' or 'table'")
-    plan = None if lineage else _single_pass(node)
+    plan = _single_pass(node)
     if plan is not None:
-        return _run_single_pass(plan, df, out)
+        done = _run_single_pass(plan, df, out)
+        if not lineage:
+            return done
+        runs = [(SEP.join(path), F.array(*map(F.lit, uids))) for path, uids in _lineages(node)]
+        if runs[0][0] == "":
+            return done.withColumn("lineage", runs[0][1])
+        which = None
+        for label, uids in runs:
+            which = (F if which is None else which).when(F.col(out) == label, uids)
+        return done.withColumn("lineage", which)
     parts = []
     for leaf in expand(node, df, share):
         part = leaf.df

@@ -231,3 +231,12 @@ def graph_to_json(vertices: DataFrame, edges: DataFrame, run: str = "run_id") ->
         ),
     )
     return frame.unionByName(listed)
+
+
+def write_graphs(lines: DataFrame, path: str, run: str = "run_id") -> None:
+    """Write the document of each run as one file below ``path/run=...``.
+
+    A file has one writer, which streams the sorted lines of its run.
+    """
+    ordered = lines.repartition(run).sortWithinPartitions(run, "part", "key")
+    ordered.select(run, F.col("line").alias("value")).write.partitionBy(run).text(path, lineSep="\n")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import graph
 from sluice.plans.oracle import query
+from sluice.session import scratch_path
 from sluice.sources import tables as t
 
 DOWN = """with recursive walk as (
@@ -31,6 +32,61 @@ def dag_junction(spark, sf):
     return edges
 
 
+@query(
+    "junction_contents",
+    """with l as (select run_id, name, arg_max(uid, pos) as src from tasks_conv group by all),
+            v as (select run_id, sha256(string_agg(src, '' order by
+                    case name when 'system' then 0 when 'user' then 1 else 2 end)) as dst from l group by run_id)
+       select run_id, name, pos, uid, dst from tasks_conv join v using (run_id)""",
+    ("tasks_conv",),
+)
+def junction_contents(spark, sf):
+    _, contents, _ = graph.add_junction(t.tasks_conv(spark, sf), ["system", "user", "assistant"])
+    return contents
+
+
+@query(
+    "trajectory_edges",
+    """select 'c' || (o_custkey % 7) as src, 'o' || o_orderkey as dst from orders where o_custkey % 5 > 0""",
+)
+def trajectory_edges(spark, sf):
+    """Edges from the last entry of explicit trajectories; tasks without one are roots."""
+    orders = t.table(spark, sf, "orders")
+    region = F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string"))
+    nearest = F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string"))
+    trajectory = F.when(F.col("o_custkey") % 5 > 0, F.array(region, nearest)).otherwise(F.array().cast("array<string>"))
+    uid = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    return graph.trajectory_edges(orders.select(uid.alias("uid"), trajectory.alias("trajectory")))
+
+
+@query(
+    "graph_documents",
+    """with v as (select run_id, 1 as part, uid as key, '{"_id":"' || uid
+                    || '","_type":"vertex","values":{"pos":' || pos || ',"name":"' || name || '"}}'
+                    as line from tasks_conv),
+            e as (select run_id, 3 as part, src || '>' || dst as key, '{"source":"' || src
+                    || '","target":"' || dst || '","_type":"edge"}' as line from conv_edges),
+            u as (select * from v union all select * from e),
+            all_lines as (
+       select run_id, part, key, case when row_number() over (partition by run_id, part
+                order by key) = 1 then '' else ',' end || line as line from u
+       union all
+       select run_id, part, '', line from (select distinct run_id from tasks_conv)
+       cross join (values (0, '{"graph":{"mode":"NORMAL","vertices":['), (2, '],"edges":['),
+                          (4, ']}}')) f(part, line))
+       select run_id, string_agg(line, chr(10) order by part, key) || chr(10) as document
+       from all_lines group by run_id""",
+    ("tasks_conv", "conv_edges"),
+)
+def graph_documents(spark, sf):
+    """One written file per run, read back whole."""
+    tasks = t.tasks_conv(spark, sf)
+    path = scratch_path(spark, "graphs")
+    graph.write_graphs(graph.graph_to_json(tasks, graph.build_edges(tasks)), path)
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("run_id").cast("long").alias("run_id"), F.col("value").alias("document"))
+
+
 @query(
     "dag_sources_sinks",
     """select uid, name, 'source' as kind from hier_vertices

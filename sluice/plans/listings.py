@@ -1,10 +1,12 @@
 """Queries on file listings: globs, specs, fingerprints, manifests, validation."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.functions import fingerprint as fp
 from sluice.functions.text import drop_last, derive_outputs, first_segments, same_folder
 from sluice.operators import fingerprints, incremental, validate
+from sluice.operators.compose import Summarise, Where, branch, chain, run_per_file
 from sluice.plans.oracle import query
 from sluice.session import scratch_path
 from sluice.sources import files
@@ -83,6 +85,24 @@ def upstream_resolve(spark, sf):
     )
 
 
+@query(
+    "trajectory_resolve",
+    """with steps as (select run_id, uid, path, doc_id, list(uid) over w as before,
+              list(case when path like '%.fr.txt' then path end) over w as paths
+            from artifacts window w as (partition by run_id order by doc_id
+              rows between 3 preceding and 1 preceding))
+       select uid as request, coalesce(list_last(list_filter(paths, lambda x: x is not null)), 'none') as resolved
+       from steps""",
+    ("artifacts",),
+)
+def trajectory_resolve(spark, sf):
+    """Each artifact asks for a file among the last three before it, given as a lineage."""
+    listing = t.artifacts(spark, sf)
+    near = Window.partitionBy("run_id").orderBy("doc_id").rowsBetween(-3, -1)
+    requests = listing.select(F.col("uid").alias("request"), F.collect_list("uid").over(near).alias("trajectory"))
+    return files.resolve_trajectory(requests, listing, "*.fr.txt", fallback="none")
+
+
 @query(
     "file_manifest",
     """select path, size, mtime, content_hash from artifacts
@@ -118,6 +138,23 @@ def file_manifest_scan(spark, sf):
     return joined.groupBy("segment").agg(F.sum("n").alias("n"))
 
 
+@query(
+    "flow_per_file",
+    """select doc_id, 'long' as branch, count(*) as n, max(length(line)) as longest
+         from doc_lines where length(line) >= 100 group by all
+       union all
+       select doc_id, 'short', count(*), max(length(line)) from doc_lines where length(line) < 100 group by all""",
+    ("doc_lines",),
+)
+def flow_per_file(spark, sf):
+    """A whole tree, branches included, once per file."""
+    tree = chain(
+        branch(long=Where("long", "length(line) >= 100"), short=Where("short", "length(line) < 100")),
+        Summarise("lines", [], {"n": "count(1)", "longest": "cast(max(length(line)) as bigint)"}),
+    )
+    return run_per_file(tree, t.doc_lines(spark, sf), "doc_id")
+
+
 @query(
     "split_by_file",
     """select path, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars,

@@ -182,3 +182,25 @@ def test_failures_reach_the_caller(spark):
         run(chain(T["0"], merge(T["1"], Task("x", broken))), spark.createDataFrame([("",)], "seen string"))
     with pytest.raises(TypeError):
         expand(chain("no step"), spark.range(1))
+
+
+def test_conditions_of_all_branches_reach_the_scan(spark, sf):
+    import __spark_entry__ as spark_entry
+
+    plan = spark_entry.queries()["param_sweep"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: []" not in plan and plan.count("FileScan") == 1
+
+
+def test_lineage_keeps_the_single_pass(spark, sf):
+    tree = chain(
+        Where("open", "o_orderstatus = 'O'"),
+        branch(low=Where("low", "o_totalprice < 150000"), high=Where("high", "o_totalprice > 150000")),
+        Summarise("count", ["o_orderpriority"], {"n": "count(1)"}),
+    )
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    single = run(tree, orders, lineage=True)
+    assert single._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    apart = {leaf.path: list(leaf.lineage) for leaf in expand(tree, orders)}
+    got = {tuple(r.branch.split("/")): list(r.lineage) for r in single.collect()}
+    assert got == apart
+    assert "branch" not in run(chain(Where("open", "o_orderstatus = 'O'")), orders, lineage=True).columns
