@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.rows import split_windows
@@ -33,11 +33,29 @@ def bin_index(aln: DataFrame, bin: int = BIN) -> DataFrame:
 
 
 def write_binned(aln: DataFrame, path: str, bin: int = BIN) -> None:
-    """Alignments in one folder per bin, so that a read of some bins skips the others."""
-    binned = aln.withColumn("bin", F.floor(F.col("pos") / bin))
+    """Alignments in one folder per bin that they touch, so that a read of some bins skips the rest."""
+    last = F.col("pos") + F.col("len") - 1
+    binned = aln.withColumn("bin", F.explode(_bins(F.col("pos"), last, bin)))
     binned.repartitionByRange("bin", "contig", "pos").write.partitionBy("bin").parquet(path)
 
 
+def read_binned(spark: SparkSession, path: str, bin: int = BIN) -> DataFrame:
+    """Every stored alignment once: from the bin it starts in."""
+    stored = spark.read.parquet(path)
+    return stored.where(F.col("bin") == F.floor(F.col("pos") / bin)).drop("bin")
+
+
+def read_regions(spark: SparkSession, path: str, regions: DataFrame, bin: int = BIN) -> DataFrame:
+    """Stored alignments that overlap each region; only the folders of their bins are read."""
+    span = regions.agg(F.min(F.floor(F.col("start") / bin)), F.max(F.floor(F.col("end") / bin))).first()
+    stored = spark.read.parquet(path)
+    if span[0] is None:
+        stored = stored.where("1 = 0")
+    else:
+        stored = stored.where(F.col("bin").between(span[0], span[1]))
+    return _overlaps(stored.withColumnRenamed("bin", "_bin"), regions, bin)
+
+
 def faidx(contigs: DataFrame, order: str = "ord", width: int = 60) -> DataFrame:
     """Where each sequence starts in the FASTA file that holds them in order.
 
@@ -70,7 +88,12 @@ def region_query(aln: DataFrame, regions: DataFrame, bin: int = BIN) -> DataFram
     are. Otherwise both are shuffled, and bins that hold very many alignments are salted.
     """
     last = F.col("pos") + F.col("len") - 1
-    left = aln.withColumn("_last", last).withColumn("_bin", F.explode(_bins(F.col("pos"), last, bin)))
+    return _overlaps(aln.withColumn("_bin", F.explode(_bins(F.col("pos"), last, bin))), regions, bin)
+
+
+def _overlaps(left: DataFrame, regions: DataFrame, bin: int) -> DataFrame:
+    """Alignments, one row per bin ``_bin`` they touch, with the regions they overlap."""
+    left = left.withColumn("_last", F.col("pos") + F.col("len") - 1)
     right = regions.withColumn("_bin", F.explode(_bins(F.col("start"), F.col("end"), bin)))
     n_bins = F.floor(F.col("end") / bin) - F.floor(F.col("start") / bin) + 1
     size = bounded_bytes(regions)

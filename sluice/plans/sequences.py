@@ -326,6 +326,11 @@ def contig_index(spark, sf):
     ("aln",),
 )
 def region_query(spark, sf):
+    regions = _middle_regions(spark, sf)
+    return align.region_query(t.aln(spark, sf), regions).select("region", "read_id", "mate", "pos")
+
+
+def _middle_regions(spark, sf):
     length = F.col("length")
     regions = once(t.contigs(spark, sf), length=F.length("seq")).select(
         "contig",
@@ -333,8 +338,22 @@ def region_query(spark, sf):
         F.floor(length / 2 + 1).alias("end"),
     )
     name = F.concat("contig", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
-    regions = regions.withColumn("region", name)
-    return align.region_query(t.aln(spark, sf), regions).select("region", "read_id", "mate", "pos")
+    return regions.withColumn("region", name)
+
+
+@query(
+    "region_from_index",
+    """with g as (select contig, len(seq) // 4 + 1 as s, len(seq) // 2 + 1 as e from contigs)
+       select contig || ':' || s || '-' || e as region, read_id, mate, pos
+       from aln join g using (contig) where pos <= e and pos + len - 1 >= s and len(contig) = 3""",
+    ("aln",),
+)
+def region_from_index(spark, sf):
+    """The same for a few contigs, read from alignments stored by bin."""
+    path = scratch_path(spark, "binned")
+    align.write_binned(t.aln(spark, sf), path, 2048)
+    few = _middle_regions(spark, sf).where("length(contig) = 3")
+    return align.read_regions(spark, path, few, 2048).select("region", "read_id", "mate", "pos")
 
 
 @query(
@@ -490,13 +509,13 @@ def _sorted_and_indexed(df):
     spark = df.sparkSession
     path = scratch_path(spark, "binned")
     align.write_binned(align.coord_sort(df), path)
-    stored = spark.read.parquet(path).drop("bin")
+    stored = align.read_binned(spark, path)
     bin_start = F.col("bin") * align.BIN
     regions = materialize(align.bin_index(stored), "bins").select(
         "contig", bin_start.alias("start"), (bin_start + (align.BIN - 1)).alias("end")
     )
     # an alignment that reaches into the next bin belongs to the one it starts in
-    read = align.region_query(stored, regions).where("pos >= start")
+    read = align.read_regions(spark, path, regions).where("pos >= start")
     return read.drop("start", "end", "rank")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import text
-from sluice.operators import graph, incremental, kmers
+from sluice.operators import align, graph, incremental, kmers
 from sluice.operators import reads as rd
 from sluice.operators.compose import Summarise, Where, chain, compare, merge, run
 from sluice.sources import files
@@ -101,3 +101,18 @@ def test_wide_sketch(spark):
     exact = {r.kmer: r.n for r in kmers.kmer_count(reads, 20).collect()}
     got = kmers.sketch_estimate(kmers.kmer_count(reads, 20), sketch, width).collect()
     assert {r.kmer: r.estimate for r in got} == exact
+
+
+def test_regions_skip_the_folders_of_other_bins(spark, tmp_path):
+    rows = [("c1", k * 70, 150, k) for k in range(200)]
+    aln = spark.createDataFrame(rows, "contig string, pos long, len int, read_id int")
+    path = f"file:{tmp_path}/binned"
+    align.write_binned(aln, path, 100)
+    assert align.read_binned(spark, path, 100).count() == 200
+    regions = spark.createDataFrame([("r", "c1", 1000, 1250), ("s", "c1", 1240, 1240)], "region string, contig string, start long, end long")
+    found = align.read_regions(spark, path, regions, 100)
+    expected = {(n, k) for n, a, b in (("r", 1000, 1250), ("s", 1240, 1240)) for _, p, z, k in rows if p <= b and p + z - 1 >= a}
+    got = [(r.region, r.read_id) for r in found.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert "PartitionFilters: [isnotnull(bin" in found._jdf.queryExecution().executedPlan().toString()
+    assert align.read_regions(spark, path, regions.limit(0), 100).count() == 0
