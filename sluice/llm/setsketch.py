@@ -35,14 +35,15 @@ from sluice.llm.sieve import sieve
 from sluice.session import materialize
 
 SHINGLE = 5
-REGISTERS = 128
-BAND = 4
+REGISTERS = 384
+#: Bands of so many registers each; the registers beyond them serve the estimate alone.
+BAND, BANDS = 4, 32
 #: Base and range of the registers: two bytes each, values almost as fine as the minima.
 STEP = 1.001
 TOP = 65_534
 RATE = 20.0
-#: A pair is set aside if its estimate is this far below the threshold (4.4 standard errors).
-SLACK = 0.17
+#: A pair is set aside if its estimate is this far below the threshold (4 standard errors).
+SLACK = 0.09
 #: Members of a bucket that are compared at once.
 BLOCK = 1024
 #: Shingles that are hashed at once.
@@ -264,34 +265,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def _across(active: DataFrame, threshold: float, best: int | None) -> DataFrame:
     """Pairs of members with different labels, compared sketch by sketch in blocks.
 
-    ``active`` has bucket, n (its members), pivot, main (the pivot's label), node, label,
+    ``active`` has bucket, band, n (its members), pivot, main (the pivot's label), node, label,
     n_shingles and registers. One side of each pair lies outside the pivot's component; pairs
-    with the pivot itself have been compared before. ``best`` keeps that many partners for
-    each row, block and bucket.
+    with the pivot itself have been compared before. A pair is given out once: in the first
+    band that both share, and by the smaller node if both lie outside. ``best`` keeps that many
+    partners for each row, block and bucket.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     base = active.where("node != pivot").withColumn("_blocks", blocks)
     base = base.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    fields = ["bucket", "node", "label", "n_shingles", "registers"]
+    fields = ["bucket", "band", "main", "node", "label", "n_shingles", "registers"]
+    tasks = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asking = base.where("label != main").select(*fields, "_own", every, F.lit(True).alias("asks"))
     asking = asking.select("bucket", F.col("_own").alias("_row"), F.col("_other").alias("_column"), *fields[1:], "asks")
     asked = base.select(*fields, "_own", every, F.lit(False).alias("asks"))
     asked = asked.select("bucket", F.col("_other").alias("_row"), F.col("_own").alias("_column"), *fields[1:], "asks")
-    dealt = asking.union(asked).repartition("bucket", "_row", "_column")
+    dealt = asking.union(asked).repartition(tasks, "bucket", "_row", "_column")
     dealt = dealt.sortWithinPartitions("bucket", "_row", "_column")
 
     def compare(group: list[tuple]):
-        nodes, labels, sizes, values, asks = (np.array(c) for c in zip(*[g[3:] for g in group], strict=True))
+        asks = np.array([g[9] for g in group])
         rows, columns = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(rows) or not len(columns):
             return
-        table = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(-1, REGISTERS)
-        partners = table[columns]
+        nodes, labels, sizes = (np.array([g[k] for g in group]) for k in (5, 6, 7))
+        table = np.frombuffer(b"".join(g[8] for g in group), np.uint16).reshape(-1, REGISTERS)
+        band, main = group[0][3], group[0][4]
+        partners, outside = table[columns], labels[columns] != main
         for r in rows:
-            equal = (partners == table[r]).sum(1)
+            same = partners == table[r]
+            # bytes of 0 and 1: sums of eight columns at a time, then of the eight
+            equal = same.view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1)
             near = (equal >= REGISTERS * (threshold - SLACK - 0.08)) & (labels[columns] != labels[r])
+            near &= ~outside | (nodes[columns] > nodes[r])
             near = np.flatnonzero(near)
+            shared = same[near, : BAND * BANDS].reshape(len(near), BANDS, BAND).all(2)
+            near = near[shared.argmax(1) == band]
             if not len(near):
                 continue
             own = partners[near]
@@ -338,9 +348,9 @@ def near_groups(
     )
     bands = [
         F.xxhash64(F.lit(k), F.substring("registers", 2 * BAND * k + 1, 2 * BAND))
-        for k in range(REGISTERS // BAND)
+        for k in range(BANDS)
     ]
-    members = reps.select("node", F.explode(F.array(*bands)).alias("bucket"))
+    members = reps.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"))
     shared = shared.where("n > 1").withColumnRenamed("bucket", "_bucket")
     members = materialize(
