@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -10,6 +12,10 @@ from sluice.operators.events import last_n, status_aggregates
 from sluice.session import scratch_path
 
 
+#: Micro-batches whose updates are folded into one table.
+EVERY = 32
+
+
 def read_events(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100
 ) -> DataFrame:
@@ -40,29 +46,61 @@ def stream_status(
     path: str | None = None,
     checkpoint: str | None = None,
     timeout: int | None = None,
+    every: int = EVERY,
 ) -> DataFrame:
     """Status per task, kept current as events arrive; equals ``fold_status`` in the end.
 
     Each micro-batch writes the tasks it changed under its own number, so a batch that is
-    run again replaces itself. The newest entry per task is the answer.
+    run again replaces itself. The newest entry per task is the answer. After every ``every``
+    batches the updates are folded into one table; what an earlier fold holds is deleted, so
+    what is stored stays below two folds and twice ``every`` updates. A batch that is run
+    again still finds all it needs.
     """
     spark = events.sparkSession
     path = path or scratch_path(spark, "status")
     checkpoint = checkpoint or scratch_path(spark, "checkpoint")
     folded = events.groupBy("uid").agg(*status_aggregates())
+    schema = folded.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/updates/batch={number}")
+        if number % every == every - 1:
+            before = [n for n in _numbers(spark, f"{path}/folded", "upto") if n < number]
+            newest = _newest(spark, path, schema, max(before, default=-1), number)
+            newest.write.mode("overwrite").parquet(f"{path}/folded/upto={number}")
+            for n in _numbers(spark, f"{path}/updates", "batch"):
+                if n <= max(before, default=-1):
+                    _delete(spark, f"{path}/updates/batch={n}")
+            for n in before:
+                if n < max(before):
+                    _delete(spark, f"{path}/folded/upto={n}")
 
     _drain(folded.writeStream.outputMode("update").foreachBatch(write), checkpoint, timeout)
-    return read_status(spark, path, folded.schema)
+    return read_status(spark, path, schema)
 
 
-def read_status(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    updates = spark.read.schema(StructType(schema.fields).add("batch", "long")).parquet(path)
+def _newest(spark: SparkSession, path: str, schema: StructType, fold: int, last: int) -> DataFrame:
+    """The newest entry per task of the fold up to ``fold`` and the updates up to ``last``."""
     columns = [c for c in schema.names if c != "uid"]
-    newest = F.max_by(F.struct(*columns), "batch")
-    return updates.groupBy("uid").agg(newest.alias("_s")).select("uid", "_s.*")
+    known = [
+        spark.read.schema(schema).parquet(f"{path}/updates/batch={n}").withColumn("_batch", F.lit(n))
+        for n in _numbers(spark, f"{path}/updates", "batch")
+        if fold < n <= last
+    ]
+    if fold >= 0:
+        stored = spark.read.schema(schema).parquet(f"{path}/folded/upto={fold}")
+        known.append(stored.withColumn("_batch", F.lit(fold)))
+    if not known:
+        return spark.createDataFrame([], schema)
+    newest = F.max_by(F.struct(*columns), "_batch")
+    return reduce(DataFrame.unionByName, known).groupBy("uid").agg(newest.alias("_s")).select("uid", "_s.*")
+
+
+def read_status(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The status that a stream has left at ``path``."""
+    folds = _numbers(spark, f"{path}/folded", "upto")
+    last = max(_numbers(spark, f"{path}/updates", "batch"), default=-1)
+    return _newest(spark, path, schema, max(folds, default=-1), last)
 
 
 def stream_last_n(
@@ -90,20 +128,28 @@ def stream_last_n(
             known = before.unionByName(batch)
         last_n(known, n).write.mode("overwrite").parquet(f"{path}/version={number}")
         if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            _delete(spark, f"{path}/version={number - 2}")
 
     _drain(events.writeStream.foreachBatch(write), checkpoint, timeout)
-    versions = _versions(spark, path)
+    versions = _numbers(spark, path, "version")
     if not versions:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/version={max(versions)}")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the finished folders ``name=...`` below ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(at):
         return []
-    names = [status.getPath().getName() for status in files.listStatus(at)]
-    return [int(name.removeprefix("version=")) for name in names if name.startswith("version=")]
+    folders = [status.getPath() for status in files.listStatus(at)]
+    done = [f for f in folders if files.exists(hadoop.Path(f, "_SUCCESS"))]
+    names = [f.getName() for f in done]
+    return sorted(int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}="))

@@ -32,6 +32,14 @@ def test_status(spark, parts):
     assert rows(got) == rows(events.fold_status(t.as_task_events(spark.read.parquet(parts))))
 
 
+def test_updates_are_folded_and_deleted(spark, parts, tmp_path):
+    path = tmp_path / "status"
+    got = streams.stream_status(stream(spark, parts), path=f"file:{path}", every=2)
+    assert rows(got) == rows(events.fold_status(t.as_task_events(spark.read.parquet(parts))))
+    assert {p.name for p in (path / "updates").glob("batch=*")} == {"batch=2", "batch=3", "batch=4"}
+    assert {p.name for p in (path / "folded").glob("upto=*")} == {"upto=1", "upto=3"}
+
+
 def test_last_n(spark, parts):
     got = streams.stream_last_n(stream(spark, parts), 5)
     assert rows(got) == rows(events.last_n(t.as_task_events(spark.read.parquet(parts)), 5))
