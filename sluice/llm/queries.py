@@ -112,3 +112,42 @@ def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE["op2_substring_dedup"] = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+     windows as (select doc_id, i, array_to_string(ws[i : i + 49], ' ') as k
+                 from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from words)),
+     least as (select k, min(doc_id) as low from windows group by k),
+     gone as (select distinct doc_id, i + unnest(range(50)) as p
+              from windows join least using (k) where low < doc_id),
+     placed as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from words),
+     kept as (select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n
+              from placed anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(kept.text, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+ORACLE["op10_minhash_near_dedup"] = rf"""
+with recursive
+     words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                                 '[^\x20\x09-\x0D]+') as ws from documents),
+     sets as (select distinct doc_id, sh from (
+                select doc_id, unnest(case when len(ws) < 5 then [array_to_string(ws, ' ')]
+                    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) end) as sh
+                from words where len(ws) > 0)),
+     sizes as (select doc_id, count(*) as c from sets group by doc_id),
+     pairs as (select x.doc_id as a, y.doc_id as b, count(*) as k from sets x join sets y using (sh)
+               where x.doc_id < y.doc_id group by all),
+     links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+               where 100 * k >= 75 * (x.c + y.c - k)),
+     both_ways as (select a, b from links union all select b, a from links),
+     reach as (select doc_id, doc_id as r from documents
+               union select reach.doc_id, both_ways.b from reach join both_ways on both_ways.a = reach.r),
+     least as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, coalesce(c, 0) as n_shingles, component_id, doc_id = component_id as kept
+from least left join sizes using (doc_id)
+"""
