@@ -24,8 +24,8 @@ from sluice.llm.bytewords import flat, slices, spread
 
 CAPACITY = 2048
 #: Parts of words whose ids a task remembers, and bytes of text that are encoded at once.
-REMEMBERED = 1_000_000
-BATCH_BYTES = 16 << 20
+REMEMBERED = 400_000
+BATCH_BYTES = 6 << 20
 
 _LETTERS = "a-zÀ-ÖØ-öø-ÿ"
 
