@@ -24,18 +24,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.bytewords import flat, slices
+from sluice.llm.bytewords import flat, slices, spread
 from sluice.session import materialize
 
 HIDDEN = 16
 #: Words whose probability depends on the state, in classes of this many.
-SHARP, SHARP_CLASS = 1024, 32
+SHARP, SHARP_CLASS = 512, 32
 #: Further classes of numbered words, by equal shares of the tokens.
-FLAT_CLASSES = 31
+FLAT_CLASSES = 15
 #: Numbered words at most, and bytes of the longest word that is numbered.
 NUMBERED, LONGEST = 1 << 18, 64
 #: Steps of backpropagation, bytes of text that run at once, lanes at most.
 WINDOW, SLICE, LANES = 16, 16 << 20, 1024
+#: Tokens that training runs through with one state; scoring carries it to the document's end.
+SEGMENT = 1024
 #: Share of the training documents in the first round, in 1/16.
 FIRST_ROUND = 1
 
@@ -155,29 +157,36 @@ def lanes(sizes: np.ndarray) -> list[list[int]]:
     return [dealt[k] for k in np.argsort(-length, kind="stable") if dealt[k]]
 
 
-def streams(numbers: np.ndarray, bounds: np.ndarray, v: Vocabulary):
-    """Inputs, targets (-1: none), rows and first-step flags as matrices of steps by lanes."""
-    end = len(v.words)
+def streams(numbers: np.ndarray, bounds: np.ndarray, v: Vocabulary, segment: int | None = None):
+    """Inputs, targets (-1: none), rows and active lanes as matrices of steps by lanes.
+
+    Each text is one run of tokens, its end included, or several of up to ``segment`` tokens.
+    """
     sizes = np.diff(bounds) + 1
-    dealt = lanes(sizes)
-    steps = int(sizes[dealt[0]].sum())
-    target = np.full((steps, len(dealt)), -1, np.int32)
-    entry = np.full((steps, len(dealt)), v.start, np.int32)
-    row = np.zeros((steps, len(dealt)), np.int32)
-    whole = np.full(int(sizes.sum()), end, np.int32)
     edge = np.r_[0, np.cumsum(sizes)]
+    whole = np.full(int(edge[-1]), len(v.words), np.int32)
     mask = np.ones(len(whole), bool)
     mask[edge[1:] - 1] = False
     whole[mask] = numbers
+    longest = segment or int(sizes.max())
+    pieces = -(-sizes // longest)
+    owner = np.repeat(np.arange(len(sizes)), pieces)
+    begin = edge[owner] + spread(pieces) * longest
+    length = np.minimum(edge[owner + 1] - begin, longest)
+    dealt = lanes(length)
+    steps = int(length[dealt[0]].sum())
+    target = np.full((steps, len(dealt)), -1, np.int32)
+    entry = np.full((steps, len(dealt)), v.start, np.int32)
+    row = np.zeros((steps, len(dealt)), np.int32)
     active = np.zeros(steps, np.int64)
-    for k, rows in enumerate(dealt):
+    for k, parts in enumerate(dealt):
         at = 0
-        for r in rows:
-            n = int(sizes[r])
-            own = whole[edge[r] : edge[r + 1]]
+        for part in parts:
+            n = int(length[part])
+            own = whole[begin[part] : begin[part] + n]
             target[at : at + n, k] = own
             entry[at + 1 : at + n, k] = v.entry[own[:-1]]
-            row[at : at + n, k] = r
+            row[at : at + n, k] = owner[part]
             at += n
         active[:at] += 1
     return entry, target, row, active
@@ -257,7 +266,7 @@ def log_likelihoods(w: dict, numbers: np.ndarray, bounds: np.ndarray, v: Vocabul
 
 def train_slice(w: dict, memory: dict, numbers, bounds, v: Vocabulary, rate: float) -> None:
     """Truncated backpropagation over the texts, updating the weights after every window."""
-    entry, target, _, active = streams(numbers, bounds, v)
+    entry, target, _, active = streams(numbers, bounds, v, SEGMENT)
     h = np.zeros((target.shape[1], HIDDEN), np.float32)
     for first in range(0, len(target), WINDOW):
         grad = {k: np.zeros_like(a) for k, a in w.items()}
@@ -354,13 +363,23 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str = "text", rates: tuple =
 
 
 def learn_vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
-    """Totals of the corpus and its most frequent words (ties: the smaller word first)."""
+    """Totals of the corpus and its most frequent words, in order of frequency, then of the word."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    # Counts fall into fixed ranges; the ranges from the top that hold NUMBERED words at most
+    # are numbered, so that many words and no more reach the driver.
     short = counts.where(F.octet_length("word") <= LONGEST)
-    # NUMBERED words of at most LONGEST bytes: a fixed bound
-    top = short.orderBy(F.desc("c"), "word").limit(NUMBERED).toPandas()
+    short = short.withColumn("_range", F.floor(F.log2("c") * 64).cast("int"))
+    held = 0
+    lowest = 1 << 30
+    for r in short.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_range")).collect():
+        held += r["n"]
+        if held > NUMBERED:
+            break
+        lowest = r["_range"]
+    table = short.where(F.col("_range") >= lowest).select("word", "c").toArrow()
+    top = table.sort_by([("c", "descending"), ("word", "ascending")])
     return Vocabulary(
-        top["word"].tolist(), top["c"].to_numpy(np.int64), int(total["n"]) + documents,
+        top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64), int(total["n"]) + documents,
         int(total["v"]) + (documents > 0), documents,
     )
 
