@@ -22,10 +22,10 @@ def sieve(keys: DataFrame, key: Column):
     rows = (
         bit.groupBy(F.floor(F.col("_bit") / 64).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("bits"))
-        .toPandas()  # BITS / 64 rows at most
+        .toArrow()  # BITS / 64 rows at most
     )
     table = np.zeros(words, np.int64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(table.view(np.uint64))
 
     @F.pandas_udf("boolean")
