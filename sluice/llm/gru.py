@@ -10,7 +10,8 @@ vocabulary.
 Training runs truncated backpropagation through time in every partition, starting from common
 weights, and averages the results by tokens; the first round takes a fixed share of the
 documents, the last one all of them. Documents run in parallel lanes; the state is carried from
-window to window to the end of each document.
+window to window to the end of each document. In training, the documents that are left when few
+lanes still run wait with their state and go on beside the next documents.
 """
 
 from __future__ import annotations
@@ -24,20 +25,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.bytewords import flat, slices, spread
+from sluice.llm.bytewords import flat, slices
 from sluice.session import materialize
 
 HIDDEN = 16
 #: Words whose probability depends on the state, in classes of this many.
-SHARP, SHARP_CLASS = 512, 32
+SHARP, SHARP_CLASS = 1024, 32
 #: Further classes of numbered words, by equal shares of the tokens.
-FLAT_CLASSES = 15
+FLAT_CLASSES = 31
 #: Numbered words at most, and bytes of the longest word that is numbered.
 NUMBERED, LONGEST = 1 << 18, 64
 #: Steps of backpropagation, bytes of text that run at once, lanes at most.
 WINDOW, SLICE, LANES = 16, 16 << 20, 1024
-#: Tokens that training runs through with one state; scoring carries it to the document's end.
-SEGMENT = 1024
+#: Mean tokens of a lane in training, at least and (unless LANES are full) at most.
+LANE_TOKENS = 256, 1024
+#: Unfinished documents that training may put off, and their tokens, at most.
+WAITING, WAITING_TOKENS = 256, 1 << 21
 #: Share of the training documents in the first round, in 1/16.
 FIRST_ROUND = 1
 
@@ -142,14 +145,18 @@ def start_weights(v: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
     }
 
 
-def lanes(sizes: np.ndarray) -> list[list[int]]:
-    """Rows dealt to lanes of even length, longest lane first."""
-    longest = int(sizes.max())
-    count = int(np.clip(sizes.sum() // max(longest, 256), 1, LANES))
-    heap = [(0, k) for k in range(count)]
-    dealt: list[list[int]] = [[] for _ in range(count)]
+def lanes(sizes: np.ndarray, count: int | None = None, first: int = 0) -> list[list[int]]:
+    """Rows dealt to lanes of even length, longest lane first.
+
+    The ``first`` rows begin a lane each; the others go longest first to the shortest lane.
+    """
+    count = count or int(np.clip(sizes.sum() // max(int(sizes.max()), 256), 1, LANES))
+    dealt: list[list[int]] = [[k] if k < first else [] for k in range(count)]
     length = np.zeros(count, np.int64)
-    for row in np.argsort(-sizes, kind="stable").tolist():
+    length[:first] = sizes[:first]
+    heap = [(int(n), k) for k, n in enumerate(length)]
+    heapq.heapify(heap)
+    for row in (first + np.argsort(-sizes[first:], kind="stable")).tolist():
         total, k = heapq.heappop(heap)
         dealt[k].append(row)
         length[k] = total + int(sizes[row])
@@ -157,36 +164,37 @@ def lanes(sizes: np.ndarray) -> list[list[int]]:
     return [dealt[k] for k in np.argsort(-length, kind="stable") if dealt[k]]
 
 
-def streams(numbers: np.ndarray, bounds: np.ndarray, v: Vocabulary, segment: int | None = None):
-    """Inputs, targets (-1: none), rows and active lanes as matrices of steps by lanes.
-
-    Each text is one run of tokens, its end included, or several of up to ``segment`` tokens.
-    """
-    sizes = np.diff(bounds) + 1
-    edge = np.r_[0, np.cumsum(sizes)]
+def _with_ends(numbers: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' numbers with the end after each text, and where the texts begin in them."""
+    edge = np.r_[0, np.cumsum(np.diff(bounds) + 1)]
     whole = np.full(int(edge[-1]), len(v.words), np.int32)
     mask = np.ones(len(whole), bool)
     mask[edge[1:] - 1] = False
     whole[mask] = numbers
-    longest = segment or int(sizes.max())
-    pieces = -(-sizes // longest)
-    owner = np.repeat(np.arange(len(sizes)), pieces)
-    begin = edge[owner] + spread(pieces) * longest
-    length = np.minimum(edge[owner + 1] - begin, longest)
-    dealt = lanes(length)
-    steps = int(length[dealt[0]].sum())
+    return whole, edge
+
+
+def streams(numbers: np.ndarray, bounds: np.ndarray, v: Vocabulary):
+    """Inputs, targets (-1: none), rows and active lanes as matrices of steps by lanes.
+
+    Each text is one run of tokens, its end included.
+    """
+    whole, edge = _with_ends(numbers, bounds, v)
+    sizes = np.diff(edge)
+    dealt = lanes(sizes)
+    steps = int(sizes[dealt[0]].sum())
     target = np.full((steps, len(dealt)), -1, np.int32)
     entry = np.full((steps, len(dealt)), v.start, np.int32)
     row = np.zeros((steps, len(dealt)), np.int32)
     active = np.zeros(steps, np.int64)
-    for k, parts in enumerate(dealt):
+    for k, rows in enumerate(dealt):
         at = 0
-        for part in parts:
-            n = int(length[part])
-            own = whole[begin[part] : begin[part] + n]
+        for r in rows:
+            n = int(sizes[r])
+            own = whole[edge[r] : edge[r + 1]]
             target[at : at + n, k] = own
             entry[at + 1 : at + n, k] = v.entry[own[:-1]]
-            row[at : at + n, k] = owner[part]
+            row[at : at + n, k] = r
             at += n
         active[:at] += 1
     return entry, target, row, active
@@ -264,25 +272,59 @@ def log_likelihoods(w: dict, numbers: np.ndarray, bounds: np.ndarray, v: Vocabul
     return total
 
 
-def train_slice(w: dict, memory: dict, numbers, bounds, v: Vocabulary, rate: float) -> None:
-    """Truncated backpropagation over the texts, updating the weights after every window."""
-    entry, target, _, active = streams(numbers, bounds, v, SEGMENT)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for first in range(0, len(target), WINDOW):
+def _put_off(length: np.ndarray) -> int:
+    """Steps after which few enough lanes and tokens are left to wait; lengths are descending."""
+    low, high = int(length[min(WAITING, len(length) // 4)]), int(length[0])
+    while low < high:
+        middle = (low + high) // 2
+        if np.maximum(length - middle, 0).sum() <= WAITING_TOKENS:
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
+def train_slice(
+    w: dict, memory: dict, numbers, bounds, v: Vocabulary, rate: float, waiting: tuple = (), finish: bool = True
+) -> list:
+    """Truncated backpropagation over the texts, updating the weights after every window.
+
+    ``waiting`` holds what earlier calls put off: of each text the last input, the state and
+    the tokens left. Unless told to ``finish``, the call puts texts off in its turn.
+    """
+    whole, edge = _with_ends(numbers, bounds, v)
+    parts = [left for _, _, left in waiting] + [whole[a:b] for a, b in zip(edge, edge[1:])]
+    if not parts:
+        return []
+    sizes = np.array([len(part) for part in parts])
+    count = int(sizes.sum()) // int(np.clip(sizes.max(), *LANE_TOKENS))
+    dealt = lanes(sizes, int(np.clip(count, max(len(waiting), 1), LANES)), len(waiting))
+    length = np.array([int(sizes[rows].sum()) for rows in dealt])
+    begin = np.r_[0, np.cumsum(length)]
+    target = np.concatenate([parts[r] for rows in dealt for r in rows])
+    entry = np.r_[v.start, v.entry[target[:-1]]].astype(np.int32)
+    entry[np.r_[0, np.cumsum(sizes[[r for rows in dealt for r in rows]])[:-1]]] = v.start
+    h = np.zeros((len(dealt), HIDDEN), np.float32)
+    for k, rows in enumerate(dealt):
+        if rows[0] < len(waiting):
+            entry[begin[k]], h[k] = waiting[rows[0]][:2]
+    begin = begin[:-1]
+    steps = int(length[0]) if finish else _put_off(length)
+    active = np.searchsorted(-length, -np.arange(steps), "left")
+    for first in range(0, steps, WINDOW):
         grad = {k: np.zeros_like(a) for k, a in w.items()}
         table = w["x"] + w["b"]
         kept, states, wanted = [], [], []
-        for t in range(first, min(first + WINDOW, len(target))):
-            n = int(active[t])
-            inputs = entry[t, :n]
+        for t in range(first, min(first + WINDOW, steps)):
+            at = begin[: active[t]] + t
+            inputs = entry[at]
             alive = (inputs != v.start).astype(np.float32)[:, None]
-            h, parts = _step(w, table[inputs], h[:n] * alive)
-            kept.append((inputs, alive, parts))
+            h, way = _step(w, table[inputs], h[: len(at)] * alive)
+            kept.append((inputs, alive, way))
             states.append(h)
-            wanted.append(target[t, :n])
-        sizes = [len(s) for s in states]
+            wanted.append(target[at])
         _, back = _outputs(w, np.concatenate(states), np.concatenate(wanted), v, grad)
-        edges = np.r_[0, np.cumsum(sizes)]
+        edges = np.r_[0, np.cumsum([len(s) for s in states])]
         later = np.zeros((0, HIDDEN), np.float32)
         dxs, ins = [], []
         for t in range(len(kept) - 1, -1, -1):
@@ -307,6 +349,16 @@ def train_slice(w: dict, memory: dict, numbers, bounds, v: Vocabulary, rate: flo
             g /= edges[-1] ** 0.5
             memory[name] += g * g
             w[name] -= (rate * g / np.sqrt(memory[name] + 1e-6)).astype(np.float32)
+    left = []
+    for k in range(int(np.searchsorted(-length, -steps, "left"))):
+        at = steps
+        for r in dealt[k]:  # the text that runs at this step goes on, those behind it begin later
+            n = int(sizes[r])
+            if at < n:
+                goes_on = at > 0 or r < len(waiting)
+                left.append((entry[begin[k] + steps] if goes_on else v.start, h[k], parts[r][max(at, 0) :].copy()))
+            at -= n
+    return left
 
 
 def _numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
@@ -335,13 +387,14 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str = "text", rates: tuple =
             v = Vocabulary(*state)
             w = {k: a.copy() for k, a in start.items()}
             memory = {k: np.zeros_like(a) for k, a in w.items()}
-            known, seen = pa.array(v.words, pa.string()), 0
+            known, seen, waiting = pa.array(v.words, pa.string()), 0, []
             for batch in batches:
                 _, offsets = flat(batch.column(0))
                 for a, b in slices(offsets, SLICE):
                     words, bounds = word_lists(batch.column(0).slice(a, b - a))
-                    train_slice(w, memory, _numbered(words, known), bounds, v, rate)
+                    waiting = train_slice(w, memory, _numbered(words, known), bounds, v, rate, waiting, False)
                     seen += len(words) + b - a
+            train_slice(w, memory, np.zeros(0, np.int64), np.zeros(1, np.int64), v, rate, waiting)
             if seen:
                 values = np.concatenate([w[k].ravel() for k in w]).astype(float) * seen
                 yield pa.RecordBatch.from_arrays(

@@ -214,6 +214,46 @@ def test_state_is_carried_over_windows(monkeypatch):
     assert np.allclose(whole, one, rtol=1e-4)
 
 
+def test_training_carries_the_state_to_the_end_of_each_text(monkeypatch):
+    v, w, *_ = small_model()
+    rng = np.random.default_rng(10)
+    bounds = np.r_[0, np.cumsum([3000, 0, 40, 5, *rng.integers(0, 90, 40)])]
+    numbers = rng.choice([3, 70, 1023, 1400, 1501], bounds[-1]).astype(np.int64)
+    expected = gru.log_likelihoods(w, numbers, bounds, v).sum()
+    seen, outputs = [], gru._outputs
+
+    def noted(*args):
+        out, back = outputs(*args)
+        seen.append((len(out), float(out.sum())))
+        return out, back
+
+    monkeypatch.setattr(gru, "_outputs", noted)
+    memory = {k: np.zeros_like(a) for k, a in w.items()}
+    gru.train_slice(w, memory, numbers, bounds, v, 0.0)
+    assert sum(n for n, _ in seen) == len(numbers) + len(bounds) - 1
+    assert abs(sum(x for _, x in seen) - expected) < 1e-4 * abs(expected)
+    for most, most_tokens in ((4, 1 << 21), (0, 1 << 21), (4, 100), (9, 1 << 21)):
+        monkeypatch.setattr(gru, "WAITING", most)
+        monkeypatch.setattr(gru, "WAITING_TOKENS", most_tokens)
+        monkeypatch.setattr(gru, "LANE_TOKENS", (10, 60))
+        seen.clear()
+        waiting = []
+        for a in range(0, len(bounds) - 1, 9):
+            own = bounds[a : a + 10]
+            waiting = gru.train_slice(w, memory, numbers[own[0] : own[-1]], own - own[0], v, 0.0, waiting, False)
+            assert len(waiting) <= most and sum(len(left) for *_, left in waiting) <= most_tokens
+        gru.train_slice(w, memory, np.zeros(0, np.int64), np.zeros(1, np.int64), v, 0.0, waiting)
+        assert sum(n for n, _ in seen) == len(numbers) + len(bounds) - 1
+        assert abs(sum(x for _, x in seen) - expected) < 1e-4 * abs(expected)
+
+
+def test_words_of_rank_1000_depend_on_the_state_and_are_their_own_input():
+    v, w, *_ = small_model()
+    h = np.repeat(np.random.default_rng(11).normal(0, 1, (2, gru.HIDDEN)), 2, 0)
+    logs, _ = gru._outputs(w, h, np.array([1000, 1001, 1000, 1001]), v)
+    assert abs((logs[0] - logs[1]) - (logs[2] - logs[3])) > 1e-3 and v.entry[1000] != v.entry[1001]
+
+
 def test_training_learns_an_order(spark):
     rows = [(k, "red green blue " * 30) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
