@@ -15,8 +15,8 @@ from sluice.session import ensure_shared_dir, materialize
 #: Columns of the stages, named so that no column of the documents is in their way.
 LANGUAGE = ("__lang_pred", "__lang_score", "__lang_mixture")
 TOPIC, TOKENS = "__mixing_topic", "__mixing_tokens"
-MIXING = ("__mixing_weight", "__mixing_probability", "__mixing_sampled")
-#: Expected share of all tokens that the mixing stage samples.
+MIXING = ("__mixing_weight", "__mixing_probability", "__mixing_sampled", "__mixing_copies")
+#: Expected tokens of what the mixing stage gives, as a share of all tokens.
 KEEP = 0.8
 
 
@@ -38,11 +38,13 @@ def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics meet tempered shares."""
+    """Documents sampled, or repeated, so that sources, languages and topics meet tempered shares."""
     classed = docs.withColumn(TOPIC, topic_of(F.col("text"))).withColumn(TOKENS, tokens_of(F.col("text")))
     narrow = materialize(classed.select("source", "lang", TOPIC, TOKENS), "classes")
     targets = tempered_targets(narrow, ["source", "lang", TOPIC], TOKENS)
-    return mix(classed, targets, TOKENS, KEEP, cells=narrow, new=MIXING).where(MIXING[2]).select(*docs.columns)
+    mixed = mix(classed, targets, TOKENS, KEEP, cells=narrow, new=MIXING).where(MIXING[2])
+    copies = F.explode(F.sequence(F.lit(1), F.col(MIXING[3]))).alias(MIXING[0])
+    return mixed.select(*docs.columns, copies).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

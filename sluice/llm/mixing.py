@@ -2,8 +2,9 @@
 
 Tokens are summed over the cells of source, language and topic. Raking scales the cells until
 the marginals meet their targets; a row's calibrated weight is the product of the factors of
-its three classes. Rows are drawn by a hash of their id, with probabilities in proportion to
-the weight and capped at 1; the scale is solved so that the expected tokens meet the total.
+its three classes. A row's expected copies are in proportion to the weight, so that the expected
+tokens meet the total and the targets alike: the whole part is given to every row, the rest is
+drawn by a hash of the id.
 Only classes that the targets name have cells of their own; the rest form the class ``other``,
 so the cells that reach the driver are bounded by the targets, not by the data.
 """
@@ -126,13 +127,15 @@ def mix(
     id_col: str = "doc_id",
     seed: int = 0,
     cells: DataFrame | None = None,
-    new: tuple[str, str, str] = ("mix_weight", "probability", "sampled"),
+    new: tuple[str, str, str, str] = ("mix_weight", "probability", "sampled", "copies"),
 ) -> DataFrame:
-    """Adds ``mix_weight``, ``probability`` and ``sampled`` to every row (or what ``new`` calls them).
+    """Adds ``mix_weight``, ``probability``, ``sampled`` and ``copies`` to every row (or what ``new`` calls them).
 
     ``targets`` maps each dimension's column to the wanted token shares of its classes; nulls
     and classes that are not named belong to ``other``, which keeps its share. ``keep`` is the
-    expected share of all tokens that is sampled. Rows without tokens have the weight of
+    expected tokens of all copies as a share of all tokens. A row whose expected copies exceed 1
+    is sampled with probability 1 and repeated: capped there, its classes would miss their
+    targets. Rows without tokens have the weight of
     their classes. The draw depends on the id and ``seed`` only, so rows that repeat an id
     are drawn alike; a null id is drawn like any other value. An empty table stays empty.
     ``cells`` may be a stored copy of the class and token columns, to be summed instead.
@@ -154,7 +157,8 @@ def mix(
     weights = np.ones(shape)
     for axis, factor in enumerate(factors):
         weights = weights * factor.reshape([-1 if k == axis else 1 for k in range(len(shape))])
-    scale = sampling_scale(sums, weights, keep * sums.sum())
+    mass = float((sums * weights).sum())
+    scale = keep * float(sums.sum()) / mass if mass > 0 else 0.0
     weight = F.lit(1.0)
     for dimension, own, factor in zip(dimensions, names, factors, strict=True):
         looked_up = F.element_at(F.array(*[F.lit(float(f)) for f in factor]), _class_index(dimension, own) + 1)
@@ -164,6 +168,8 @@ def mix(
     return (
         docs.select(*[F.col(f"`{c}`") for c in kept])
         .withColumn(new[0], weight)
-        .withColumn(new[1], F.least(F.lit(1.0), F.lit(float(scale)) * F.col(new[0])))
+        .withColumn(new[3], F.lit(float(scale)) * F.col(new[0]))
+        .withColumn(new[1], F.least(F.lit(1.0), F.col(new[3])))
         .withColumn(new[2], draw < F.col(new[1]))
+        .withColumn(new[3], F.floor(F.col(new[3])) + (draw < F.col(new[3]) - F.floor(F.col(new[3]))).cast("long"))
     )

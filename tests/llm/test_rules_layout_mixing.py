@@ -158,6 +158,21 @@ def test_sampling_hits_targets_and_total(spark):
     assert again.count() == got.where("sampled").count()
 
 
+def test_targets_and_total_are_met_where_a_dominant_class_leaves_no_room(spark):
+    df = spark.range(40_000).selectExpr(
+        "id as doc_id", "if(id % 20 = 0, 'rare', 'prose') as source",
+        "if(id % 3 = 0, 'fr', 'en') as lang", "cast(1 + id % 9 as long) as tokens",
+    )
+    targets = {"source": {"rare": 0.3, "prose": 0.7}, "lang": {"fr": 0.5, "en": 0.5}}
+    got = mix(df, targets, "tokens", keep=0.8).cache()
+    total = got.agg(F.sum("tokens")).first()[0]
+    kept = got.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
+    assert abs(kept / total - 0.8) < 0.02 and got.where("probability > 1 or sampled != (copies > 0)").isEmpty()
+    for dimension, wanted in targets.items():
+        shares = got.groupBy(dimension).agg((F.sum(F.col("tokens") * F.col("copies")) / kept).alias("s")).collect()
+        assert all(abs(r.s - wanted[r[0]]) < 0.02 for r in shares)
+
+
 def test_mixing_on_odd_rows(spark):
     docs = odd_documents(spark).withColumn("topic", topic_of(F.col("text"))).withColumn("tokens", tokens_of(F.col("text")))
     targets = tempered_targets(docs, ["source", "lang", "topic"], "tokens")
