@@ -30,6 +30,10 @@ TOPICS = {
     "shouting": ("!!",),
 }
 
+#: Scripts written without blanks between words; their letters count one by one, with their marks.
+_UNSPACED = "".join(rf"\p{{Is{s}}}" for s in "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split())
+_TOKEN = rf"[{_UNSPACED}&&\p{{L}}]\p{{M}}*+|[^\s\x85\p{{Z}}{_UNSPACED}]++|[{_UNSPACED}&&[^\p{{L}}]]++"
+
 
 def topic_of(text: Column) -> Column:
     """A coarse topic from the form of the text: the first that matches, else ``prose``."""
@@ -43,10 +47,8 @@ def topic_of(text: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """Token weight of a text: its blanks and line ends, plus one; 0 if it is null or empty."""
-    bare = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
-    count = F.octet_length(text) - F.octet_length(bare) + 1
-    return F.when(F.octet_length(text) > 0, count).otherwise(0).cast("long")
+    """Token weight of a text: its words between blanks of any kind, and each letter of an unspaced script."""
+    return F.coalesce(F.regexp_count(text, F.lit(_TOKEN)), F.lit(0)).cast("long")
 
 
 def tempered_targets(

@@ -173,6 +173,16 @@ def test_targets_and_total_are_met_where_a_dominant_class_leaves_no_room(spark):
         assert all(abs(r.s - wanted[r[0]]) < 0.02 for r in shares)
 
 
+def test_tokens_are_words_and_letters_of_unspaced_scripts(spark):
+    expected = {
+        "one two\nthree": 3, "a\tb\u00a0c\u3000d": 4, "  a    b  ": 2, " \n\t ": 0, "": 0, None: 0, "日本語": 3,
+        "カタカナ text": 5, "ไทย": 3, "ที่นี่": 2, "naïve café — x": 4, "über-groß": 1, "I like 日本 a lot": 6,
+    }
+    rows = spark.createDataFrame([(t,) for t in expected], "text string")
+    got = {r.text: r.n for r in rows.select("text", tokens_of(F.col("text")).alias("n")).collect()}
+    assert got == expected
+
+
 def test_mixing_on_odd_rows(spark):
     docs = odd_documents(spark).withColumn("topic", topic_of(F.col("text"))).withColumn("tokens", tokens_of(F.col("text")))
     targets = tempered_targets(docs, ["source", "lang", "topic"], "tokens")
