@@ -26,18 +26,24 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head title script style template noscript iframe noembed noframes object svg math"
+    "head title script style template noscript iframe noembed noframes object"
     " datalist audio video canvas".split()
 )
+#: Elements of drawings and formulas that are not shown, and what may stand in a head.
+FOREIGN = frozenset(("svg", "math"))
+UNSEEN_FOREIGN = frozenset(
+    "desc metadata defs annotation annotation-xml symbol clippath mask marker pattern".split()
+)
+HEAD = frozenset("head html meta link base basefont bgsound title style script noscript noframes template".split())
 #: Elements that begin a line of their own, and those set off by a blank line.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset"
     " figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu"
     " nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul"
-    " caption".split()
+    " caption text".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr menu dir".split())
-CLOSES_P = BLOCKS - frozenset("body html li dd dt td th tr tbody thead tfoot option optgroup caption legend summary".split())
+CLOSES_P = BLOCKS - frozenset("text body html li dd dt td th tr tbody thead tfoot option optgroup caption legend summary".split())
 #: A start tag closes these open elements, up to but not beyond the named scopes.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -106,6 +112,8 @@ def parse(page: str) -> Element:
 
     def text(raw: str) -> None:
         if raw:
+            if path[-1].tag == "head" and _BLANK.sub("", raw):
+                pop()
             path[-1].kids.append(html.unescape(raw) if "&" in raw else raw)
 
     while at < size:
@@ -136,17 +144,23 @@ def parse(page: str) -> Element:
             close(*IMPLIED[tag])
         elif tag not in ("html", "head") and tag in BLOCKS and count.get("head"):
             close({"head"}, set())
+        elif path[-1].tag == "head" and tag not in HEAD:
+            pop()
         if tag in CLOSES_P and count.get("p"):
             close({"p"}, {"table", "td", "th", "button", "object"})
+        foreign = tag in FOREIGN or (any(count.get(t) for t in FOREIGN) and not count.get("foreignobject"))
         node = Element(tag, *_attributes(tag, rest))
+        node.hidden |= foreign and tag in UNSEEN_FOREIGN
         path[-1].kids.append(node)
+        if foreign and rest.endswith("/"):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             inner = page[at : stop.start() if stop else size]
             at = stop.end() if stop else size
             if inner:
                 node.kids.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
-        elif tag not in VOID and not (rest.endswith("/") and tag in ("svg", "math", "path")):
+        elif tag not in VOID and not (rest.endswith("/") and tag == "path"):
             path.append(node)
             count[tag] = count.get(tag, 0) + 1
     return root

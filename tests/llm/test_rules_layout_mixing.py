@@ -96,6 +96,11 @@ def test_rules_are_many_and_well_formed():
         ("<select><option>a<option>b</select>", "a\nb"),
         ("<table><tr><td><table><tr><td>in</td></tr></table></td><td>out</td></tr></table>", "in  out"),
         ("</p></div>left<span", "left<span"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "x=2 holds"),
+        ("<svg><title>no</title><desc>no</desc><defs/><g><text>one</text><text>two</text></g></svg>three", "one\ntwo\nthree"),
+        ("<svg><defs><text>no</text></defs><rect/><style/><a>in</a></svg><desc>out</desc>", "inout"),
+        ("<head><title>T</title>Hello <a>x</a><p>y", "Hello x\n\ny"),
+        ("<head>\n<meta a=b><script>no</script>\n<b>x</b><link>y", "xy"),
     ],
 )
 def test_layout(page, text):
