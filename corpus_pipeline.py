@@ -22,7 +22,10 @@ KEEP = 0.8
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without any language go; a missing language is filled in."""
-    judged = identify(docs, train(docs), carry=docs.columns, new=LANGUAGE)
+    model = train(docs)
+    if not model:  # no row tells a language, so none can be told apart
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = identify(docs, model, carry=docs.columns, new=LANGUAGE)
     judged = judged.where(F.col(LANGUAGE[0]) != NONE)
     return judged.withColumn("lang", F.coalesce("lang", LANGUAGE[0])).select(*docs.columns)
 

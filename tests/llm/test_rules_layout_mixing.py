@@ -210,3 +210,10 @@ def test_pipeline_on_odd_rows(spark):
                 assert sorted(r.doc_id for r in out.collect()) == [2, 6, 7, 9, 9, 10]
             docs = out
         assert (docs.count() > 0) == (most > 0)
+
+
+def test_language_stage_keeps_texts_when_no_language_is_known(spark):
+    docs = odd_documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.known_language(spark, docs, "")
+    assert out.columns == docs.columns and out.where("lang is not null").isEmpty()
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 2, 6, 7, 9, 9, 10]
