@@ -105,7 +105,7 @@ class Terms:
             by_item.setdefault(item, set()).add(int(number[word]))
         self.items = list(by_item)
         self.terms = np.array([t for ts in by_item.values() for t in sorted(ts)], np.int64)
-        self.begin = np.r_[0, np.cumsum([len(ts) for ts in by_item.values()])]
+        self.begin = np.cumsum([0, *[len(ts) for ts in by_item.values()]])
         self.item_of = np.repeat(np.arange(len(self.items)), np.diff(self.begin))
         self.weights = np.zeros(len(words), np.int64)
 
@@ -366,6 +366,8 @@ def ranked_search(
     pairs = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), found.alias("term")).distinct()
     pairs = materialize(pairs, "terms")
     sizes = pairs.agg(F.count(F.lit(1)), F.count_distinct("item_id")).first()
+    if not sizes[0]:
+        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     blocks_of_items = max(1, -(-sizes[0] // terms_at_once), -(-sizes[1] // ITEMS_AT_ONCE))
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks_of_items))
 
@@ -376,6 +378,8 @@ def ranked_search(
     index, answers = None, []
     for number in range(blocks_of_items):
         rows = pairs.where(block_of == number).select("item_id", "term").collect()  # bounded by the block
+        if not rows:
+            continue
         terms = Terms([tuple(r) for r in rows])
         built = index_documents(docs, terms, id_col, text_col)
         if index is None:
