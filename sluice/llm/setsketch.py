@@ -8,16 +8,19 @@ value lies far below the threshold are set aside, all others are verified on the
 
 No bucket is expanded into all its pairs. First every member meets the pivot of its bucket.
 Links make components; then only members outside the component of the pivot are compared
-with the members of other components, sketch against sketch in blocks, at first with the best
-partners, at last with all partners that may be similar. That covers every pair of a bucket
-whose two documents are not already known to belong together.
+with the members of other components, in blocks that hold sketches and texts. A block gives
+out links only, and of these no more than join its components: pairs that turn out not to be
+similar are never listed. That covers every pair of a bucket whose two documents are not
+already known to belong together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.bytewords import (
@@ -27,6 +30,7 @@ from sluice.llm.bytewords import (
     mixed,
     not_blank,
     slices,
+    spread,
     windows,
     word_spans,
 )
@@ -44,8 +48,8 @@ TOP = 65_534
 RATE = 20.0
 #: A pair is set aside if its estimate is this far below the threshold (4 standard errors).
 SLACK = 0.09
-#: Members of a bucket that are compared at once.
-BLOCK = 1024
+#: Members of a bucket, and shingles of their texts, that are compared at once.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Shingles that are hashed at once.
 CHUNK = 1 << 15
 
@@ -221,78 +225,149 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(judge, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full shingle sets are similar: 100 * shared >= 100 * threshold * union."""
+class Sets:
+    """Shingle sets of the texts of a few nodes, as numbers of one common list."""
+
+    def __init__(self, hasher: Hasher, texts: list[str]) -> None:
+        data, offsets = flat(pa.array(texts, pa.large_string()))
+        parts, sizes = [], []
+        for first, last in slices(offsets):
+            own = data[offsets[first] : offsets[last]]
+            sets, begin, _ = shingle_sets(own, offsets[first : last + 1] - offsets[first], hasher)
+            parts.append(sets)
+            sizes.append(np.diff(begin))
+        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.begin = np.r_[0, np.cumsum(self.sizes)]
+        known, self.numbers = np.unique(np.concatenate(parts), return_inverse=True)
+        self.mark = np.zeros(len(known), bool)
+
+    def linked(self, one: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Whether 100 * shared >= percent * union holds between ``one`` and each of ``others``."""
+        mine = self.numbers[self.begin[one] : self.begin[one + 1]]
+        self.mark[mine] = True
+        sizes = self.sizes[others]
+        places = np.repeat(self.begin[others], sizes) + spread(sizes)
+        shared = np.add.reduceat(self.mark[self.numbers[places]].astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+        self.mark[mine] = False
+        return 100 * shared >= percent * (len(mine) + sizes - shared)
+
+
+def _grouped(batches, key: int):
+    """Rows with equal values in their first ``key`` columns, which come one after another."""
+    group, last = [], None
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:key] != last:
+                if group:
+                    yield group
+                group, last = [], row[:key]
+            group.append(row)
+    if group:
+        yield group
+
+
+def _links(found) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes, from lists of pairs, in batches."""
+    held = []
+    for pairs in found:
+        held += pairs
+        if len(held) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=["a", "b"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=["a", "b"])
+
+
+def _star_links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (``hub``, ``node``) whose full shingle sets are similar.
+
+    The nodes of a hub are dealt into groups of at most about ``BLOCK`` nodes and
+    ``BLOCK_SHINGLES`` shingles; each group gets the text of the hub once, so a long hub with
+    very many nodes is copied once for each group and not for each node.
+    """
     percent = round(100 * threshold)
-    joined = pairs
-    for side in ("a", "b"):
-        renamed = texts.select(F.col("node").alias(f"node_{side}"), F.col("text").alias(f"text_{side}"))
-        joined = joined.join(renamed, F.col(side) == F.col(f"node_{side}"))
-    joined = joined.select("a", "b", "text_a", "text_b")
+    spark = pairs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = pairs.groupBy(F.col("hub").alias("_hub")).agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("_groups"))
+    dealt = pairs.join(sizes, F.col("hub") == F.col("_hub"))
+    dealt = dealt.select("hub", "node", F.pmod(F.xxhash64("node"), F.col("_groups")).cast("int").alias("group"))
+    own = texts.select(F.col("node").alias("_node"), "text")
+    spokes = dealt.join(own, F.col("node") == F.col("_node")).select("hub", "group", F.lit(1).alias("part"), "node", "text")
+    hubs = dealt.select("hub", "group").distinct().join(own, F.col("hub") == F.col("_node"))
+    hubs = hubs.select("hub", "group", F.lit(0).alias("part"), F.col("hub").alias("node"), "text")
+    rows = hubs.union(spokes).repartition(tasks, "hub", "group").sortWithinPartitions("hub", "group", "part")
 
     def judge(batches):
-        hasher, known = Hasher(), {}
-
-        def sets_of(nodes: list[int], column: pa.Array) -> list[np.ndarray]:
-            fresh = {n: k for k, n in enumerate(nodes) if n not in known}
-            if len(known) > 512:
-                known.clear()
-                fresh = {n: k for k, n in enumerate(nodes)}
-            some = list(fresh)
-            data, offsets = flat(column.take(pa.array(list(fresh.values()), pa.int64())))
-            for first, last in slices(offsets):
-                part = data[offsets[first] : offsets[last]]
-                sets, begin, _ = shingle_sets(part, offsets[first : last + 1] - offsets[first], hasher)
-                for k in range(last - first):
-                    known[some[first + k]] = sets[begin[k] : begin[k + 1]]
-            return [known[n] for n in nodes]
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                left = sets_of(batch.column(0).to_pylist(), batch.column(2))
-                right = sets_of(batch.column(1).to_pylist(), batch.column(3))
-                ok = []
-                for x, y in zip(left, right, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], names=["a", "b"])
+        hasher = Hasher()
 
-    return joined.mapInArrow(judge, "a long, b long")
+        def found():
+            for group in _grouped(batches, 2):
+                if group[0][2]:
+                    continue
+                sets = Sets(hasher, [g[4] for g in group])
+                ok = sets.linked(0, np.arange(1, len(group)), percent) if len(group) > 1 else []
+                yield [(g[0], g[3]) for g, k in zip(group[1:], ok, strict=True) if k]
+
+        yield from _links(found())
+
+    return rows.mapInArrow(judge, "a long, b long")
 
 
-def _across(active: DataFrame, threshold: float, best: int | None) -> DataFrame:
-    """Pairs of members with different labels, compared sketch by sketch in blocks.
+def _blocks(n: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
-    ``active`` has bucket, band, n (its members), pivot, main (the pivot's label), node, label,
-    n_shingles and registers. One side of each pair lies outside the pivot's component; pairs
-    with the pivot itself have been compared before. A pair is given out once: in the first
-    band that both share, and by the smaller node if both lie outside. ``best`` keeps that many
-    partners for each row, block and bucket.
+
+def _across(active: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between members with different labels, compared and verified in blocks.
+
+    ``active`` has bucket, band, n and shingles (of the bucket), pivot, main (the pivot's label),
+    n_outside (members of other labels), node, label, n_shingles and registers. One side of each
+    pair lies outside the pivot's component; pairs with the pivot itself have been compared
+    before. A pair is looked at once: in the first band that both share, and from the smaller
+    node if both lie outside. Sketches say which pairs may be similar, the full sets of the block
+    decide, and a union-find keeps a block from giving out more links than join its labels:
+    however many pairs are almost similar, nothing is listed for them.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    base = active.where("node != pivot").withColumn("_blocks", blocks)
-    base = base.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    fields = ["bucket", "band", "main", "node", "label", "n_shingles", "registers"]
+    percent = round(100 * threshold)
     tasks = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asking = base.where("label != main").select(*fields, "_own", every, F.lit(True).alias("asks"))
-    asking = asking.select("bucket", F.col("_own").alias("_row"), F.col("_other").alias("_column"), *fields[1:], "asks")
-    asked = base.select(*fields, "_own", every, F.lit(False).alias("asks"))
-    asked = asked.select("bucket", F.col("_other").alias("_row"), F.col("_own").alias("_column"), *fields[1:], "asks")
-    dealt = asking.union(asked).repartition(tasks, "bucket", "_row", "_column")
-    dealt = dealt.sortWithinPartitions("bucket", "_row", "_column")
-
-    def compare(group: list[tuple]):
-        asks = np.array([g[9] for g in group])
-        rows, columns = np.flatnonzero(asks), np.flatnonzero(~asks)
+    own = texts.select(F.col("node").alias("_node"), "text")
+    base = active.where("node != pivot").withColumns(
+        {"_columns": _blocks(F.col("n"), F.col("shingles")), "_outside": F.col("label") != F.col("main")}
+    )
+    # members outside are few where the bucket is large: as many blocks of rows as they need
+    base = base.withColumn("_rows", F.least("_columns", F.greatest(F.lit(1), _blocks(F.col("n_outside"), F.col("shingles_outside")))))
+    single = (F.col("_columns") == 1) & (F.col("_rows") == 1)
+    where = [F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("_rows", "_columns")]
+    none = F.array().cast("array<struct<row:int,column:int,asks:boolean,asked:boolean>>")
+
+    def place(row, column, asks, asked):
+        return F.struct(row.alias("row"), column.alias("column"), asks.alias("asks"), asked.alias("asked"))
+
+    def upto(n):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    yes, no = F.lit(True), F.lit(False)
+    asking = F.transform(upto("_columns"), lambda c: place(where[0], c, yes, no))
+    asked = F.transform(upto("_rows"), lambda r: place(r, where[1], no, yes))
+    places = F.when(single, F.array(place(F.lit(0), F.lit(0), F.col("_outside"), yes))).otherwise(
+        F.concat(F.when(F.col("_outside"), asking).otherwise(none), asked)
+    )
+    fields = ["bucket", "band", "main", "node", "label", "n_shingles", "registers"]
+    dealt = base.select(*fields, F.explode(places).alias("_p")).join(own, F.col("node") == F.col("_node"))
+    dealt = dealt.select("bucket", "_p.row", "_p.column", *fields[1:], "_p.asks", "_p.asked", "text")
+    dealt = dealt.repartition(tasks, "bucket", "row", "column").sortWithinPartitions("bucket", "row", "column")
+
+    def compare(group: list[tuple], hasher: Hasher) -> list[tuple[int, int]]:
+        rows = np.flatnonzero([g[9] for g in group])
+        columns = np.flatnonzero([g[10] for g in group])
         if not len(rows) or not len(columns):
-            return
-        nodes, labels, sizes = (np.array([g[k] for g in group]) for k in (5, 6, 7))
+            return []
+        nodes, sizes = (np.array([g[k] for g in group]) for k in (5, 7))
+        names, labels = np.unique([g[6] for g in group], return_inverse=True)
         table = np.frombuffer(b"".join(g[8] for g in group), np.uint16).reshape(-1, REGISTERS)
         band, main = group[0][3], group[0][4]
-        partners, outside = table[columns], labels[columns] != main
+        outside = names[labels[columns]] != main
+        partners, sets, out = table[columns], None, []
         for r in rows:
             same = partners == table[r]
             # bytes of 0 and 1: sums of eight columns at a time, then of the eight
@@ -304,31 +379,25 @@ def _across(active: DataFrame, threshold: float, best: int | None) -> DataFrame:
             near = near[shared.argmax(1) == band]
             if not len(near):
                 continue
-            own = partners[near]
+            theirs = partners[near]
             value = likely_jaccard(
-                (table[r] > own).sum(1), (table[r] < own).sum(1), np.full(len(near), sizes[r]), sizes[columns[near]]
+                (table[r] > theirs).sum(1), (table[r] < theirs).sum(1), np.full(len(near), sizes[r]), sizes[columns[near]]
             )
-            order = np.argsort(-value, kind="stable")[:best]
-            for k in order[value[order] >= threshold - SLACK]:
-                x, y = int(nodes[r]), int(nodes[columns[near[k]]])
-                yield min(x, y), max(x, y)
+            near = columns[near[value >= threshold - SLACK]]
+            if not len(near):
+                continue
+            sets = sets or Sets(hasher, [g[11] for g in group])
+            for c in near[sets.linked(r, near, percent)]:
+                if labels[c] != labels[r]:
+                    labels[labels == labels[c]] = labels[r]
+                    out.append((int(nodes[r]), int(nodes[c])))
+        return out
 
     def judge(batches):
-        group, key = [], None
-        for batch in batches:
-            out = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:3] != key:
-                    out += compare(group) if group else ()
-                    group, key = [], row[:3]
-                group.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-        out = list(compare(group)) if group else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        hasher = Hasher()
+        yield from _links(compare(group, hasher) for group in _grouped(batches, 3))
 
-    return dealt.mapInArrow(judge, "a long, b long").distinct()
+    return dealt.mapInArrow(judge, "a long, b long")
 
 
 def near_groups(
@@ -350,47 +419,50 @@ def near_groups(
         F.xxhash64(F.lit(k), F.substring("registers", 2 * BAND * k + 1, 2 * BAND))
         for k in range(BANDS)
     ]
-    members = reps.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"))
+    members = reps.select("node", "n_shingles", F.posexplode(F.array(*bands)).alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.sum("n_shingles").alias("shingles")
+    )
     shared = shared.where("n > 1").withColumnRenamed("bucket", "_bucket")
     members = materialize(
         members.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "members"
     )
 
     lead = sketches.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("_id").alias("lead"), F.min_by("_text_hash", "_id").alias("_hash"),
+        F.min("_id").alias("lead"), F.coalesce(F.min_by("_text_hash", "_id"), F.min("_text_hash")).alias("_hash"),
     )
     wanted = (
         members.select("node").distinct().join(reps.select("node", "digest"), "node")
-        .join(lead, "digest").where("lead is not null")
+        .join(lead, "digest")
         .select("node", F.col("lead").alias("_lead"), F.col("_hash"))
     )
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"))
     own = own.withColumn("_own", F.xxhash64("text"))
-    texts = wanted.join(own, (F.col("_lead") == F.col("_id")) & (F.col("_hash") == F.col("_own")))
+    texts = wanted.join(own, F.col("_lead").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")))
     texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    first = members.where("node != pivot").select(
+    stars = members.where("node != pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     ).distinct()
-    links = materialize(_verified(_estimated(first, reps, threshold), texts, threshold), "links")
+    stars = _estimated(stars, reps, threshold).select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    counts = reps.select(F.col("node").alias("_n"), "n_shingles")
+    stars = materialize(stars.join(counts, F.col("node") == F.col("_n")).drop("_n"), "stars")
+    links = materialize(_star_links(stars, texts, threshold), "links")
+    labels = components(links)
+
+    far = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    labelled = members.where("n > 2").join(far, F.col("node") == F.col("_n"), "left")
+    labelled = labelled.withColumn("label", F.coalesce("_l", "node")).drop("_n", "_l")
+    heads = labelled.where("node = pivot").select(F.col("bucket").alias("_bucket"), F.col("label").alias("main"))
+    labelled = labelled.join(heads, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+    outside = labelled.where("label != main").groupBy(F.col("bucket").alias("_bucket")).agg(
+        F.count(F.lit(1)).alias("n_outside"), F.sum("n_shingles").alias("shingles_outside")
+    )
+    active = labelled.join(outside, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+    sketched = reps.select(F.col("node").alias("_n"), "registers")
+    active = active.join(sketched, F.col("node") == F.col("_n")).drop("_n")
+    links = links.union(materialize(_across(active, texts, threshold), "links"))
     labels = components(links)
-    for best in (2, None):
-        far = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        labelled = members.where("n > 2").join(far, F.col("node") == F.col("_n"), "left")
-        labelled = labelled.withColumn("label", F.coalesce("_l", "node")).drop("_n", "_l")
-        mixed_buckets = (
-            labelled.groupBy(F.col("bucket").alias("_bucket"))
-            .agg(F.min("label").alias("_low"), F.max("label").alias("_high"),
-                 F.max(F.when(F.col("node") == F.col("pivot"), F.col("label"))).alias("main"))
-            .where("_low != _high")
-        )
-        active = labelled.join(mixed_buckets, F.col("bucket") == F.col("_bucket"))
-        active = active.join(reps.select("node", "n_shingles", "registers"), "node")
-        pairs = _across(active, threshold, best)
-        more = materialize(_verified(pairs, texts, threshold), "links")
-        links = links.union(more)
-        labels = components(links)
 
     placed = labels.join(reps.select("node", "digest"), "node").join(lead.select("digest", "lead"), "digest")
     smallest = placed.groupBy(F.col("label").alias("_label")).agg(F.min("lead").alias("component"))

@@ -109,6 +109,38 @@ def test_near_groups_against_all_pairs(spark, block, monkeypatch):
     assert Counter(tuple(r) for r in got) == groups_by_hand(rows)
 
 
+def test_many_copies_just_below_the_threshold_list_no_pairs(spark, monkeypatch):
+    """Hundreds of texts are all almost similar, 41,616 pairs: the few links are listed, nothing else."""
+    listed = []
+    across = setsketch._across
+
+    def counted(*args):
+        found = across(*args).cache()
+        listed.append(found.count())
+        return found
+
+    monkeypatch.setattr(setsketch, "_across", counted)
+    monkeypatch.setattr(setsketch, "BLOCK", 128)
+    rows = []
+    for k in range(17 * 17):  # any two texts share one changed place at most: almost all pairs lie between 0.68 and 0.75
+        words = [f"{'z' * (i < 2)}{k if i < 2 else 'w'}.{i}" for i in range(512)]
+        for line in range(5):
+            start = 2 + 6 * (17 * line + (k // 17 * line + k) % 17)
+            words[start : start + 5] = [f"z{k}.{i}" for i in range(start, start + 5)]
+        rows.append((k, " ".join(words)))
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).drop("text_hash").collect()
+    assert Counter(tuple(r) for r in got) == groups_by_hand(rows)
+    assert listed[0] < 20 and len({r.component_id for r in got}) > 270
+
+
+def test_a_row_without_id_still_links(spark):
+    words = [f"w{k}" for k in range(120)]
+    middle, end = words[6:] + [f"m{k}" for k in range(6)], words[12:] + [f"m{k}" for k in range(12)]
+    rows = [(4, " ".join(words)), (None, " ".join(middle)), (2, " ".join(end))]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash").collect()
+    assert Counter(tuple(r) for r in got) == groups_by_hand(rows)
+
+
 def test_near_groups_on_odd_rows(spark):
     docs = odd_documents(spark)
     got = near_groups(docs).drop("text_hash").collect()
