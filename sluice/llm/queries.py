@@ -101,7 +101,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     narrow = materialize(narrow, "classes")
     targets = tempered_targets(narrow, ["source", "lang", "topic"], "tokens")
-    return mix(narrow, targets, "tokens")
+    return mix(narrow, targets, "tokens", dimensions=["source", "lang", "topic"])
 
 
 @query
@@ -204,7 +204,8 @@ from sized group by conv_id
 ORACLE["op12_filter_interactions"] = r"""
 with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
      low as (select t, min(doc_id) as least from d group by t),
-     w as (select *, regexp_extract_all(t, '[^ 	-]+') as ws from d),
+     w as (select *, regexp_extract_all(t, '[^ 	-
+]+') as ws from d),
      l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
            from labels group by doc_id),
      masks as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sluice.llm.layout import extract_text, parse, render
 from sluice.llm.licences import BASE, license_scan, license_spans, signature_rules
-from sluice.llm.mixing import mix, rake, sampling_scale, tempered_targets, tokens_of, topic_of
+from sluice.llm import mixing
+from sluice.llm.mixing import Misfit, mix, rake, tempered_targets, tokens_of, topic_of
 from tests.llm.odd import ROWS, empty, odd_documents
 
 
@@ -133,15 +134,58 @@ def test_raking_meets_the_marginals():
     rng = np.random.default_rng(1)
     cells = rng.integers(0, 50, (5, 4, 3)).astype(float)
     targets = [rng.dirichlet(np.ones(n)) for n in cells.shape]
-    factors = rake(cells, targets, rounds=2000, close=1e-12)
+    places = [p.ravel() for p in np.indices(cells.shape)]
+    factors, gap = rake(cells.ravel(), places, targets, rounds=2000, close=1e-12)
+    assert gap < 1e-12
     scaled = cells * factors[0][:, None, None] * factors[1][None, :, None] * factors[2][None, None, :]
     for axis, target in enumerate(targets):
         own = scaled.sum(axis=tuple(k for k in range(3) if k != axis)) / scaled.sum()
         assert np.allclose(own, target, atol=1e-6)
-    weights = rng.uniform(0, 3, cells.shape)
-    scale = sampling_scale(cells, weights, 0.4 * cells.sum())
-    assert abs((cells * np.minimum(1, scale * weights)).sum() - 0.4 * cells.sum()) < 1e-3
-    assert rake(np.zeros((2, 2)), [np.ones(2) / 2] * 2)[0].tolist() == [1, 1]
+    none = rake(np.zeros(2), [np.arange(2)], [np.ones(2) / 2])
+    assert none[0][0].tolist() == [1, 1] and none[1] == 0
+
+
+def plain_raking(rows, power=0.7, rounds=3000):
+    """Weights of the rows by dense raking of a dict of cells, every class with its own target."""
+    cells, total = {}, sum(r[-1] for r in rows)
+    for *classes, tokens in rows:
+        cells[tuple(classes)] = cells.get(tuple(classes), 0) + tokens
+    weights = dict.fromkeys(cells, 1.0)
+    for _ in range(rounds):
+        for axis in range(2):
+            own, now = {}, {}
+            for cell, n in cells.items():
+                own[cell[axis]] = own.get(cell[axis], 0) + n
+                now[cell[axis]] = now.get(cell[axis], 0) + n * weights[cell]
+            norm = sum(n**power for n in own.values())
+            for cell in cells:
+                weights[cell] *= total * own[cell[axis]] ** power / norm / now[cell[axis]]
+    return weights
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 0])
+def test_hundreds_of_classes_are_raked_alike(spark, monkeypatch, cells):
+    """All of 500 sources have their own targets, as arrays and as tables."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    monkeypatch.setattr(mixing, "CLOSE", 1e-9 if cells else 1e-4)
+    n = 500 if cells else 70
+    rows = [(f"s{k:03d}", f"t{t}", 1 + (7 * k + 3 * t) % 11 + 3000 // (k + 1)) for k in range(n) for t in range(3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, topic string, tokens long")
+    targets = tempered_targets(df, ["source", "topic"], "tokens")
+    got = mix(df, targets, "tokens", keep=0.5).collect()
+    expected = plain_raking(rows, rounds=200)
+    scale = got[0].mix_weight / expected[got[0].source, got[0].topic]
+    assert all(abs(r.mix_weight / expected[r.source, r.topic] / scale - 1) < (1e-6 if cells else 1e-2) for r in got)
+    assert len({round(r.mix_weight, 6) for r in got}) > n // 2
+
+
+def test_targets_that_contradict_each_other_are_reported(spark):
+    df = spark.createDataFrame([(0, "a", "x", 5), (1, "b", "y", 5)], "doc_id long, source string, lang string, tokens long")
+    with pytest.raises(Misfit, match="off by"):
+        mix(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, "tokens", strict=True)
+    got = mix(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, "tokens").collect()
+    assert all(abs(r.misfit - 0.8) < 1e-6 for r in got)
+    assert mix(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.9}}, "tokens").first().misfit < 1e-6
 
 
 def test_sampling_hits_targets_and_total(spark):
