@@ -15,7 +15,7 @@ from sluice.session import ensure_shared_dir, materialize
 #: Columns of the stages, named so that no column of the documents is in their way.
 LANGUAGE = ("__lang_pred", "__lang_score", "__lang_mixture")
 TOPIC, TOKENS = "__mixing_topic", "__mixing_tokens"
-MIXING = ("__mixing_weight", "__mixing_probability", "__mixing_sampled", "__mixing_copies")
+MIXING = ("__mixing_weight", "__mixing_probability", "__mixing_sampled", "__mixing_copies", "__mixing_misfit")
 #: Expected tokens of what the mixing stage gives, as a share of all tokens.
 KEEP = 0.8
 
@@ -45,7 +45,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     classed = docs.withColumn(TOPIC, topic_of(F.col("text"))).withColumn(TOKENS, tokens_of(F.col("text")))
     narrow = materialize(classed.select("source", "lang", TOPIC, TOKENS), "classes")
     targets = tempered_targets(narrow, ["source", "lang", TOPIC], TOKENS)
-    mixed = mix(classed, targets, TOKENS, KEEP, cells=narrow, new=MIXING).where(MIXING[2])
+    mixed = mix(classed, targets, TOKENS, KEEP, cells=narrow, new=MIXING, dimensions=["source", "lang", TOPIC])
+    mixed = mixed.where(MIXING[2])
     copies = F.explode(F.sequence(F.lit(1), F.col(MIXING[3]))).alias(MIXING[0])
     return mixed.select(*docs.columns, copies).select(*docs.columns)
 
