@@ -45,10 +45,30 @@ def test_last_n(spark, parts):
     assert rows(got) == rows(events.last_n(t.as_task_events(spark.read.parquet(parts)), 5))
 
 
-def test_only_two_versions_are_kept(spark, parts, tmp_path):
-    path = tmp_path / "out"
-    streams.stream_last_n(stream(spark, parts), 5, path=str(path))
-    assert len(list(path.glob("version=*"))) == 2
+def test_last_n_is_kept_as_state(spark, parts, tmp_path):
+    """The state has n rows a key at most, and a batch writes the keys it changed only."""
+    path, checkpoint = tmp_path / "out", f"file:{tmp_path}/checkpoint"
+    got = streams.stream_last_n(stream(spark, parts), 5, path=f"file:{path}", checkpoint=checkpoint, every=2)
+    expected = events.last_n(t.as_task_events(spark.read.parquet(parts)), 5)
+    assert rows(got) == rows(expected)
+    assert {p.name for p in (path / "updates").glob("batch=*")} == {"batch=2", "batch=3", "batch=4"}
+    assert {p.name for p in (path / "folded").glob("upto=*")} == {"upto=1", "upto=3"}
+    state = spark.read.format("statestore").option("stateVarName", "newest").load(checkpoint)
+    held = state.groupBy("key.uid").count()
+    assert held.agg(F.max("count")).first()[0] == 5 and state.count() == expected.count()
+
+
+def test_unchanged_keys_are_not_written_again(spark, parts, tmp_path):
+    first, path = str(tmp_path / "in"), tmp_path / "out"
+    every = spark.read.parquet(parts)
+    every.coalesce(1).write.parquet(first)
+    where = dict(path=f"file:{path}", checkpoint=f"file:{tmp_path}/checkpoint")
+    streams.stream_last_n(stream(spark, first), 5, **where)
+    late = every.where("user_id = 0").limit(1).withColumn("event_id", F.lit(10**9).cast("long"))
+    late.coalesce(1).write.mode("append").parquet(first)
+    got = streams.stream_last_n(stream(spark, first), 5, **where)
+    assert got.where("uid = 0 and seq = 1000000000").count() == 1
+    assert spark.read.parquet(f"file:{path}/updates/batch=1").select("uid").distinct().count() == 1
 
 
 def test_restart_goes_on_where_it_stopped(spark, parts, tmp_path):
