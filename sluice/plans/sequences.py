@@ -220,7 +220,7 @@ def kmer_count(spark, sf):
 def kmer_count_text(spark, sf):
     """Substrings of the documents themselves, reported per abundance."""
     windows = split_windows(t.documents(spark, sf, "text"), "text", align.PIECE, K - 1)
-    counts = kmers.kmer_count(windows.withColumnRenamed("text", "seq"), K, canonical=False)
+    counts = kmers.kmer_count(windows.withColumnRenamed("text", "seq"), K, canonical=False, packed=False)
     return counts.groupBy("n").agg(
         F.count(F.lit(1)).alias("n_kmers"),
         F.min("kmer").alias("first_kmer"),
