@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.functions.rows import split_windows
+from sluice.operators import packed as codes
 from sluice.operators.skew import BROADCAST_BYTES, lookup, ordinal, scan_before
 from sluice.session import bounded_bytes, materialize
 
 BIN = 16384  # width of an index bin
 BROADCAST_BINS = 100_000  # bins of regions that are broadcast at most
+LEVELS = 6  # levels of bins of a stored index, below the one for everything else
+SHARDS = 8  # folders that the contigs of one bin are dealt to
+NAMED_CONTIGS = 1000  # contigs whose names are pushed to the files
 TILE = 4096  # positions of one contig that one task sweeps
 PIECE = 64  # bases of a contig handled as one string
 LOW = 1 << 32  # a place is one number: order of the contig times this, plus position
@@ -32,28 +39,76 @@ def bin_index(aln: DataFrame, bin: int = BIN) -> DataFrame:
     )
 
 
+def _levels(bin: int) -> list[int]:
+    """Widths of the bins of each level; the last one holds whatever fits no other."""
+    return [bin << (3 * level) for level in range(LEVELS)]
+
+
+def _tile(contig: Column, level: Column, bin: Column) -> Column:
+    """One number for a bin of a level and the shard of a contig, so folders are pruned by all three at once."""
+    shard = F.pmod(F.xxhash64(contig), F.lit(SHARDS))
+    return (bin.cast("long") * (LEVELS + 1) + level) * SHARDS + shard
+
+
 def write_binned(aln: DataFrame, path: str, bin: int = BIN) -> None:
-    """Alignments in one folder per bin that they touch, so that a read of some bins skips the rest."""
+    """Alignments stored for reads by region: once each, in the smallest bin that holds them whole.
+
+    Bins form levels, each eight times as wide as the one below. A folder is one bin of one
+    level for one shard of the contigs, and is sorted by contig and position, so a reader skips
+    folders by bin and row groups by contig. Many alignments of one bin may fill several files.
+    """
     last = F.col("pos") + F.col("len") - 1
-    binned = aln.withColumn("bin", F.explode(_bins(F.col("pos"), last, bin)))
-    binned.repartitionByRange("bin", "contig", "pos").write.partitionBy("bin").parquet(path)
+    widths = _levels(bin)
+    level, number = F.lit(len(widths)), F.lit(0).cast("long")
+    for k, width in reversed(list(enumerate(widths))):
+        own = F.floor(F.col("pos") / width)
+        fits = own == F.floor(last / width)
+        level, number = F.when(fits, k).otherwise(level), F.when(fits, own).otherwise(number)
+    placed = aln.withColumn("tile", _tile(F.col("contig"), level, number))
+    order = ["tile", "contig", "pos"]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tile").parquet(path)
+
 
+def read_binned(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored alignment."""
+    return spark.read.parquet(path).drop("tile")
 
-def read_binned(spark: SparkSession, path: str, bin: int = BIN) -> DataFrame:
-    """Every stored alignment once: from the bin it starts in."""
-    stored = spark.read.parquet(path)
-    return stored.where(F.col("bin") == F.floor(F.col("pos") / bin)).drop("bin")
 
+def read_regions(
+    spark: SparkSession, path: str, regions: DataFrame, bin: int = BIN, schema: StructType | None = None
+) -> DataFrame:
+    """Stored alignments that overlap each region ``(region, contig, start, end)``, ends included.
 
-def read_regions(spark: SparkSession, path: str, regions: DataFrame, bin: int = BIN) -> DataFrame:
-    """Stored alignments that overlap each region; only the folders of their bins are read."""
-    span = regions.agg(F.min(F.floor(F.col("start") / bin)), F.max(F.floor(F.col("end") / bin))).first()
-    stored = spark.read.parquet(path)
-    if span[0] is None:
-        stored = stored.where("1 = 0")
+    Each region asks for its bins on every level. Few of them, counted before they are
+    expanded, are broadcast, and Spark prunes the folders by them while it runs; of at most
+    ``NAMED_CONTIGS`` contigs the names are pushed to the files as well. Otherwise both sides
+    are shuffled by contig and bin. With the ``schema`` of the stored table no footer is read for it.
+    """
+    widths = _levels(bin)
+    regions = regions.where(F.col("end") >= F.col("start"))
+
+    def asked(level: int, width: int) -> Column:
+        touched = _bins(F.col("start"), F.col("end"), width)
+        return F.transform(touched, lambda b: _tile(F.col("contig"), F.lit(level), b))
+
+    spans = [asked(level, width) for level, width in enumerate(widths)]
+    rest = F.array(_tile(F.col("contig"), F.lit(len(widths)), F.lit(0)))
+    wanted = regions.select("*", F.explode(F.concat(*spans, rest)).alias("tile"))
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    stored = reader.parquet(path).withColumn("_last", F.col("pos") + F.col("len") - 1)
+    counted = [F.floor(F.col("end") / w) - F.floor(F.col("start") / w) + 1 for w in widths]
+    size = bounded_bytes(regions)
+    keys = ["contig", "tile"]
+    few = size is not None and size <= BROADCAST_BYTES
+    n_bins, n_regions = regions.agg(F.sum(sum(counted[1:], counted[0])), F.count(F.lit(1))).first() if few else (0, 0)
+    if few and (n_bins or 0) + n_regions <= BROADCAST_BINS:
+        if n_regions <= NAMED_CONTIGS:
+            stored = stored.where(F.col("contig").isin([r[0] for r in regions.select("contig").distinct().collect()]))
+        met = stored.join(F.broadcast(wanted), keys)
     else:
-        stored = stored.where(F.col("bin").between(span[0], span[1]))
-    return _overlaps(stored.withColumnRenamed("bin", "_bin"), regions, bin)
+        met = lookup(stored, wanted, keys)
+    overlap = (F.col("pos") <= F.col("end")) & (F.col("_last") >= F.col("start"))
+    return met.where(overlap).drop("tile", "_last")
 
 
 def faidx(contigs: DataFrame, order: str = "ord", width: int = 60) -> DataFrame:
@@ -278,25 +333,107 @@ def seed_map(
 # pileup
 
 
+def piece_counts(aln: DataFrame) -> DataFrame:
+    """``contig``, ``piece``, ``counts``: how often each letter lies on each position of a piece of ``PIECE`` bases.
+
+    ``counts`` is a packed array of ``PIECE`` x 5 numbers: A, C, G, T and other letters. A task
+    adds up the letters of its reads in such arrays, and the arrays of a piece are added up
+    after the shuffle as a stream: a read is no row at all, and a piece under very many reads is
+    one row for each batch of them. Positions before the first are left out.
+    """
+    narrow = aln.where("contig is not null and pos is not null and seq is not null")
+    tasks = int(aln.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = PIECE * 5
+
+    def rows(contig, piece, table):
+        packed = np.ascontiguousarray(table)
+        ends = np.arange(len(piece) + 1, dtype=np.int32) * np.int32(packed.itemsize * size)
+        counts = pa.BinaryArray.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+        return pa.RecordBatch.from_arrays([contig, pa.array(piece), counts], names=["contig", "piece", "counts"])
+
+    def count(batches):
+        letters = np.where(codes.code_table() == codes.OTHER, 4, codes.code_table()).astype(np.int64)
+        for whole in batches:
+            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                names = batch.column(0).dictionary_encode()
+                data, offsets = codes.flat(batch.column(2))
+                first = (data & 0xC0) != 0x80  # a character counts once, however many bytes it has
+                offsets = np.r_[0, np.cumsum(first)][offsets]
+                data, sizes = data[first], np.diff(offsets)
+                place = np.repeat(batch.column(1).to_numpy() - 1, sizes) + codes.spread(sizes)
+                owner = np.repeat(names.indices.to_numpy().astype(np.int64), sizes)
+                inside = place >= 0
+                data, place, owner = data[inside], place[inside], owner[inside]
+                for at in range(0, len(data), 1 << 20):
+                    part = slice(at, at + (1 << 20))
+                    pieces = place[part] // PIECE
+                    low, span = int(pieces.min()), int(pieces.max() - pieces.min()) + 1
+                    keys, cell = np.unique(owner[part] * span + (pieces - low), return_inverse=True)
+                    slot = cell * size + place[part] % PIECE * 5 + letters[data[part]]
+                    table = np.bincount(slot, minlength=len(keys) * size).astype(np.int64)
+                    yield rows(names.dictionary.take(pa.array(keys // span)), keys % span + low, table)
+
+    def add(batches):
+        held = None
+        for batch in batches:
+            contig, piece = batch.column(0), batch.column(1).to_numpy()
+            table = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(-1, size)
+            if held is not None:
+                contig = pa.concat_arrays([held[0], contig])
+                piece, table = np.r_[held[1], piece], np.vstack([held[2], table])
+            names = contig.dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (piece[1:] != piece[:-1])])
+            table = np.add.reduceat(table, first, axis=0)
+            contig, piece = contig.take(pa.array(first)), piece[first]
+            held = contig[-1:], piece[-1:], table[-1:]
+            if len(piece) > 1:
+                yield rows(contig[:-1], piece[:-1], table[:-1])
+        if held is not None:
+            yield rows(*held)
+
+    kind = "contig string, piece long, counts binary"
+    partial = narrow.select("contig", F.col("pos").cast("long"), "seq").mapInArrow(count, kind)
+    dealt = partial.repartition(tasks, "contig", "piece").sortWithinPartitions("contig", "piece")
+    return dealt.mapInArrow(add, kind)
+
+
 def pileup(aln: DataFrame, contigs: DataFrame) -> DataFrame:
     """Reference base, depth and base counts of every covered reference position.
 
-    Reads are counted first, and counts combine before the shuffle; a position under very many
-    reads is a single row per input partition. Only covered positions then look up the piece
-    of the reference they lie in.
+    Letters are counted in :func:`piece_counts`; only covered pieces look up their part of the
+    reference, and positions become rows at the very end.
     """
-    seen = aln.select("contig", F.posexplode(F.split("seq", "")).alias("_i", "base"), "pos")
-    names = [f"n_{b.lower()}" for b in "ACGT"]
-    counts = [F.count_if(F.col("base") == b).alias(n) for b, n in zip("ACGT", names)]
-    counted = (
-        seen.groupBy("contig", (F.col("pos") + F.col("_i")).alias("pos"))
-        .agg(F.count("base").alias("depth"), *counts)
-        .withColumn("start", F.floor((F.col("pos") - 1) / PIECE) * PIECE + 1)
-    )
     windows = split_windows(contigs.select("contig", "seq"), "seq", PIECE)
-    met = lookup(counted, windows.select("contig", "start", "seq"), ["contig", "start"])
-    ref = F.substr("seq", (F.col("pos") - F.col("start") + 1).cast("int"), F.lit(1))
-    return met.select("contig", "pos", ref.alias("ref"), "depth", *names).where("ref != ''")
+    windows = windows.select("contig", F.floor(F.col("start") / PIECE).alias("piece"), "seq")
+    met = lookup(piece_counts(aln), windows, ["contig", "piece"]).select("contig", "piece", "seq", "counts")
+    names = [f"n_{b.lower()}" for b in "ACGT"]
+
+    def positions(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+                table = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, PIECE, 5)
+                texts = batch.column(2).to_pylist()
+                lengths = np.array([len(t) for t in texts], np.int64)
+                letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+                begin = np.r_[0, np.cumsum(lengths)[:-1]]
+                depth = table.sum(axis=2)
+                row, at = np.nonzero((depth > 0) & (np.arange(PIECE) < lengths[:, None]))
+                ref = letters[begin[row] + at]
+                known, code = np.unique(ref, return_inverse=True)
+                spelled = pa.DictionaryArray.from_arrays(pa.array(code), pa.array([chr(c) for c in known])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(row)),
+                        pa.array(batch.column(1).to_numpy()[row] * PIECE + at + 1),
+                        spelled,
+                        pa.array(depth[row, at]),
+                        *[pa.array(table[row, at, b]) for b in range(4)],
+                    ],
+                    names=["contig", "pos", "ref", "depth", *names],
+                )
+
+    kinds = ", ".join(f"{n} long" for n in ["depth", *names])
+    return met.mapInArrow(positions, f"contig string, pos long, ref string, {kinds}")
 
 
 def call_variants(piled: DataFrame, min_depth: int = 2, min_frac: float = 0.8) -> DataFrame:

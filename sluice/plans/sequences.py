@@ -345,15 +345,15 @@ def _middle_regions(spark, sf):
     "region_from_index",
     """with g as (select contig, len(seq) // 4 + 1 as s, len(seq) // 2 + 1 as e from contigs)
        select contig || ':' || s || '-' || e as region, read_id, mate, pos
-       from aln join g using (contig) where pos <= e and pos + len - 1 >= s and len(contig) = 3""",
+       from aln join g using (contig) where pos <= e and pos + len - 1 >= s""",
     ("aln",),
 )
 def region_from_index(spark, sf):
-    """The same for a few contigs, read from alignments stored by bin."""
+    """The same, read from alignments stored by level and bin."""
     path = scratch_path(spark, "binned")
-    align.write_binned(t.aln(spark, sf), path, 2048)
-    few = _middle_regions(spark, sf).where("length(contig) = 3")
-    return align.read_regions(spark, path, few, 2048).select("region", "read_id", "mate", "pos")
+    align.write_binned(t.aln(spark, sf), path)
+    regions = materialize(_middle_regions(spark, sf), "regions")
+    return align.read_regions(spark, path, regions).select("region", "read_id", "mate", "pos")
 
 
 @query(

@@ -103,16 +103,54 @@ def test_wide_sketch(spark):
     assert {r.kmer: r.estimate for r in got} == exact
 
 
-def test_regions_skip_the_folders_of_other_bins(spark, tmp_path):
-    rows = [("c1", k * 70, 150, k) for k in range(200)]
+def _binned(spark, tmp_path, rows, bin):
     aln = spark.createDataFrame(rows, "contig string, pos long, len int, read_id int")
     path = f"file:{tmp_path}/binned"
-    align.write_binned(aln, path, 100)
-    assert align.read_binned(spark, path, 100).count() == 200
-    regions = spark.createDataFrame([("r", "c1", 1000, 1250), ("s", "c1", 1240, 1240)], "region string, contig string, start long, end long")
-    found = align.read_regions(spark, path, regions, 100)
-    expected = {(n, k) for n, a, b in (("r", 1000, 1250), ("s", 1240, 1240)) for _, p, z, k in rows if p <= b and p + z - 1 >= a}
-    got = [(r.region, r.read_id) for r in found.collect()]
-    assert len(got) == len(expected) and set(got) == expected
-    assert "PartitionFilters: [isnotnull(bin" in found._jdf.queryExecution().executedPlan().toString()
-    assert align.read_regions(spark, path, regions.limit(0), 100).count() == 0
+    align.write_binned(aln, path, bin)
+    return path
+
+
+REGION = "region string, contig string, start long, end long"
+
+
+@pytest.mark.parametrize("few", [100_000, -1])
+def test_regions_of_a_stored_index(spark, tmp_path, monkeypatch, few):
+    """Short and long alignments on several contigs, met by bins of every level."""
+    monkeypatch.setattr(align, "BROADCAST_BINS", few)
+    rows = [(f"c{k % 5}", (k * 37) % 9000, 30 if k % 4 else 10 ** (1 + k % 5), k) for k in range(600)]
+    path = _binned(spark, tmp_path, rows, 100)
+    stored = spark.read.parquet(path)
+    assert stored.count() == align.read_binned(spark, path).count() == 600
+    level = F.floor(F.col("tile") / align.SHARDS) % (align.LEVELS + 1)
+    assert stored.select(level).distinct().count() > 3
+    asked = [(f"r{k}", f"c{k % 6}", 150 * k, 150 * k + (5000 if k % 7 == 0 else 60)) for k in range(60)]
+    asked += [("twice", "c1", 10, 20), ("twice", "c1", 10, 20), ("none", "c1", 20, 10)]
+    got = align.read_regions(spark, path, spark.createDataFrame(asked, REGION), 100).collect()
+    expected = [(n, k) for n, g, a, b in asked if a <= b for c, p, z, k in rows if c == g and p <= b and p + z - 1 >= a]
+    assert sorted((r.region, r.read_id) for r in got) == sorted(expected)
+    assert align.read_regions(spark, path, spark.createDataFrame([], REGION), 100).count() == 0
+
+
+def test_regions_read_the_folders_of_their_bins_only(spark, tmp_path):
+    """Every file in a folder that no region asks for is overwritten: it is not opened."""
+    rows = [(f"c{k % 5}", (k * 37) % 9000, 30, k) for k in range(600)]
+    path = _binned(spark, tmp_path, rows, 100)
+    asked = [("r", "c1", 1000, 1250), ("s", "c1", 1240, 1240)]
+    table = spark.createDataFrame(asked, REGION)
+    table.write.parquet(f"file:{tmp_path}/regions")
+    schema = spark.read.parquet(path).schema
+    shard = spark.range(1).select(F.pmod(F.xxhash64(F.lit("c1")), F.lit(align.SHARDS))).first()[0]
+    wanted = {(level, b) for level in range(align.LEVELS) for b in range(1000 // (100 << 3 * level), 1250 // (100 << 3 * level) + 1)}
+    spoiled = 0
+    for file in (tmp_path / "binned").rglob("*.parquet"):
+        rest, own = divmod(int(file.parent.name.removeprefix("tile=")), align.SHARDS)
+        number, level = divmod(rest, align.LEVELS + 1)
+        if own != shard or level < align.LEVELS and (level, number) not in wanted:
+            file.write_bytes(b"spoiled")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+            spoiled += 1
+    regions = spark.read.parquet(f"file:{tmp_path}/regions")
+    found = align.read_regions(spark, path, regions, 100, schema)
+    expected = [(n, k) for n, g, a, b in asked for c, p, z, k in rows if c == g and p <= b and p + z - 1 >= a]
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "false")
+    assert sorted((r.region, r.read_id) for r in found.collect()) == sorted(expected) and spoiled > 100
