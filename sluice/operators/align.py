@@ -10,10 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sluice.functions import bases
 from sluice.functions.rows import split_windows
 from sluice.operators import packed as codes
-from sluice.operators.skew import BROADCAST_BYTES, lookup, ordinal, scan_before
-from sluice.session import bounded_bytes, materialize
+from sluice.operators.skew import (
+    BROADCAST_BYTES,
+    SALT_FROM_BYTES,
+    hot_hashes,
+    lookup,
+    ordinal,
+    scan_before,
+)
+from sluice.session import bounded_bytes, plan_bytes, scratch_path
 
 BIN = 16384  # width of an index bin
 BROADCAST_BINS = 100_000  # bins of regions that are broadcast at most
@@ -121,13 +129,13 @@ def faidx(contigs: DataFrame, order: str = "ord", width: int = 60) -> DataFrame:
     header = F.length("contig") + 2
     size = header + length + F.ceil(length / width)
     placed = scan_before(narrow.withColumn("_size", size), [], order, F.col("_size"), "_start")
-    bases = F.least(length, F.lit(width))
+    on_line = F.least(length, F.lit(width))
     return placed.select(
         F.col("contig").alias("name"),
         length.cast("long").alias("length"),
         (F.col("_start") + header).alias("offset"),
-        bases.cast("int").alias("line_bases"),
-        (bases + 1).cast("int").alias("line_width"),
+        on_line.cast("int").alias("line_bases"),
+        (on_line + 1).cast("int").alias("line_width"),
     )
 
 
@@ -205,10 +213,6 @@ def _spans(n: int, votes: int) -> list[tuple[int, ...]]:
     return [s for size in range(n, votes - 1, -1) for s in combinations(range(n), size)]
 
 
-def _shape(seeds: tuple[int, ...]) -> str:
-    return ".".join(str(s - seeds[0]) for s in seeds)
-
-
 def seed_index(contigs: DataFrame, k: int = 16) -> DataFrame:
     """``(seed, contig, pos)`` for every position of every contig."""
     windows = split_windows(contigs.select("contig", "seq"), "seq", PIECE, k - 1)
@@ -229,6 +233,41 @@ def _place(order: Column, pos: Column) -> Column:
     return checked * LOW + pos
 
 
+def _shapes(n_seeds: int, min_votes: int) -> list[tuple[int, ...]]:
+    """Distances of seeds from the first one, of every set of enough seeds; a shape's reverse is one too."""
+    found = {tuple(s - seeds[0] for s in seeds) for seeds in _spans(n_seeds, min_votes)}
+    return sorted(found, key=lambda shape: (-len(shape), shape))
+
+
+def _seed_keys(forward, backward, at, shape, shapes, k, stride, n_seeds):
+    """Canonical keys of the seed combinations of one shape that start at ``at``.
+
+    ``forward`` and ``backward`` are the numbers of the k-mers and of their reverse complements.
+    A key is the number of the shape and one number for each seed (-1 for none); of a
+    combination and its reverse complement the smaller one counts. Also: which were
+    turned round, and which equal their reverse complement.
+    """
+    turned = tuple(shape[-1] - d for d in reversed(shape))
+    own = [np.full(len(at), shapes.index(shape), np.int64)]
+    other = [np.full(len(at), shapes.index(turned), np.int64)]
+    for j in range(n_seeds):
+        if j < len(shape):
+            own.append(forward[at + shape[j] * stride].astype(np.int64))
+            other.append(backward[at + shape[-1 - j] * stride].astype(np.int64))
+        else:
+            own.append(np.full(len(at), -1, np.int64))
+            other.append(own[-1])
+    flip, same = np.zeros(len(at), bool), np.ones(len(at), bool)
+    for x, y in zip(own, other, strict=True):
+        flip |= same & (y < x)
+        same &= x == y
+    return [np.where(flip, y, x) for x, y in zip(own, other, strict=True)], flip, same
+
+
+def _key_names(n_seeds: int) -> list[str]:
+    return ["shape", *[f"seed{j}" for j in range(n_seeds)]]
+
+
 def placement_index(
     contigs: DataFrame,
     k: int = 16,
@@ -237,42 +276,128 @@ def placement_index(
     min_votes: int = 2,
     order: str = "ord",
 ) -> DataFrame:
-    """First place of every combination of seeds: ``(seeds, place)``, the
-    seeds led by their distances.
+    """First places of every combination of seeds, of either strand: the key and ``as_is``, ``turned``.
 
     A place that collects v votes matches some v of a read's seeds at the right distances,
     so the best place of a read is the first place of the largest such combination that
     occurs. Listing combinations, reduced to their first place before the shuffle, stands
     in for counting votes: a seed that occurs everywhere stays one row per combination.
-    ``order`` numbers the contigs; the place is kept as one number for a hash aggregation.
+    Keys are canonical, so one index serves both strands: ``as_is`` is the first place where the
+    combination occurs as the key has it, ``turned`` where its reverse complement does.
+    ``order`` numbers the contigs; a place is one number (order and position), and a seed one of
+    2 bits a base. Seeds with letters other than A, C, G, T are no seeds.
     """
+    shapes, names = _shapes(n_seeds, min_votes), _key_names(n_seeds)
     span = (n_seeds - 1) * stride + k
-    windows = split_windows(contigs.select(order, "seq"), "seq", PIECE, span - 1)
-    placed = windows.select(
-        order, "start", "seq", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("_i")
-    ).select(
-        _place(F.col(order), F.col("start") + F.col("_i") - 1).alias("place"),
-        F.col("seq").substr(F.col("_i"), F.lit(span)).alias("_word"),
-    )
-    shapes = {_shape(s): tuple(i - s[0] for i in s) for s in _spans(n_seeds, min_votes)}
-
-    def key(shape, seeds):
-        words = [F.substring("_word", s * stride + 1, k) for s in seeds]
-        room = F.length("_word") >= seeds[-1] * stride + k
-        return F.when(room, F.concat(F.lit(f"{shape}:"), *words))
-
-    keys = F.array(*[key(*item) for item in shapes.items()])
-    return (
-        placed.select("place", F.explode(keys).alias("seeds"))
-        .where("seeds is not null")
-        .groupBy("seeds")
-        .agg(F.min("place").alias("place"))
-    )
+    checked = contigs.select(_place(F.col(order), F.lit(0)).alias("_base"), "seq")
+
+    def keys(batches):
+        table = codes.code_table()
+        for batch in batches:
+            base = batch.column(0).to_numpy()
+            data, offsets = codes.flat(batch.column(1))
+            for begin, own, cut in codes.pieces(data, offsets, span, 1 << 19):
+                coded = table[own]
+                good = codes.within(cut, coded != codes.OTHER, k)
+                safe = np.where(coded == codes.OTHER, 0, coded)
+                forward, backward = codes.words(safe, k), codes.reversed_words(safe, k)
+                row = np.repeat(np.arange(len(base)), np.diff(cut))
+                for shape in shapes:
+                    reach = shape[-1] * stride
+                    n = len(forward) - reach
+                    ok = np.zeros(max(n, 0), bool)
+                    if n > 0:
+                        ok = row[:n] == row[reach : reach + n]
+                        for d in shape:
+                            ok &= good[d * stride : d * stride + n]
+                        ok[1 << 19 :] = False  # the next piece has these
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    key, flip, same = _seed_keys(forward, backward, at, shape, shapes, k, stride, n_seeds)
+                    owner = row[at]
+                    place = base[owner] + (begin + at - offsets[owner]) + 1
+                    columns = [pa.array(c) for c in key]
+                    columns += [pa.array(place, mask=flip & ~same), pa.array(place, mask=~flip & ~same)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "as_is", "turned"])
+
+    kinds = ", ".join(f"{n} long" for n in [*names, "as_is", "turned"])
+    listed = checked.mapInArrow(keys, kinds)
+    return listed.groupBy(*names).agg(F.min("as_is").alias("as_is"), F.min("turned").alias("turned"))
 
 
 def build_index(contigs: DataFrame, **setting) -> DataFrame:
-    """The placement index as a stored table, for as many mappings as needed."""
-    return materialize(placement_index(contigs, **setting), "index")
+    """The placement index as a table in buckets of its keys, for as many mappings as needed.
+
+    Each mapping deals its reads to the buckets; the index itself is not shuffled again.
+    """
+    spark = contigs.sparkSession
+    index = placement_index(contigs, **setting)
+    names = [c for c in index.columns if c not in ("as_is", "turned")]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "index")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    # the aggregation has dealt its rows by the same hash: a task writes its own bucket
+    index.write.bucketBy(buckets, *names).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _asked_seeds(reads: DataFrame, k: int, stride: int, n_seeds: int, min_votes: int) -> DataFrame:
+    """The keys of every read's seed combinations, their votes, and how far they lie from either end."""
+    shapes, names = _shapes(n_seeds, min_votes), _key_names(n_seeds)
+    kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in ("read_id", "mate"))
+
+    def keys(batches):
+        table = codes.code_table()
+        for whole in batches:
+            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                data, offsets = codes.flat(batch.column(2))
+                if len(data) < k:
+                    continue
+                lengths = np.diff(offsets)
+                coded = table[data]
+                good = codes.within(offsets, coded != codes.OTHER, k)
+                safe = np.where(coded == codes.OTHER, 0, coded)
+                forward, backward = codes.words(safe, k), codes.reversed_words(safe, k)
+                for seeds in _spans(n_seeds, min_votes):
+                    row = np.flatnonzero(lengths >= seeds[-1] * stride + k)
+                    for s in seeds:
+                        row = row[good[offsets[row] + s * stride]]
+                    if not len(row):
+                        continue
+                    shape = tuple(s - seeds[0] for s in seeds)
+                    at = offsets[row] + seeds[0] * stride
+                    key, flip, _ = _seed_keys(forward, backward, at, shape, shapes, k, stride, n_seeds)
+                    picked = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(picked), batch.column(1).take(picked),
+                            *[pa.array(c) for c in key], pa.array(flip),
+                            pa.array(np.full(len(row), len(seeds), np.int32)),
+                            pa.array(np.full(len(row), seeds[0] * stride, np.int64)),
+                            pa.array(lengths[row] - (seeds[-1] * stride + k)),
+                        ],
+                        names=["read_id", "mate", *names, "_flip", "_votes", "_before", "_after"],
+                    )
+
+    longs = ", ".join(f"{n} long" for n in names)
+    return reads.select("read_id", "mate", "seq").mapInArrow(
+        keys, f"{kinds}, {longs}, _flip boolean, _votes int, _before long, _after long"
+    )
+
+
+def _meet_index(asked: DataFrame, index: DataFrame, names: list[str], size: int) -> DataFrame:
+    """Join on the buckets of the index; keys that very many reads share meet a broadcast copy of their rows.
+
+    They are looked for where the reads are large, as in ``lookup``; there are at most
+    1 / HOT_SHARE of them and the index has a row for each, which bounds the copy.
+    """
+    hot = hot_hashes(asked, names) if size > SALT_FROM_BYTES else []
+    if not hot:
+        return asked.join(index.hint("merge"), names)
+    is_hot = F.xxhash64(*names).isin(hot)
+    few = asked.where(is_hot).join(F.broadcast(index.where(is_hot)), names)
+    return few.unionByName(asked.where(~is_hot).join(index.hint("merge"), names))
 
 
 def seed_map(
@@ -284,35 +409,34 @@ def seed_map(
     n_seeds: int = 3,
     min_votes: int = 2,
     order: str = "ord",
+    both_strands: bool = False,
 ) -> DataFrame:
     """Place every read where most of its seeds agree, the first such place on a tie.
 
     Seeds start every ``stride`` bases. Reads whose best place has fewer than
     ``min_votes`` seeds stay out. Placement is gapless and a read may overhang its contig.
+    ``both_strands`` also places the reverse complement of a read: ``strand`` tells which was
+    better, the forward one on a tie, and ``seq`` is turned round accordingly.
     """
-
-    def key(seeds):
-        room = F.length("seq") >= seeds[-1] * stride + k
-        words = [F.substring("seq", s * stride + 1, k) for s in seeds]
-        packed = F.struct(
-            F.lit(len(seeds)).alias("_votes"),
-            F.lit(seeds[0] * stride).alias("_shift"),
-            F.concat(F.lit(f"{_shape(seeds)}:"), *words).alias("seeds"),
-        )
-        return F.when(room, packed)
-
-    keys = F.array(*[key(s) for s in _spans(n_seeds, min_votes)])
-    asked = reads.select("read_id", "mate", F.inline(keys)).where("seeds is not null")
-    hits = lookup(asked, index, ["seeds"])
+    names = _key_names(n_seeds)
+    asked = _asked_seeds(reads, k, stride, n_seeds, min_votes)
+    hits = _meet_index(asked, index, names, plan_bytes(reads))
     levels = range(n_seeds, min_votes - 1, -1)
-    start = F.col("place") - F.col("_shift")
-    firsts = [F.min(F.when(F.col("_votes") == v, start)).alias(f"_v{v}") for v in levels]
-    best = F.coalesce(*[F.col(f"_v{v}") for v in levels])
-    votes = F.coalesce(*[F.when(F.col(f"_v{v}").isNotNull(), v) for v in levels])
+    places = {"+": F.when(F.col("_flip"), F.col("turned")).otherwise(F.col("as_is")) - F.col("_before")}
+    if both_strands:
+        places["-"] = F.when(F.col("_flip"), F.col("as_is")).otherwise(F.col("turned")) - F.col("_after")
+    firsts = [
+        F.min(F.when(F.col("_votes") == v, start)).alias(f"{strand}{v}") for v in levels for strand, start in places.items()
+    ]
+    found = {v: F.least(*[F.col(f"`{s}{v}`") for s in places]) if both_strands else F.col(f"`+{v}`") for v in levels}
+    best = F.coalesce(*found.values())
+    votes = F.coalesce(*[F.when(place.isNotNull(), v) for v, place in found.items()])
+    ahead = F.coalesce(*[F.when(place.isNotNull(), F.coalesce(F.col(f"`+{v}`") == place, F.lit(False))) for v, place in found.items()])
     placed = (
         hits.groupBy("read_id", "mate")
         .agg(*firsts)
-        .select("read_id", "mate", best.alias("_best"), votes.alias("votes"))
+        .select("read_id", "mate", best.alias("_best"), votes.alias("votes"), F.when(ahead, "+").otherwise("-").alias("strand"))
+        .where("_best is not null")
     )
     exact = F.shiftright(F.col("_best") + LOW // 2, 32)
     placed = placed.select(
@@ -321,13 +445,15 @@ def seed_map(
         exact.alias(order),
         (F.col("_best") - exact * LOW).alias("pos"),
         "votes",
+        "strand",
     )
     named = lookup(placed, contigs.select(order, "contig"), [order])
-    return (
-        reads.select("read_id", "mate", "seq")
-        .join(named, ["read_id", "mate"])
-        .select("read_id", "mate", "contig", "pos", F.length("seq").alias("len"), "seq", "votes")
-    )
+    met = reads.select("read_id", "mate", "seq").join(named, ["read_id", "mate"])
+    columns = ["read_id", "mate", "contig", "pos", F.length("seq").alias("len"), "seq", "votes"]
+    if not both_strands:
+        return met.select(*columns)
+    turned = F.when(F.col("strand") == "+", F.col("seq")).otherwise(bases.reverse_complement("seq"))
+    return met.withColumn("seq", turned).select(*columns, "strand")
 
 
 # pileup

@@ -5,6 +5,7 @@ The reads tile every sequence about twice, so abundance limits are 1 and 2 here.
 
 from pyspark.sql import functions as F
 
+from sluice.functions import bases
 from sluice.functions.rows import once, split_windows
 from sluice.operators import align, kmers
 from sluice.operators import reads as rd
@@ -422,6 +423,38 @@ def seed_map(spark, sf):
     return align.seed_map(t.plain_reads(spark, sf), index, t.contigs(spark, sf), **COARSE)
 
 
+def _map_strands(reads, k, stride, n_seeds, min_votes):
+    """Oracle: seeds of either strand vote for (contig, diagonal, strand), the best one wins."""
+    offsets = ", ".join(f"({i * stride})" for i in range(n_seeds))
+    asked = f"""select read_id, mate, len(seq) as n, o, substring(seq, o + 1, {k}) as w
+                from {reads} cross join (values {offsets}) v(o) where o + {k} <= len(seq)"""
+    return f"""select read_id, mate, contig, pos, len(seq) as len,
+               case strand when '+' then seq else {_revcomp('seq')} end as seq, votes, strand from (
+          select *, row_number() over (partition by read_id, mate
+                                       order by votes desc, ord, pos, strand) as r
+          from (select read_id, mate, ord, contig, strand, i.p - shift as pos, cast(count(*) as int) as votes
+                from (select read_id, mate, '+' as strand, o as shift, w as word from ({asked})
+                      union all
+                      select read_id, mate, '-', n - o - {k}, {_revcomp('w')} from ({asked})) q
+                join ({_windows('contigs', 'seq', k)}) i using (word)
+                group by read_id, mate, ord, contig, strand, i.p - shift having count(*) >= {min_votes}))
+        join (select read_id, mate, seq from {reads}) using (read_id, mate)
+        where r = 1"""
+
+
+#: Sequencers read the second mate from the other strand.
+_MATES = f"(select read_id, mate, case mate when 1 then seq else {_revcomp('seq')} end as seq from reads)"
+
+
+@query("seed_map_strands", _map_strands(_MATES, **COARSE), ("reads",))
+def seed_map_strands(spark, sf):
+    """Pairs whose second mate comes from the other strand, placed on both strands."""
+    index = align.build_index(t.contigs(spark, sf), **COARSE)
+    turned = F.when(F.col("mate") == 1, F.col("seq")).otherwise(bases.reverse_complement("seq"))
+    mates = t.plain_reads(spark, sf).withColumn("seq", turned)
+    return align.seed_map(mates, index, t.contigs(spark, sf), **COARSE, both_strands=True)
+
+
 PILED = """select contig, count(*) as n_pos, cast(sum(depth) as bigint) as bases,
                   cast(sum(pos * depth) as bigint) as weighted,
                   cast(sum(n_a) as bigint) as n_a, cast(sum(n_c) as bigint) as n_c,
