@@ -144,30 +144,32 @@ def descendants(
 
 
 def ancestors(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Everything above each target, nearest first: ``(node, ancestor, distance)``.
+    """Everything above each of the given targets: ``(node, ancestor, distance)``.
 
-    An ancestor reached over several paths is listed at its smallest distance.
+    The walk starts from the targets alone and doubles its reach: a round joins what was found
+    with the jumps of twice the length of the round before, so a path of n steps takes about
+    log2(n) rounds. An ancestor reached over several paths is listed at its smallest distance. The
+    walk ends when a round finds nothing new, on cycles as well.
     """
     up = edges.select(F.col("dst").alias("at"), F.col("src").alias("above")).distinct()
-    level = targets.select(
-        F.col("uid").alias("node"), F.col("uid").alias("at"), F.lit(0).alias("distance")
-    )
-    found: list[DataFrame] = []
-    for distance in itertools.count(1):
-        reached = lookup(level, up, ["at"]).select("node", F.col("above").alias("at")).distinct()
-        if found:  # a vertex is walked from once, at its smallest distance
-            seen = reduce(DataFrame.unionByName, found).select("node", "at")
-            reached = reached.join(seen, ["node", "at"], "left_anti")
-        level = materialize(reached.withColumn("distance", F.lit(distance)), "level")
-        if level.isEmpty():
-            found = found or [level]
-            break
-        if max_depth is not None and distance > max_depth:
+    jump, reach = materialize(up, "jump"), 1
+    starts = targets.select(F.col("uid").alias("node")).distinct()
+    first = lookup(starts.withColumn("at", F.col("node")), jump, ["at"])
+    found = first.select("node", F.col("above").alias("at"), F.lit(1).alias("distance"))
+    found = materialize(found, "found")
+    while not jump.isEmpty():
+        farther = lookup(found, jump, ["at"])
+        farther = farther.select("node", F.col("above").alias("at"), (F.col("distance") + reach).alias("distance"))
+        least = found.union(farther).groupBy("node", "at").agg(F.min("distance").alias("distance"))
+        known, found = found, materialize(least, "found")
+        if max_depth is not None and not found.where(F.col("distance") > max_depth).isEmpty():
             raise ValueError(f"a path is longer than {max_depth} steps")
-        found.append(level)
-    return reduce(DataFrame.unionByName, found).select(
-        "node", F.col("at").alias("ancestor"), "distance"
-    )
+        if found.count() == known.count():
+            break
+        half = jump.select(F.col("at").alias("_from"), F.col("above").alias("at"))
+        jump = lookup(half, jump, ["at"]).select(F.col("_from").alias("at"), "above").distinct()
+        jump, reach = materialize(jump, "jump"), 2 * reach
+    return found.select("node", F.col("at").alias("ancestor"), "distance")
 
 
 def leaf_paths(vertices: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:

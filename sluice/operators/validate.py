@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sluice.functions.globs import glob_match
@@ -44,14 +44,7 @@ def check_mtime(df: DataFrame, manifest: DataFrame, path: str = "path") -> DataF
     return joined.select(path, _against(F.col("mtime"), F.col("_mtime")).alias("status"))
 
 
-def validate(
-    df: DataFrame,
-    manifest: DataFrame,
-    checks: Sequence[str] = ("non_empty", "hash", "mtime"),
-    path: str = "path",
-) -> DataFrame:
-    """One row per path and check with ``ok`` and ``message``, from a single join."""
-    joined = _with_manifest(df, manifest, path, "content_hash", "mtime")
+def _statuses(checks: Sequence[str]) -> dict[str, Column]:
     size = F.when(F.col("size").isNull(), "missing").when(F.col("size") == 0, "empty")
     statuses = {
         "non_empty": size.otherwise("match"),
@@ -61,12 +54,57 @@ def validate(
     unknown = set(checks) - set(statuses)
     if unknown:
         raise ValueError(f"unknown checks {sorted(unknown)}")
-    found = [F.struct(F.lit(c).alias("check"), statuses[c].alias("message")) for c in checks]
+    return {c: statuses[c] for c in checks}
+
+
+def validate(
+    df: DataFrame,
+    manifest: DataFrame,
+    checks: Sequence[str] = ("non_empty", "hash", "mtime"),
+    path: str = "path",
+) -> DataFrame:
+    """One row per path and check with ``ok`` and ``message``, from a single join."""
+    joined = _with_manifest(df, manifest, path, "content_hash", "mtime")
+    found = [F.struct(F.lit(c).alias("check"), s.alias("message")) for c, s in _statuses(checks).items()]
     return joined.select(path, F.inline(F.array(*found))).select(
         path, "check", (F.col("message") == "match").alias("ok"), "message"
     )
 
 
+def write_validated(
+    df: DataFrame,
+    manifest: DataFrame,
+    target: str,
+    checks: Sequence[str] = ("non_empty", "hash", "mtime"),
+    path: str = "path",
+) -> DataFrame:
+    """Write ``df`` to ``target`` and validate it in the same pass; nothing is read a second time.
+
+    The rows meet the manifest on their way to the files, and what the checks find is observed
+    as metrics of the writing job: one row per check with ``valid``, ``n_checks``, ``n_failed``,
+    as ``all_valid(validate(...), "check")`` gives, and ``n_rows``, ``n_nulls`` (nulls in any
+    column) and ``digest`` (a sum over rows, whatever their order) of what was written. A job
+    that is run again after a lost executor counts each row once, as it writes it once.
+    """
+    spark = df.sparkSession
+    columns = df.columns
+    joined = _with_manifest(df, manifest, path, "content_hash", "mtime")
+    statuses = _statuses(checks)
+    nulls = [F.col(f"`{c}`").isNull().cast("long") for c in columns]
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    digest = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+    metrics = [F.count(F.lit(1)).alias("n_rows"), F.sum(sum(nulls[1:], nulls[0])).alias("n_nulls"), F.sum(digest).alias("digest")]
+    metrics += [F.count_if(F.coalesce(s != "match", F.lit(True))).alias(f"failed_{c}") for c, s in statuses.items()]
+    seen = Observation(f"validated {target}")
+    joined.observe(seen, *metrics).select(*[F.col(f"`{c}`") for c in columns]).write.parquet(target)
+    got = seen.get
+    n, n_nulls, total = int(got["n_rows"]), int(got["n_nulls"] or 0), int(got["digest"] or 0)
+    failed = {c: int(got[f"failed_{c}"]) for c in checks}
+    rows = [(c, failed[c] == 0, n, failed[c], n, n_nulls, total) for c in checks]  # one row per check
+    kinds = "check string, valid boolean, n_checks long, n_failed long, n_rows long, n_nulls long, digest long"
+    return spark.createDataFrame(rows, kinds)
+
+
 def all_valid(report: DataFrame, *by: str) -> DataFrame:
     return report.groupBy(*by).agg(
         F.bool_and("ok").alias("valid"),

@@ -128,6 +128,24 @@ def dag_ancestry(spark, sf):
     return graph.ancestors(t.hier_edges(spark, sf), t.hier_vertices(spark, sf))
 
 
+@query(
+    "dag_ancestry_latest",
+    """with recursive latest as (
+         select src as owner, max(dst) as uid from hier_edges where dst like 'o%' group by src),
+       up as (
+         select uid as node, src as ancestor, 1 as distance from latest join hier_edges on dst = uid
+         union all
+         select node, src, distance + 1 from up join hier_edges on dst = ancestor)
+       select node, ancestor, min(distance) as distance from up group by all""",
+    ("hier_vertices", "hier_edges"),
+)
+def dag_ancestry_latest(spark, sf):
+    """The walk from given vertices: what stands above one order of each customer."""
+    edges = t.hier_edges(spark, sf)
+    latest = edges.where(F.col("dst").startswith("o")).groupBy("src").agg(F.max("dst").alias("uid"))
+    return graph.ancestors(edges, latest)
+
+
 @query(
     "dag_counts",
     """with i as (select dst as uid, count(*) as n from hier_edges group by all),

@@ -421,6 +421,29 @@ def validation_report(spark, sf):
     return validate.validate(t.artifacts(spark, sf), t.manifest_old(spark, sf))
 
 
+@query(
+    "validated_write",
+    """with j as (select a.*, m.path as known, m.content_hash as h, m.mtime as t
+                  from artifacts a left join manifest_old m using (path)),
+            s as (select count(*) as n,
+                         sum((doc_id is null)::int + (run_id is null)::int + (uid is null)::int + (path is null)::int
+                             + (size is null)::int + (content_hash is null)::int + (mtime is null)::int) as nulls,
+                         count(*) filter (size is null or size = 0) as e,
+                         count(*) filter (h is distinct from content_hash) as f,
+                         count(*) filter (t is distinct from mtime) as g from j)
+       select "check", failed = 0 as valid, n as n_checks, failed as n_failed, n as n_rows,
+              cast(nulls as bigint) as n_nulls
+       from (select 'non_empty' as "check", e as failed, n, nulls from s union all
+             select 'hash', f, n, nulls from s union all select 'mtime', g, n, nulls from s)""",
+    ("artifacts", "manifest_old"),
+)
+def validated_write(spark, sf):
+    """The listing is written and validated in one pass."""
+    files_ = t.artifacts(spark, sf).select("doc_id", "run_id", "uid", "path", "size", "content_hash", "mtime")
+    report = validate.write_validated(files_, t.manifest_old(spark, sf), scratch_path(spark, "validated"))
+    return report.drop("digest")
+
+
 @query(
     "output_expectation",
     """with n as (select uid, count(*) filter (path like '%.en.txt') as n0,
