@@ -132,7 +132,7 @@ def rake(
     wanted = [wanted_shares(shares(scaled, k), t) for k, t in enumerate(targets)]
     gap, gaps = 0.0, []
     for _ in range(rounds):
-        gap = max(float(np.abs(shares(scaled, k) - share).max()) for k, share in enumerate(wanted))
+        gap = max((float(np.abs(shares(scaled, k) - share).max()) for k, share in enumerate(wanted)), default=0.0)
         gaps.append(gap)
         if gap < close or _stuck(gaps):
             break
@@ -256,12 +256,12 @@ def mix(
     scale = keep * total / mass if mass > 0 else 0.0
     kept = [c for c in docs.columns if c not in new]
     rows, weight = docs.select(*[F.col(f"`{c}`") for c in kept]), F.lit(1.0)
-    if few:  # as many factors as cells at most
+    if few and dimensions:  # as many factors as cells at most
         rows = rows.select("*", F.struct(*[_class(d).alias(f"c{k}") for k, d in enumerate(dimensions)]).alias("__mix"))
         for k, table in enumerate(factors):
             table = table.select(F.col("class").alias(f"__mix_c{k}"), F.col("factor").alias(f"__mix_f{k}"))
             rows = rows.join(F.broadcast(table), F.col(f"__mix.c{k}") == F.col(f"__mix_c{k}"), "left")
-    else:
+    elif dimensions:
         for k, (d, table) in enumerate(zip(dimensions, factors, strict=True)):
             table = table.select(F.col("class").alias(f"__mix_c{k}"), F.col("factor").alias(f"__mix_f{k}"))
             rows = lookup(rows.withColumn(f"__mix_c{k}", _class(d)), table, [f"__mix_c{k}"], "left")
