@@ -28,12 +28,14 @@ from sluice.session import materialize
 
 #: Bits of one block, and the most slices it may have; fuller documents have looser bounds.
 CELLS, MOST_SLICES, FEWEST_SLICES = 1 << 22, 1 << 19, 1 << 8
+#: Documents of one block at most.
+DOCUMENTS = 1 << 10
 #: Slices for each entry of the fullest document of a block, and bits set for each entry.
 ROOM, BITS = 12, 3
 #: Terms and items that are searched together; what is broadcast is bounded by them.
 TERMS_AT_ONCE, ITEMS_AT_ONCE = 1 << 18, 1 << 13
 #: Cells of a weighted sum that are worked on at once.
-WORK = 1 << 22
+WORK = 1 << 20
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
@@ -195,7 +197,7 @@ def index_documents(docs: DataFrame, terms: Terms | None, id_col: str = "doc_id"
                     n_slices = min(max(wanted, FEWEST_SLICES), MOST_SLICES)
                     block_docs = waiting.setdefault(n_slices, [])
                     block_docs.append((ids[a + d], text_hashes[a + d], int(lengths[d]), int(often.max()), keys))
-                    if len(block_docs) == CELLS // n_slices:
+                    if len(block_docs) >= min(CELLS // n_slices, DOCUMENTS):
                         yield block(n_slices)
         for n_slices in list(waiting):
             yield block(n_slices)
