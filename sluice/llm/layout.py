@@ -8,16 +8,13 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -59,6 +56,8 @@ IMPLIED = {
     "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: Elements that are open at once; what is nested deeper stands beside the last one.
+DEEPEST = 512
 #: Cells wider than this are not padded, so one long cell does not widen a whole column.
 WIDEST = 40
 
@@ -87,27 +86,71 @@ def _attributes(tag: str, text: str) -> tuple[bool, int]:
     return hidden, start
 
 
+class Tags:
+    """The tags of a page one after another, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one at all where the quotes do
+    not close. Where a scan outside quotes comes to is worked out once for all places, from
+    the end of the page backwards, so a page full of open quotes is not scanned again and again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.at = [m.start() for m in re.finditer("[\"'>]", page)]
+        self.end = [-1] * (len(self.at) + 1)
+        following = {'"': -1, "'": -1}
+        for k in range(len(self.at) - 1, -1, -1):
+            mark = page[self.at[k]]
+            if mark == ">":
+                self.end[k] = self.at[k]
+            else:
+                closing = following[mark]
+                self.end[k] = self.end[closing + 1] if closing >= 0 else -1
+                following[mark] = k
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None, str] | None:
+        """Start and end of the next tag, comment or declaration; a tag's name and what follows it."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                return start, len(page) if stop < 0 else stop + 3, None, ""
+            if start > self.last:  # only a comment may still come
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            name = _NAME.match(page, start)
+            if name:
+                stop = self.end[bisect_left(self.at, name.end())]
+                if stop < 0:
+                    stop = page.find(">", name.end())
+                return start, stop + 1, name, page[name.end() : stop]
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, page.find(">", start) + 1, None, ""
+            at = start + 1
+        return None
+
+
 def parse(page: str) -> Element:
     """The tree of a page; end tags that HTML lets one leave out are implied."""
     root = Element("#root")
     path, at, size = [root], 0, len(page)
-    count: dict[str, int] = {}  # how often each tag stands on the path
+    places: dict[str, list[int]] = {}  # where each tag stands on the path
+    tags = Tags(page)
 
     def pop() -> None:
-        count[path.pop().tag] -= 1
+        places[path.pop().tag].pop()
 
-    def close(tags: set, scopes: set) -> None:
-        """Close the outermost open element of ``tags`` inside the innermost scope."""
-        if not any(count.get(t) for t in tags):
-            return
-        found = None
-        for k in range(len(path) - 1, 0, -1):
-            if path[k].tag in scopes:
-                break
-            if path[k].tag in tags:
-                found = k
-        if found is not None:
-            while len(path) > found:
+    def innermost(names: set) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(names: set, scopes: set) -> None:
+        """Close the outermost open element of ``names`` inside the innermost scope."""
+        inside = innermost(scopes)
+        found = [own[k] for n in names if (own := places.get(n)) and (k := bisect_right(own, inside)) < len(own)]
+        if found:
+            while len(path) > min(found):
                 pop()
 
     def text(raw: str) -> None:
@@ -117,52 +160,50 @@ def parse(page: str) -> Element:
             path[-1].kids.append(html.unescape(raw) if "&" in raw else raw)
 
     while at < size:
-        match = _TAG.search(page, at)
-        if not match:
+        found = tags.next(at)
+        if not found:
             text(page[at:])
             break
-        text(page[at : match.start()])
-        at = match.end()
-        tag = match[2] or match[5]
-        if not tag:
+        text(page[at : found[0]])
+        at, name, rest = found[1:]
+        if not name:
             continue
-        tag, ending = tag.lower(), match[1] or match[4]
+        ending, tag = name[1], name[2].lower()
         if ending:
             if tag == "br":
                 path[-1].kids.append(Element("br"))
-            elif count.get(tag):
-                barrier = {"table"} if tag not in ("table", "body", "html") else set()
-                k = len(path) - 1
-                while k and path[k].tag != tag and path[k].tag not in barrier:
-                    k -= 1
-                if k and path[k].tag == tag:
-                    while len(path) > k:
+            elif places.get(tag):
+                barrier = innermost({"table"}) if tag not in ("table", "body", "html") else 0
+                if places[tag][-1] > barrier:
+                    stop = places[tag][-1]
+                    while len(path) > stop:
                         pop()
             continue
-        rest = match[3] if match[2] else match[6]
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        elif tag not in ("html", "head") and tag in BLOCKS and count.get("head"):
+        elif tag not in ("html", "head") and tag in BLOCKS and places.get("head"):
             close({"head"}, set())
         elif path[-1].tag == "head" and tag not in HEAD:
             pop()
-        if tag in CLOSES_P and count.get("p"):
+        if tag in CLOSES_P and places.get("p"):
             close({"p"}, {"table", "td", "th", "button", "object"})
-        foreign = tag in FOREIGN or (any(count.get(t) for t in FOREIGN) and not count.get("foreignobject"))
+        foreign = tag in FOREIGN or (any(places.get(t) for t in FOREIGN) and not places.get("foreignobject"))
         node = Element(tag, *_attributes(tag, rest))
         node.hidden |= foreign and tag in UNSEEN_FOREIGN
         path[-1].kids.append(node)
         if foreign and rest.endswith("/"):
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            inner = page[at : stop.start() if stop else size]
-            at = stop.end() if stop else size
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            closed = page.find(">", stop.end()) if stop else -1
+            inner = page[at : stop.start() if closed >= 0 else size]
+            at = closed + 1 if closed >= 0 else size
             if inner:
                 node.kids.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
         elif tag not in VOID and not (rest.endswith("/") and tag == "path"):
-            path.append(node)
-            count[tag] = count.get(tag, 0) + 1
+            if len(path) < DEEPEST:
+                places.setdefault(tag, []).append(len(path))
+                path.append(node)
     return root
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,31 @@ def test_layout_keeps_every_visible_word(spark, sf):
         assert not shown - seen and sum((seen - shown).values()) <= 0.05 * sum(seen.values()) + 20
 
 
+@pytest.mark.parametrize(
+    "piece",
+    ['<a "', "<a ", "<a x='>'y", "</a", "<!", "<script></script ", "<b><table><i></b>", "<p>x<div>", "<ul><li>", "<td>x", "<!--x"],
+)
+def test_a_megabyte_of_broken_markup_takes_seconds(piece):
+    started = time.process_time()
+    parse(piece * ((1 << 20) // len(piece)))
+    assert time.process_time() - started < 8
+    render(parse(piece * ((1 << 17) // len(piece))))
+    assert time.process_time() - started < 16
+
+
+def test_deep_tables_keep_their_text():
+    page = "<table><tr><td>x" * 3000
+    assert render(parse(page)).count("x") == 3000
+
+
+def test_tags_end_outside_quotes_if_quotes_close():
+    assert render(parse('a<b title="x > y">c</b>')) == "ac"
+    assert render(parse("a<b title='x > y>c</b>d")) == "a y>cd"
+    assert render(parse('1 < 2 <3 <b>4</b> <')) == "1 < 2 <3 4 <"
+    assert render(parse("a<!-- b > <i> -->c<!-- d")) == "ac"
+    assert render(parse("x<a y<!-- hidden")) == "x<a y"
+
+
 def test_layout_on_odd_pages(spark):
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     rows = [(1, None), (2, ""), (None, "<p>a"), (3, deep), (3, deep), (4, "<td>" * 500 + "<li>" * 500 + "'\"<" * 3000)]
