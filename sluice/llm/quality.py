@@ -30,6 +30,8 @@ FEATURES = {
     "mark_share": "n_marks / greatest(word_chars, 1)",
     "letter_share": "n_letters / greatest(word_chars, 1)",
 }
+#: A text is too short, or too repetitive.
+BASE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 #: Most labelled rows that a list is fitted on.
 SAMPLE_ROWS = 20_000
 _SCHEMA = ", ".join(f"{c} long" for c in COUNTS + EXTRA)
@@ -161,11 +163,15 @@ def learn_list(
     min_precision: float = 0.97,
     min_cover: int = 4,
 ) -> list[list[Term]]:
-    """Ordered conjunctions that single out bad rows; empty if none is precise enough."""
+    """Ordered conjunctions that single out bad rows; empty if none is precise enough.
+
+    A conjunction that is not precise on all rows and on those held back is given up, and so are
+    the bad rows that it was grown for; the search goes on with the others.
+    """
     grow = np.arange(len(bad)) % 3 != 0
-    left, rules = np.ones(len(bad), bool), []
+    left, rules, given_up = np.ones(len(bad), bool), [], np.zeros(len(bad), bool)
     while len(rules) < max_rules:
-        rule, cover = [], left & grow
+        rule, cover = [], left & grow & ~given_up
         if np.sum(cover & bad) < min_cover:
             break
         while len(rule) < max_terms and (cover & ~bad).any():
@@ -173,7 +179,7 @@ def learn_list(
             if term is None:
                 break
             rule.append(term)
-            cover = _covers(x, rule, left & grow)
+            cover = _covers(x, rule, left & grow & ~given_up)
 
         def worth(terms: list[Term]) -> float:
             cover = _covers(x, terms, left & ~grow)
@@ -189,7 +195,11 @@ def learn_list(
         held = _covers(x, rule, left & ~grow)
         hp, hn = np.sum(held & bad), np.sum(held & ~bad)
         if p < min_cover or p < min_precision * (p + n) or hp < min_precision * (hp + hn):
-            break
+            grown_for = _covers(x, rule, left & grow & ~given_up) & bad
+            if not grown_for.any():
+                break
+            given_up |= grown_for
+            continue
         rules.append(rule)
         left &= ~cover
     return rules
@@ -210,18 +220,21 @@ def learn_rules(
     id_col: str = "doc_id",
     label_col: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
+    passing: str = f"not ({BASE})",
     **options,
 ) -> list[list[Term]]:
     """A decision list for label 0 against label 1, from at most ``sample_rows`` labelled rows.
 
-    The sample is the labelled rows with the smallest hashes of the id. Rows without id or
-    label are left out; without labels of both kinds the list is empty.
+    The sample is the labelled rows with the smallest hashes of the id; of these the list learns
+    from the ones that are ``passing`` the base conditions, the only ones it decides on. Rows
+    without id or label are left out; without labels of both kinds the list is empty, and
+    then every row that passes the base is kept.
     """
     known = labels.select(
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label")
     ).where("_id is not null and _label is not null")
     known = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows)
-    joined = statistics.withColumnRenamed(id_col, "_id").join(known, "_id")
+    joined = statistics.withColumnRenamed(id_col, "_id").where(passing).join(known, "_id")
     table = joined.select("_id", "_label", *[F.expr(e).alias(n) for n, e in FEATURES.items()])
     table = table.toPandas().sort_values(["_id", "_label"], ignore_index=True)
     bad = (table["_label"] == 0).to_numpy()
@@ -230,11 +243,8 @@ def learn_rules(
     return learn_list({n: table[n].to_numpy(float) for n in FEATURES}, bad, **options)
 
 
-def quality_verdicts(
-    statistics: DataFrame, rules: list[list[Term]], min_words: int = 50, repeat_percent: int = 50
-) -> DataFrame:
+def quality_verdicts(statistics: DataFrame, rules: list[list[Term]], base: str = BASE) -> DataFrame:
     """Adds ``base_failed`` (too short or too repetitive), ``rule`` and ``kept``."""
-    base = f"n_words < {min_words} or 100 * n_repeat_words > {repeat_percent} * n_words"
     judged = statistics.withColumn("base_failed", F.expr(base))
     judged = judged.withColumn("rule", rule_expression(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

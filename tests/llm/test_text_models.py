@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sluice.llm import gru, language
 from sluice.llm.gru import Vocabulary, score_texts, word_lists
@@ -273,3 +274,24 @@ def test_sieve_lets_all_partners_through(spark):
     may = sieve(keys, F.xxhash64("id"))
     passed = {r.id for r in spark.range(20_000).where(may(F.xxhash64("id"))).collect()}
     assert set(range(0, 5000, 7)) <= passed and len(passed) < 800
+
+
+def test_rules_are_learned_on_the_given_labels(spark):
+    """At the smallest scale the list takes bad rows that pass the base, and leaves good ones."""
+    folder = "/root/testdata/sf0.01"
+    counts = text_statistics(spark.read.parquet(f"{folder}/documents.parquet")).cache()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    rules = learn_rules(counts, labels.where("half = 0"))
+    judged = quality_verdicts(counts, rules).join(labels.where("half = 1"), "doc_id").where("not base_failed")
+    bad, good = judged.where("quality = 0"), judged.where("quality = 1")
+    assert rules and bad.where("kept").count() < 0.2 * bad.count() and good.where("kept").count() > 0.97 * good.count()
+
+
+def test_a_weak_conjunction_does_not_end_the_search():
+    rng = np.random.default_rng(1)
+    n = 900
+    noise, clear, bad = rng.uniform(size=n), rng.uniform(size=n), np.zeros(n, bool)
+    bad[clear > 0.9] = True
+    bad[(noise > 0.8) & (rng.uniform(size=n) < 0.8)] = True
+    rules = learn_list({"noise": noise, "clear": clear}, bad)
+    assert any(term[0] == "clear" for rule in rules for term in rule)
