@@ -9,9 +9,6 @@ import pytest
 import __spark_entry__ as spark_entry
 from check import rows
 
-# These take minutes on one small file; check.py runs them all.
-SLOW = {"mapper_compare", "mapper_agreement", "variants_end_to_end", "depth_end_to_end"}
-
 
 @pytest.fixture(scope="module")
 def db(sf):
@@ -22,7 +19,7 @@ def db(sf):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(spark_entry.queries()) & set(spark_entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(spark_entry.queries()) & set(spark_entry.oracle_sql())))
 def test_query(spark, sf, db, name):
     df = spark_entry.queries()[name](spark, sf)
     expected = db.execute(spark_entry.oracle_sql()[name])
