@@ -7,11 +7,14 @@ all other classes a word has its share of the corpus counts. Words beyond the nu
 form a class whose shares come from the counts by a join, so no task needs the whole
 vocabulary.
 
-Training runs truncated backpropagation through time in every partition, starting from common
-weights, and averages the results by tokens; the first round takes a fixed share of the
-documents, the last one all of them. Documents run in parallel lanes; the state is carried from
-window to window to the end of each document. In training, the documents that are left when few
-lanes still run wait with their state and go on beside the next documents.
+Training deals the documents to shards by a hash of id and text, as many as the corpus has
+tokens for. Truncated backpropagation through time runs in every shard, starting from common
+weights, and the results are averaged by tokens, as whole numbers, whose sum has no order; the
+first round takes a fixed share of the shards, the last one all of them. So the weights depend
+on the rows only, and not on the files or partitions they lie in. Documents run in parallel
+lanes; the state is carried from window to window to the end of each document. In training, the
+documents that are left when few lanes still run wait with their state and go on beside the next
+documents of the shard.
 """
 
 from __future__ import annotations
@@ -41,8 +44,14 @@ WINDOW, SLICE, LANES = 16, 16 << 20, 1024
 LANE_TOKENS = 256, 1024
 #: Unfinished documents that training may put off, and their tokens, at most.
 WAITING, WAITING_TOKENS = 256, 1 << 21
-#: Share of the training documents in the first round, in 1/16.
-FIRST_ROUND = 1
+#: Tokens of a shard on average, and tokens of a shard that are trained on at once.
+SHARD_TOKENS, TRAIN_TOKENS = 1 << 22, 1 << 23
+#: One shard of so many is in the first round.
+FIRST_ROUND = 16
+#: Shards whose weights are added up at once; units of a weight, and of its tokens.
+FAN_IN, UNIT, TOKEN_UNIT = 16, 1 << 20, 1 << 12
+#: Logits below this need no shift before their exponentials are taken; rows at once.
+SAFE_LOGIT, OUTPUT_ROWS = 60.0, 4096
 
 
 def word_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -201,27 +210,40 @@ def streams(numbers: np.ndarray, bounds: np.ndarray, v: Vocabulary):
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _softmax_log(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of all outputs, and the log-probability of the output ``at`` of each row."""
+    logits = h @ weights
+    logits += bias - bias.max()
+    if np.abs(weights).sum(0).max() > SAFE_LOGIT:  # a state lies between -1 and 1
+        logits -= logits.max(1, keepdims=True)
+    rows = np.arange(len(h))
+    own = logits[rows, at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits /= total[:, None]
+    return logits, own - np.log(total)
 
 
 def _outputs(w: dict, h: np.ndarray, target: np.ndarray, v: Vocabulary, grad: dict | None = None):
     """log-probability of each target from its state; with ``grad``, also the states' gradient."""
     cls = v.cls[target]
-    logs = _softmax_log(h @ w["wc"] + w["bc"])
-    rows = np.arange(len(target))
-    out = logs[rows, cls] + v.within[target].astype(np.float32)
-    back = None
-    if grad is not None:
-        d = np.exp(logs)
-        d[rows, cls] -= 1
-        grad["wc"] += h.T @ d
-        grad["bc"] += d.sum(0)
-        back = d @ w["wc"].T
+    out = v.within[target].astype(np.float32)
+    back = None if grad is None else np.empty_like(h)
+    for first in range(0, len(target), OUTPUT_ROWS):
+        own = slice(first, first + OUTPUT_ROWS)
+        d, logs = _softmax(h[own], w["wc"], w["bc"], cls[own])
+        out[own] += logs
+        if grad is not None:
+            d[np.arange(len(d)), cls[own]] -= 1
+            grad["wc"] += h[own].T @ d
+            grad["bc"] += np.ones(len(d), d.dtype) @ d
+            back[own] = d @ w["wc"].T
     sharp = np.flatnonzero(cls < v.first_flat)
     order = sharp[np.argsort(cls[sharp], kind="stable")]
     edges = np.searchsorted(cls[order], np.arange(v.first_flat + 1))
@@ -229,14 +251,13 @@ def _outputs(w: dict, h: np.ndarray, target: np.ndarray, v: Vocabulary, grad: di
         own = order[edges[c] : edges[c + 1]]
         if not len(own):
             continue
-        logs = _softmax_log(h[own] @ w["ww"][c] + w["bw"][c])
-        place = target[own] - c * SHARP_CLASS
-        out[own] += logs[np.arange(len(own)), place]
+        place, state = target[own] - c * SHARP_CLASS, h[own]
+        d, logs = _softmax(state, w["ww"][c], w["bw"][c], place)
+        out[own] += logs
         if grad is not None:
-            d = np.exp(logs)
             d[np.arange(len(own)), place] -= 1
-            grad["ww"][c] += h[own].T @ d
-            grad["bw"][c] += d.sum(0)
+            grad["ww"][c] += state.T @ d
+            grad["bw"][c] += np.ones(len(d), d.dtype) @ d
             back[own] += d @ w["ww"][c].T
     return out, back
 
@@ -244,9 +265,9 @@ def _outputs(w: dict, h: np.ndarray, target: np.ndarray, v: Vocabulary, grad: di
 def _step(w: dict, x: np.ndarray, h: np.ndarray):
     """New state and what the way back needs."""
     s = h @ w["u"]
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    inner = s[:, 2 * HIDDEN :]
+    z = _sigmoid(x[:, :HIDDEN] + s[:, :HIDDEN])
+    r = _sigmoid(x[:, HIDDEN : 2 * HIDDEN] + s[:, HIDDEN : 2 * HIDDEN])
+    inner = np.ascontiguousarray(s[:, 2 * HIDDEN :])
     n = np.tanh(x[:, 2 * HIDDEN :] + r * inner)
     return n + z * (h - n), (h, z, r, inner, n)
 
@@ -263,7 +284,7 @@ def log_likelihoods(w: dict, numbers: np.ndarray, bounds: np.ndarray, v: Vocabul
             n = int(active[t])
             inputs = entry[t, :n]
             h = h[:n] * (inputs != v.start)[:, None]
-            h, _ = _step(w, table[inputs], h.astype(np.float32))
+            h, _ = _step(w, table.take(inputs, 0), h.astype(np.float32))
             states.append(h)
             wanted.append(target[t, :n])
             owner.append(row[t, :n])
@@ -319,14 +340,14 @@ def train_slice(
             at = begin[: active[t]] + t
             inputs = entry[at]
             alive = (inputs != v.start).astype(np.float32)[:, None]
-            h, way = _step(w, table[inputs], h[: len(at)] * alive)
+            h, way = _step(w, table.take(inputs, 0), h[: len(at)] * alive)
             kept.append((inputs, alive, way))
             states.append(h)
             wanted.append(target[at])
         _, back = _outputs(w, np.concatenate(states), np.concatenate(wanted), v, grad)
         edges = np.r_[0, np.cumsum([len(s) for s in states])]
         later = np.zeros((0, HIDDEN), np.float32)
-        dxs, ins = [], []
+        dxs, dss, ins, befores = [], [], [], []
         for t in range(len(kept) - 1, -1, -1):
             inputs, alive, (before, z, r, inner, n) = kept[t]
             d = back[edges[t] : edges[t + 1]].copy()
@@ -336,15 +357,17 @@ def train_slice(
             dr = dn * inner * r * (1 - r)
             dx = np.concatenate([dz, dr, dn], 1)
             ds = np.concatenate([dz, dr, dn * r], 1)
-            grad["u"] += before.T @ ds
+            dss.append(ds)
+            befores.append(before)
             later = (d * z + ds @ w["u"].T) * alive
             dxs.append(dx)
             ins.append(inputs)
         dx, inputs = np.concatenate(dxs), np.concatenate(ins)
+        grad["u"] += np.concatenate(befores).T @ np.concatenate(dss)
         grad["b"] += dx.sum(0)
-        order = np.argsort(inputs, kind="stable")
+        order = np.argsort(inputs.astype(np.int16), kind="stable")  # a radix sort
         runs = np.flatnonzero(np.r_[True, np.diff(inputs[order]) > 0])
-        grad["x"][inputs[order[runs]]] = np.add.reduceat(dx[order], runs)
+        grad["x"][inputs[order[runs]]] = np.add.reduceat(dx.take(order, 0), runs)
         for name, g in grad.items():
             g /= edges[-1] ** 0.5
             memory[name] += g * g
@@ -367,46 +390,118 @@ def _numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
     return pc.fill_null(found, len(known) + 1).to_numpy().astype(np.int64)
 
 
-def train(docs: DataFrame, v: Vocabulary, text_col: str = "text", rates: tuple = (0.1, 0.03)) -> dict:
-    """Weights after one round on a share of the documents and one on all of them.
+def _encoded(docs: DataFrame, v: Vocabulary, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """``shard``, ``key`` and the words' numbers (``codes``, 32 bits each) of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(v.words)
+
+    def encode(batches):
+        known = pa.array(shared.value, pa.string())
+        for batch in batches:
+            _, offsets = flat(batch.column(1))
+            for a, b in slices(offsets, SLICE):
+                words, bounds = word_lists(batch.column(1).slice(a, b - a))
+                numbers = _numbered(words, known).astype("<i4")
+                codes = pa.Array.from_buffers(
+                    pa.large_binary(), b - a, [None, pa.py_buffer(bounds * 4), pa.py_buffer(numbers)]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), codes.cast(pa.binary())], names=["key", "codes"]
+                )
 
-    What reaches the driver is one number for each weight, summed by Spark.
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    keyed = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("_text"))
+    coded = keyed.mapInArrow(encode, "key long, codes binary")
+    return coded.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "codes")
+
+
+def _of_shards(batches):
+    """``shard``, numbers and bounds of runs of documents; where batches end makes no difference."""
+    own, held, size = None, [], 0
+    for batch in batches:
+        for shard, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and (shard != own or size >= TRAIN_TOKENS):
+                yield own, np.concatenate(held), np.r_[0, np.cumsum([len(n) for n in held])]
+                held, size = [], 0
+            own = shard
+            held.append(np.frombuffer(codes.as_buffer(), "<i4").astype(np.int64))
+            size += len(held[-1]) + 1
+    if held:
+        yield own, np.concatenate(held), np.r_[0, np.cumsum([len(n) for n in held])]
+
+
+def _added(rows: DataFrame) -> tuple[np.ndarray, int] | None:
+    """Sums of ``sums`` (64-bit whole numbers as bytes) and ``weight`` over all rows, by a tree.
+
+    Whole numbers add up to the same in any order.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1, np.int64)
+        for one in table["sums"]:
+            total = total + np.frombuffer(one.as_buffer(), "<i8")
+        weight = pc.sum(table["weight"])
+        node = [table["node"][0].as_py() // FAN_IN]
+        return pa.table({"node": pa.array(node, pa.int32()), "weight": [weight.as_py()], "sums": [total.tobytes()]})
+
+    rows = materialize(rows, "weights")
+    left = rows.count()
+    while left > 1:
+        above = rows.groupBy(F.expr(f"node div {FAN_IN}")).applyInArrow(add, rows.schema)
+        rows = materialize(above, "weights")
+        left = rows.count()
+    one = rows.first()
+    return one and (np.frombuffer(bytes(one["sums"]), "<i8"), one["weight"])
+
+
+def train(
+    docs: DataFrame, v: Vocabulary, text_col: str = "text", rates: tuple = (0.1, 0.03), id_col: str = "doc_id"
+) -> dict:
+    """Weights after one round on a share of the shards and one on all of them.
+
+    What reaches the driver is one number for each weight, added up by Spark. A shard is one
+    task's work, a stream of bounded slices; there is one for every ``SHARD_TOKENS`` tokens.
     """
     spark = docs.sparkSession
     weights = start_weights(v)
     if not v.tokens:
         return weights
     shapes = {k: a.shape for k, a in weights.items()}
-    narrow = docs.select(F.col(f"`{text_col}`").alias("_text"))
-    first = narrow.where(F.pmod(F.xxhash64("_text"), F.lit(16)) < FIRST_ROUND)
-    for share, rate in zip((first, narrow), rates, strict=True):
-        shared = spark.sparkContext.broadcast((weights, v.state))
+    shards = -(-v.tokens // SHARD_TOKENS)
+    coded = materialize(_encoded(docs, v, shards, id_col, text_col), "coded")
+    for share, rate in zip((-(-shards // FIRST_ROUND), shards), rates, strict=True):
+        shared = spark.sparkContext.broadcast((weights, v))
 
         def learn(batches, shared=shared, rate=rate):
-            start, state = shared.value
-            v = Vocabulary(*state)
-            w = {k: a.copy() for k, a in start.items()}
-            memory = {k: np.zeros_like(a) for k, a in w.items()}
-            known, seen, waiting = pa.array(v.words, pa.string()), 0, []
-            for batch in batches:
-                _, offsets = flat(batch.column(0))
-                for a, b in slices(offsets, SLICE):
-                    words, bounds = word_lists(batch.column(0).slice(a, b - a))
-                    waiting = train_slice(w, memory, _numbered(words, known), bounds, v, rate, waiting, False)
-                    seen += len(words) + b - a
-            train_slice(w, memory, np.zeros(0, np.int64), np.zeros(1, np.int64), v, rate, waiting)
-            if seen:
-                values = np.concatenate([w[k].ravel() for k in w]).astype(float) * seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), float(seen)))],
-                    names=["at", "value", "seen"],
+            start, v = shared.value
+            own, w, memory, seen, waiting = None, {}, {}, 0, []
+
+            def done():
+                train_slice(w, memory, np.zeros(0, np.int64), np.zeros(1, np.int64), v, rate, waiting)
+                tokens = -(-seen // TOKEN_UNIT)
+                units = np.rint(np.concatenate([w[k].ravel() for k in w]).astype(float) * UNIT).astype("<i8")
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([own], pa.int32()), pa.array([tokens]), pa.array([(units * tokens).tobytes()])],
+                    names=["node", "weight", "sums"],
                 )
 
-        rows = share.mapInArrow(learn, "at long, value double, seen double")
-        mean = rows.groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas()
-        if not len(mean):
+            for shard, numbers, bounds in _of_shards(batches):
+                if shard != own:
+                    if own is not None:
+                        yield done()
+                    own, seen, waiting = shard, 0, []
+                    w = {k: a.copy() for k, a in start.items()}
+                    memory = {k: np.zeros_like(a) for k, a in w.items()}
+                waiting = train_slice(w, memory, numbers, bounds, v, rate, waiting, False)
+                seen += len(numbers) + len(bounds) - 1
+            if own is not None:
+                yield done()
+
+        dealt = coded.where(F.col("shard") < share).repartitionById(share, "shard")
+        ordered = dealt.sortWithinPartitions("shard", "key", "codes").select("shard", "codes")
+        added = _added(ordered.mapInArrow(learn, "node int, weight long, sums binary"))
+        if added is None:
             continue
-        joined = mean.sort_values("at")["value"].to_numpy(np.float32)
+        joined = (added[0] / (added[1] * UNIT)).astype(np.float32)
         at = 0
         for k, shape in shapes.items():
             size = int(np.prod(shape))
@@ -449,7 +544,7 @@ def score_texts(
     spark = docs.sparkSession
     counts = materialize(word_counts(learning, text_col), "counts")
     v = learn_vocabulary(counts, learning.count())
-    weights = train(learning, v, text_col)
+    weights = train(learning, v, text_col, id_col=id_col)
     shared = spark.sparkContext.broadcast((weights, v.state))
 
     def score(batches):

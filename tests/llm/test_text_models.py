@@ -262,6 +262,50 @@ def test_training_learns_an_order(spark):
     assert r.score > r.base_score / 2
 
 
+def test_scores_do_not_depend_on_the_layout(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gru, "SHARD_TOKENS", 4000)
+    monkeypatch.setattr(gru, "FIRST_ROUND", 4)
+    rng = random.Random(12)
+    rows = [(k % 390 if k else None, " ".join(rng.choices("a b c d e f g h".split(), k=rng.randrange(120)))) for k in range(400)]
+    scores = []
+    for parts, own in ((1, rows), (6, rows[::-1])):
+        spark.createDataFrame(own, "doc_id long, text string").repartition(parts).write.parquet(f"{tmp_path}/{parts}")
+        docs = spark.read.parquet(f"{tmp_path}/{parts}")
+        scores.append(sorted((r.doc_id or -1, r.n_tokens, r.base_score, r.score) for r in score_texts(docs, docs).collect()))
+    assert len(scores[0]) == 400 and np.allclose(scores[0], scores[1], rtol=1e-6, atol=0)
+
+
+def test_sums_of_a_tree(spark, tmp_path):
+    rows = [(k, k, np.arange(k, k + 3, dtype="<i8").tobytes()) for k in range(40)]
+    sums, weight = gru._added(spark.createDataFrame(rows, "node int, weight long, sums binary").repartition(7))
+    assert weight == 780 and sums.tolist() == [780, 820, 860]
+
+
+def test_scores_against_a_plain_forward_pass():
+    """Step by step in plain numbers, as the definition of the model says."""
+    v, w, numbers, bounds = small_model()
+    got = gru.log_likelihoods(w, numbers, bounds, v)
+    size, sigmoid = gru.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    w = {k: a.astype(np.float64) for k, a in w.items()}
+    for text, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        h, at, total = np.zeros(size), v.start, 0.0
+        for target in [*numbers[a:b], len(v.words)]:
+            x, s = w["x"][at] + w["b"], h @ w["u"]
+            z, r = sigmoid(x[:size] + s[:size]), sigmoid(x[size : 2 * size] + s[size : 2 * size])
+            n = np.tanh(x[2 * size :] + r * s[2 * size :])
+            h = (1 - z) * n + z * h
+            cls = v.cls[target]
+            logits = h @ w["wc"] + w["bc"]
+            total += logits[cls] - np.logaddexp.reduce(logits)
+            if target < gru.SHARP:
+                logits = h @ w["ww"][cls] + w["bw"][cls]
+                total += logits[target % gru.SHARP_CLASS] - np.logaddexp.reduce(logits)
+            elif target < len(v.words):
+                total += np.log(v.counts[target] / v.counts[gru.SHARP :][v.cls[gru.SHARP : len(v.words)] == cls].sum())
+            at = v.entry[target]
+        assert abs(total - got[text]) < 1e-4 * abs(total)
+
+
 def test_word_lists():
     words, bounds = word_lists(pa.array(["A  bÉ\n", None, "", " ", "x\x0by"], pa.string()))
     assert words.to_pylist() == ["a", "bÉ", "x", "y"] and bounds.tolist() == [0, 2, 2, 2, 2, 4]
