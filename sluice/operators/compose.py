@@ -18,10 +18,11 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import fingerprint as fp
+from sluice.operators.skew import ordinal, scan_before
 from sluice.session import materialize
 
 SEP = "/"
@@ -436,6 +437,45 @@ def sweep_where(
     return run(branch(**values), df, out=out)
 
 
+def sweep_above(
+    df: DataFrame,
+    params: DataFrame,
+    column: str,
+    measures: Mapping[str, str],
+    group: Sequence[str] = (),
+    param: str = "param_id",
+    threshold: str = "threshold",
+) -> DataFrame:
+    """Sums over the rows of ``df`` whose ``column`` is above each threshold of a table.
+
+    ``params`` has one row per parameter value, as many as one likes: the plan stays the same
+    and no row meets a parameter. Rows are summed by group and value first; sorted together
+    with the thresholds, every value learns the highest one below it; sums of these intervals
+    are added up downwards. ``measures`` are expressions that are summed. Parameters without a
+    row above, null thresholds and null values give nothing. A window runs over the different
+    thresholds of a group, never over rows of ``df``.
+    """
+    group = list(group)
+    sums = [F.sum(F.expr(value)).alias(name) for name, value in measures.items()]
+    points = df.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("_at")).agg(*sums)
+    wanted = params.where(F.col(threshold).isNotNull())
+    levels = materialize(ordinal(wanted.select(F.col(threshold).alias("_level")).distinct(), ["_level"], "_rank"), "levels")
+    marks = levels.select(F.col("_level").alias("_at"), "_rank", F.lit(1).alias("_mark"))
+    # at the same value a point comes before the mark, so it is not above it
+    both = points.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    ordered = both.withColumn("_order", F.struct("_at", "_mark", *group))
+    seen = scan_before(ordered, [], "_order", F.col("_rank"), "_top", how="last")
+    inside = seen.where("_mark = 0 and _top is not null").groupBy(*group, "_top").agg(*[F.sum(m).alias(m) for m in measures])
+    rising = Window.partitionBy(*group, F.lit(0)).orderBy("_top")
+    upwards = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    first = F.coalesce(F.lag("_top").over(rising) + 1, F.lit(0))
+    above = inside.select(
+        *group, "_top", first.alias("_first"), *[F.sum(m).over(upwards).alias(m) for m in measures]
+    ).select(*group, *measures, F.explode(F.sequence("_first", "_top")).alias("_rank"))
+    named = wanted.join(levels, F.col(threshold) == F.col("_level")).select(F.col(param), F.col(threshold), "_rank")
+    return above.join(named, "_rank").select(param, threshold, *group, *measures)
+
+
 def compare(
     branched: DataFrame, key: Sequence[str], value: str, names: Sequence[str], out: str = "branch"
 ) -> DataFrame:

@@ -185,6 +185,16 @@ def final_outputs(tasks: DataFrame, run: str = "run_id", pos: str = "pos") -> Da
     return tasks.groupBy(run).agg(last.alias("_last")).select(run, "_last.*")
 
 
+def leaf_outputs(paths: DataFrame, outputs: DataFrame, path: str = "path", uid: str = "uid") -> DataFrame:
+    """The outputs of the last vertex of each path: what a user reads at every leaf of a fork.
+
+    ``paths`` are lineages, as of ``leaf_paths`` or ``run(lineage=True)``; paths that end at the
+    same vertex (a junction) read the same outputs. A leaf without an output has nulls.
+    """
+    ended = paths.withColumn(uid, F.element_at(path, -1))
+    return lookup(ended, outputs, [uid], how="left")
+
+
 def graph_to_json(vertices: DataFrame, edges: DataFrame, run: str = "run_id") -> DataFrame:
     """The graph of each run as lines of one JSON document: ``(run, part, key, line)``.
 

@@ -12,6 +12,7 @@ from sluice.operators.compose import (
     compare,
     merge,
     run,
+    sweep_above,
     sweep_where,
 )
 from sluice.plans.oracle import query
@@ -290,6 +291,22 @@ def param_sweep(spark, sf):
     )
 
 
+@query(
+    "param_sweep_table",
+    """select p_partkey as param_id, 20 * p_retailprice as threshold, l_returnflag, count(*) as n,
+              cast(sum(cast(l_quantity as decimal(12,2))) as double) as qty
+       from lineitem join part on l_extendedprice > 20 * p_retailprice group by all""",
+)
+def param_sweep_table(spark, sf):
+    """A threshold for every part, from the table of parts."""
+    params = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("param_id"), (20 * F.col("p_retailprice")).alias("threshold")
+    )
+    measures = {"n": "1", "qty": "cast(l_quantity as decimal(12,2))"}
+    swept = sweep_above(table(spark, sf, "lineitem"), params, "l_extendedprice", measures, ["l_returnflag"])
+    return swept.withColumn("qty", F.col("qty").cast("double"))
+
+
 @query("batch_fn", "select doc_id, len(string_split(text, ' ')) as n_words from documents")
 def batch_fn(spark, sf):
     def words(batch):

@@ -196,6 +196,25 @@ def final_outputs(spark, sf):
     return graph.final_outputs(t.tasks_conv(spark, sf))
 
 
+@query(
+    "leaf_outputs",
+    DOWN
+    + """ select node as leaf, array_to_string(path, '>') as path, o_totalprice as price, o_orderstatus as status
+          from walk left join orders on node = 'o' || o_orderkey
+          where node not in (select src from hier_edges)""",
+    ("hier_vertices", "hier_edges"),
+)
+def leaf_outputs(spark, sf):
+    """What the orders at the leaves of the hierarchy give out; a customer without one gives nothing."""
+    paths = graph.leaf_paths(t.hier_vertices(spark, sf), t.hier_edges(spark, sf))
+    uid = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    outputs = t.table(spark, sf, "orders").select(
+        uid.alias("uid"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")
+    )
+    found = graph.leaf_outputs(paths, outputs)
+    return found.select("leaf", F.array_join("path", ">").alias("path"), "price", "status")
+
+
 @query(
     "graph_json_sink",
     """with v as (select run_id, 1 as part, uid as key, '{"_id":"' || uid

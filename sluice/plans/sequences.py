@@ -279,6 +279,28 @@ def kmer_sketch(spark, sf):
     return kmers.kmer_sketch(t.plain_reads(spark, sf), K)
 
 
+@query(
+    "kmer_sketch_bounds",
+    """select count(*) as n_kmers, cast(sum(n) as bigint) as n_total, cast(0 as bigint) as n_under,
+              true as within from raw_counts""",
+    ("raw_counts",),
+)
+def kmer_sketch_bounds(spark, sf):
+    """All k-mers against a sketch built for an error: none too low, as good as none too high."""
+    eps, confidence = 1e-4, 0.99
+    reads = materialize(t.plain_reads(spark, sf), "reads")
+    counts = materialize(kmers.kmer_count(reads, K), "counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    estimates = kmers.bounded_estimates(counts, kmers.bounded_sketch(reads, K, eps, confidence))
+    over = F.count_if(F.col("estimate") > F.col("n") + eps * total)
+    return estimates.agg(
+        F.count(F.lit(1)).alias("n_kmers"),
+        F.sum("n").alias("n_total"),
+        F.count_if(F.col("estimate") < F.col("n")).alias("n_under"),
+        (over <= (1 - confidence) * F.count(F.lit(1))).alias("within"),
+    )
+
+
 # alignment tables
 
 

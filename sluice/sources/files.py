@@ -220,7 +220,7 @@ def resolve_trajectory(
         F.min("path").alias("path")
     )
     nearest = (
-        steps.join(hits, "uid")
+        lookup(steps, hits, ["uid"])  # a shared ancestor is a hot key
         .groupBy("request")
         .agg(F.max_by("path", "at").alias("resolved"))
     )
