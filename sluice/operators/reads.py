@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.bases import fuzzy_regex
+from sluice.functions.bases import fuzzy_regex, reverse_complement
 from sluice.functions.rows import once
 from sluice.operators.skew import ordinal
 
@@ -100,6 +100,30 @@ def adapter_clip(
     return clipped.withColumns(columns).withColumnRenamed("_at", "clip_at")
 
 
+def palindrome_clip(reads: DataFrame, min_overlap: int = 16) -> DataFrame:
+    """Cut both mates where they read through their fragment, and add its length, ``fragment``.
+
+    A fragment shorter than its reads shows as a beginning of mate 1 that is, reverse
+    complemented, the beginning of mate 2; what follows in either is adapter, whatever its
+    letters. The longest such beginning of ``min_overlap`` bases or more that is shorter than
+    both mates counts, and has to match exactly. ``fragment`` is null where there is none, or
+    no other mate; such reads stay as they are. Reads are shuffled once, by pair.
+    """
+    pair = Window.partitionBy("read_id")
+    sides = {f"_seq{m}": F.max(F.when(F.col("mate") == m, F.col("seq"))).over(pair) for m in (1, 2)}
+    pairs = reads.withColumns(sides).withColumn("_other", reverse_complement("_seq2"))
+    longest = F.least(F.length("_seq1"), F.length("_seq2")) - 1
+    complete = F.col("_seq1").isNotNull() & F.col("_seq2").isNotNull()
+    lengths = F.when(complete & (longest >= min_overlap), F.sequence(F.lit(min_overlap), longest))
+    same = F.filter(lengths, lambda n: F.col("_seq1").substr(F.lit(1), n) == F.right("_other", n))
+    found = once(pairs, fragment=F.array_max(same))
+    end = F.coalesce("fragment", F.length("seq"))
+    columns = {"seq": F.col("seq").substr(F.lit(1), end)}
+    if "qual" in reads.columns:
+        columns["qual"] = F.slice("qual", F.lit(1), F.least(end, F.size("qual")))
+    return found.withColumns(columns).drop("_seq1", "_seq2", "_other")
+
+
 def paired_split(trimmed: DataFrame) -> DataFrame:
     """Add ``output``: ``paired`` if both mates survived, else ``single``.
 

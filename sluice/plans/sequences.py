@@ -192,6 +192,28 @@ def adapter_clip(spark, sf):
     return clipped.select("read_id", "mate", "seq", "clip_at")
 
 
+@query(
+    "palindrome_clip",
+    f"""with p as (select read_id || '/' || mate as read_id,
+                      case when mate = 1 then seq || '{ADAPTERS[0]}' else seq end as a,
+                      case when mate = 1 then {_revcomp('seq')} || '{ADAPTERS[1]}' else seq end as b from reads),
+            c as (select read_id, a, b, {_revcomp('b')} as o, unnest(range(16, least(len(a), len(b)))) as n from p),
+            f as (select read_id, max(n) as fragment from c where left(a, n) = right(o, n) group by read_id),
+            m as (select read_id, 1 as mate, a as seq from p union all select read_id, 2, b from p)
+       select read_id, mate, case when fragment is null then seq else left(seq, fragment) end as seq,
+              cast(fragment as int) as fragment from m left join f using (read_id)""",
+    ("reads",),
+)
+def palindrome_clip(spark, sf):
+    """First mates as fragments that both ends read through; second mates as pairs that do not."""
+    reads, first = t.plain_reads(spark, sf), F.col("mate") == 1
+    forward = F.when(first, F.concat("seq", F.lit(ADAPTERS[0]))).otherwise(F.col("seq"))
+    back = F.when(first, F.concat(bases.reverse_complement("seq"), F.lit(ADAPTERS[1]))).otherwise(F.col("seq"))
+    ends = [F.struct(F.lit(m).alias("mate"), s.alias("seq")) for m, s in ((1, forward), (2, back))]
+    pairs = reads.select(F.concat_ws("/", "read_id", F.col("mate").cast("string")).alias("read_id"), F.inline(F.array(*ends)))
+    return rd.palindrome_clip(pairs).select("read_id", "mate", "seq", "fragment")
+
+
 @query(
     "paired_survival",
     """select read_id, mate, case when count(*) over (partition by read_id) = 2

@@ -1,4 +1,4 @@
-"""Sweeps over a table of thresholds, outputs at leaves, sketches built for an error."""
+"""Sweeps over a table of thresholds, outputs at leaves, sketches built for an error, palindromes."""
 
 import random
 from collections import Counter
@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sluice.operators import graph, kmers
+from sluice.operators import reads as rd
 from sluice.operators.compose import sweep_above
 
 ROWS = "kind string, x double, w long"
@@ -73,3 +74,25 @@ def test_sketch_keeps_its_bound(spark):
         assert len(sketch.first().sketch) <= 20 + 8 * 7 * (2 / eps + 2)
     nothing = kmers.bounded_sketch(reads.limit(0), 8, 0.01, 0.9)
     assert {r.estimate for r in kmers.bounded_estimates(counts, nothing).collect()} == {0}
+
+
+def test_palindromes_against_plain_python(spark):
+    rng = random.Random(3)
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    pairs = [("short", "ACGT", "ACGT"), ("empty", "", dna(30)), ("whole", "ACGT" * 10, "ACGT" * 10)]
+    for i in range(120):
+        fragment = dna(rng.randrange(8, 60))
+        wrong = flip(fragment) if i % 3 else flip(fragment)[:-1] + "N"
+        pairs.append((f"p{i}", (fragment + dna(50))[:50], (wrong + dna(50))[:50]))
+    rows = [(n, m, s, list(range(len(s)))) for n, *ends in pairs for m, s in enumerate(ends, 1)]
+    rows += [("alone", 1, dna(40), list(range(40))), ("null", 1, None, None), ("null", 2, dna(40), list(range(40)))]
+    got = rd.palindrome_clip(spark.createDataFrame(rows, "read_id string, mate int, seq string, qual array<int>"), 12).collect()
+    found = {n: [k for k in range(12, min(len(a), len(b))) if a[:k] == flip(b[:k])] for n, a, b in pairs}
+    assert len(got) == len(rows) and sum(bool(k) for k in found.values()) > 50
+    by_key = {(n, m): s for n, m, s, _ in rows}
+    for r in got:
+        cut = max(found.get(r.read_id) or [0]) or None
+        whole = by_key[r.read_id, r.mate]
+        assert r.fragment == cut and r.seq == (whole if cut is None or whole is None else whole[:cut])
+        assert r.seq is None or r.qual == list(range(len(r.seq)))
