@@ -155,11 +155,87 @@ _SINGLE = [
 ]
 
 
+#: Signatures of notices, tags and addresses as they stand in files, written by hand: keyword,
+#: regex over words, label, priority.
+_NOTICES = [
+    ("spdx", "spdx licen[cs]e identifier mit", "mit", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier mit 0", "mit-0", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier isc", "isc", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier 0bsd", "0bsd", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier bsd 2 clause", "bsd-2-clause", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier bsd 3 clause", "bsd-3-clause", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier apache 2 0", "apache-2.0", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier mpl 2 0", "mpl-2.0", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier epl 2 0", "epl-2.0", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier gpl 2 0(?: only)?", "gpl-2-only", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier gpl 2 0 or later", "gpl-2-or-later", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier gpl 3 0(?: only)?", "gpl-3-only", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier gpl 3 0 or later", "gpl-3-or-later", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier lgpl 2 1(?: only)?", "lgpl-2.1-only", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier lgpl 2 1 or later", "lgpl-2.1-or-later", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier lgpl 3 0(?: only)?", "lgpl-3-only", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier agpl 3 0(?: only)?", "agpl-3-only", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier agpl 3 0 or later", "agpl-3-or-later", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier cc0 1 0", "cc0", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier unlicense", "unlicense", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier zlib", "zlib", VERSIONED),
+    ("spdx", "spdx licen[cs]e identifier", "licence-notice", CLUE),
+    ("license mit", "license mit", "mit", NAMED),
+    ("license isc", "license isc", "isc", NAMED),
+    ("license apache", "license apache(?: software)?(?: licen[cs]e)? 2 0", "apache-2.0", VERSIONED),
+    ("license bsd", "license bsd(?! [0-9])", "bsd", NAMED),
+    ("license gpl", "license gpl(?! v?[0-9])", "gpl", NAMED),
+    ("under the mit", "(?:released|distributed|available|published|provided) under the mit", "mit", NAMED),
+    ("under the bsd", "(?:released|distributed|available|published|licensed) under the bsd", "bsd", NAMED),
+    ("under the gpl", "(?:released|distributed|available|published|licensed) under the (?:gnu )?gpl", "gpl", NAMED),
+    ("under the apache", "(?:released|distributed|available|published) under the apache", "apache", FAMILY),
+    ("either version", "either version 2 of the licen[cs]e or at your option any later version", "gpl-2-or-later", VERSIONED),
+    ("either version", "either version 3 of the licen[cs]e or at your option any later version", "gpl-3-or-later", VERSIONED),
+    ("either version", "either version 2 1 of the licen[cs]e or at your option any later version", "lgpl-2.1-or-later", VERSIONED),
+    ("version 2 of", "general public licen[cs]e version 2 as published by the free software foundation", "gpl-2-only", VERSIONED),
+    ("received a copy", "you should have received a copy of the gnu general public licen[cs]e", "gpl", NAMED),
+    ("received a copy", "you should have received a copy of the gnu lesser general public licen[cs]e", "lgpl", NAMED),
+    ("received a copy", "you should have received a copy of the gnu affero general public licen[cs]e", "agpl", NAMED),
+    ("gnu org", "gnu org licen[cs]es gpl 3 0", "gpl-3", VERSIONED),
+    ("gnu org", "gnu org licen[cs]es", "gnu", FAMILY),
+    ("apache org", "apache org licen[cs]es license 2 0", "apache-2.0", VERSIONED),
+    ("mozilla org", "mozilla org mpl 2 0", "mpl-2.0", VERSIONED),
+    ("source code form", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", "mpl-2.0", VERSIONED),
+    ("opensource org", "opensource org licen[cs]es? mit", "mit", VERSIONED),
+    ("opensource org", "opensource org licen[cs]es? bsd 3 clause", "bsd-3-clause", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by 3 0", "cc-by-3.0", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by 4 0", "cc-by-4.0", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by sa 3 0", "cc-by-sa-3.0", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by sa 4 0", "cc-by-sa-4.0", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by nc 4 0", "cc-by-nc-4.0", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by nd 4 0", "cc-by-nd-4.0", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by nc sa 4 0", "cc-by-nc-sa-4.0", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es by nc nd 4 0", "cc-by-nc-nd-4.0", VERSIONED),
+    ("creativecommons org", "creativecommons org publicdomain zero 1 0", "cc0", VERSIONED),
+    ("creativecommons org", "creativecommons org publicdomain mark 1 0", "public-domain", VERSIONED),
+    ("creativecommons org", "creativecommons org licen[cs]es", "creative-commons", FAMILY),
+    ("software is provided", "(?:the|this) software is provided as is(?: and [^ ]+ disclaims all warranties)?", "warranty-disclaimer", FAMILY),
+    ("software is provided", "the software is provided as is without warranty of any kind express or implied", "mit", FAMILY),
+    ("software is provided", "this software is provided by the copyright holders(?: and contributors)?", "bsd", FAMILY),
+    ("without any warranty", "(?:but )?without any warranty without even the implied warranty of merchantability", "gpl", FAMILY),
+    ("without any express", "provided as is without any express or implied warranty", "zlib", FAMILY),
+    ("neither the name", "neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors", "bsd-3-clause", NAMED),
+    ("above copyright", "the above copyright notice and this permission notice shall be included in all copies", "mit", NAMED),
+    ("above copyright", "provided that the above copyright notice and this permission notice appear in all copies", "isc", NAMED),
+    ("you may not use", "you may not use this file except in compliance with the licen[cs]e", "apache", NAMED),
+    ("unless required", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e", "apache", NAMED),
+    ("origin of", "the origin of this software must not be misrepresented", "zlib", NAMED),
+    ("free and unencumbered", "this is free and unencumbered software released into the public domain", "unlicense", NAMED),
+    ("what the fuck", "do what the fuck you want to public licen[cs]e", "wtfpl", NAMED),
+    ("beerware", "the beerware licen[cs]e", "beerware", NAMED),
+]
+
+
 def signature_rules() -> list[tuple[int, str, str, str, int]]:
     """All rules in order: number, keyword, regex over words, label, priority."""
     keywords = ("cc by", "general public", "rights reserved")
     base = [(k, p, n, FAMILY) for k, (p, n) in zip(keywords, BASE.items(), strict=True)]
-    rules = [*base, *_versioned(), *_SINGLE]
+    rules = [*base, *_versioned(), *_SINGLE, *_NOTICES]
     return [
         (number, keyword, f" (?:{regex.strip()})(?= |$)", label, priority)
         for number, (keyword, regex, label, priority) in enumerate(rules)

@@ -287,3 +287,39 @@ def test_language_stage_keeps_texts_when_no_language_is_known(spark):
     out = corpus_pipeline.known_language(spark, docs, "")
     assert out.columns == docs.columns and out.where("lang is not null").isEmpty()
     assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 2, 6, 7, 9, 9, 10]
+
+
+#: Lines as they stand in files, and the label that the notice rules give.
+NOTICES = {
+    "// SPDX-License-Identifier: MIT": "mit",
+    "# SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2-or-later",
+    "/* SPDX-License-Identifier: Apache-2.0 */": "apache-2.0",
+    "License: MIT": "mit",
+    "Released under the MIT": "mit",
+    "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4.0",
+    "see http://creativecommons.org/publicdomain/zero/1.0/": "cc0",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED': "mit",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY': "warranty-disclaimer",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS": "bsd",
+    "either version 2 of the License, or (at your option) any later version.": "gpl-2-or-later",
+    "either version 3 of the License, or (at your option) any later version.": "gpl-3-or-later",
+    "Neither the name of the Example Project nor the names of its contributors": "bsd-3-clause",
+    "you may not use this file except in compliance with the License": "apache",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    "The origin of this software must not be misrepresented": "zlib",
+}
+#: Lines that hold the keywords of notice rules, but no notice.
+NO_NOTICES = [
+    "the spdx group met today", "a license is mitigated", "under the mitten lay a key", "either version of the story is true",
+    "creativecommons org is a site", "she received a copy of the book", "neither the name nor the place", "unless required by me",
+    "the above copyright office", "you may not use this door", "the origin of species", "without any warranty claims",
+]
+
+
+def test_notices_as_they_stand_in_files(spark):
+    lines = [*NOTICES, *NO_NOTICES]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {lines[r.doc_id]: r.labels.split(",") for r in license_scan(docs).collect()}
+    assert {line for line, label in NOTICES.items() if label not in got[line]} == set()
+    assert {line: got[line] for line in NO_NOTICES if got[line] != [""]} == {}
