@@ -1,5 +1,6 @@
 """Reads of either strand against plain counting of votes."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -82,3 +83,18 @@ def test_the_index_is_not_shuffled_again(spark, genome):
     met.collect()
     plan = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_the_index_stays_near_the_size_of_the_contigs(spark):
+    """Places travel in packed runs, not as one row for each combination of seeds."""
+    rng = random.Random(3)
+    text = "".join(rng.choices("ACGT", k=1_200_000))  # more than two pieces
+    contigs = spark.createDataFrame([(1, "a", text), (2, "b", text[700_000:] + "N" + text[:90])], "ord long, contig string, seq string")
+    setting = dict(k=16, stride=27, n_seeds=3, min_votes=2)
+    index = align.build_index(contigs, **setting)
+    at = [0, (1 << 19) - 40, (1 << 19) - 1, 1 << 19, 1_199_910, 900_000]
+    reads = spark.createDataFrame([(f"r{i}", 1, text[i : i + 90]) for i in at], "read_id string, mate int, seq string")
+    got = {r.read_id: (r.contig, r.pos, r.votes) for r in align.seed_map(reads, index, contigs, **setting).collect()}
+    assert got == {f"r{i}": ("a", i + 1, 3) for i in at}
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in index.inputFiles())
+    assert size < 12 * (len(text) + 500_000)
