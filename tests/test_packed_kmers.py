@@ -1,5 +1,6 @@
 """Packed k-mers against plain strings: odd letters, long and repeated reads, every bucket size."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sluice.operators import kmers
 from sluice.operators import packed as codes
@@ -125,3 +127,19 @@ def test_no_occurrence_is_shuffled_again(spark, sample):
     hits = kmers._rare_hits(reads, stored, k, 3, True).count()
     counts = plain_counts(sample, k)
     assert hits == sum(n for n in counts.values() if n <= 3) < 0.5 * sum(counts.values())
+
+
+def test_sketches_take_each_kmer_once(spark, sample):
+    """Both sketches equal those of Spark over every occurrence, and no occurrence is a row."""
+    reads = spark.createDataFrame(sample, READS)
+    every = kmers.explode_kmers(reads, 20).select(F.xxhash64("kmer").alias("number"), "kmer")
+    plain = every.agg(F.count_min_sketch("number", F.lit(0.01), F.lit(0.9), F.lit(7)).alias("sketch")).first()["sketch"]
+    own = kmers.bounded_sketch(reads, 20, 0.01, 0.9)
+    assert bytes(own.first()["sketch"]) == bytes(plain)
+    slots = Counter()
+    for word, n in plain_counts(sample, 20).items():
+        digest = hashlib.md5(word.encode()).hexdigest()
+        slots.update({(t, int(digest[8 * t : 8 * t + 7], 16) % 512): n for t in range(4)})
+    sketch = kmers.kmer_sketch(reads, 20, 512)
+    assert {(r.tab, r.slot): r.n for r in sketch.collect()} == slots
+    assert not any("Generate explode" in d._jdf.queryExecution().optimizedPlan().toString().split("+- Union")[0] for d in (own, sketch))
