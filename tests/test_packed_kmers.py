@@ -143,3 +143,38 @@ def test_sketches_take_each_kmer_once(spark, sample):
     sketch = kmers.kmer_sketch(reads, 20, 512)
     assert {(r.tab, r.slot): r.n for r in sketch.collect()} == slots
     assert not any("Generate explode" in d._jdf.queryExecution().optimizedPlan().toString().split("+- Union")[0] for d in (own, sketch))
+
+
+@pytest.mark.parametrize("at_once, share", [(1 << 27, 1 << 40), (50, 1 << 40), (1 << 27, 0)])
+def test_runs_meet_rare_kmers_in_every_part_of_a_hot_bucket(spark, sample, monkeypatch, at_once, share):
+    monkeypatch.setattr(kmers, "BLOOM_SHARE", share)  # without and with a filter at the scan
+    monkeypatch.setattr(kmers, "SALT_FROM_BYTES", -1)
+    monkeypatch.setattr(kmers, "GROUP_KMERS", at_once)
+    reads = spark.createDataFrame(sample, READS).repartition(4)
+    counts = plain_counts(sample, 20)
+    stored = kmers.kmer_count(reads, 20).cache()
+    runs = kmers._rare_runs(reads, stored, 20, 3, True).collect()
+    got = sorted((r.read_id, r.mate, at) for r in runs for at in r.ats)
+    assert got == sorted(
+        (n, m, i) for n, m, s in sample for i in range(len(s or "") - 19) if counts[min(s[i : i + 20], comp(s[i : i + 20]))] <= 3
+    )
+    plain = {n for n, _, s in sample if not set(s or "") - set("ACGT")}
+    own = [r.ats for r in runs if r.read_id in plain]
+    assert len(own) < 0.5 * sum(map(len, own))  # a row is a run of k-mers
+
+
+@pytest.mark.parametrize("at_once", [1 << 22, 0])
+def test_windows_of_texts_travel_in_runs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(kmers, "TASK_BYTES", at_once)
+    rng = random.Random(8)
+    words = ["one ", "zwölf ", "три ", "four\n", "😀😀 ", "a" * 30]
+    texts = ["".join(rng.choices(words, k=rng.randrange(60))) for _ in range(80)] + ["", None, "short", "x" * 19, "é" * 21]
+    expected = Counter(x[i : i + 20] for x in texts for i in range(len(x or "") - 19))
+    table = spark.createDataFrame([(x,) for x in texts], "seq string").repartition(3)
+    got = kmers.kmer_count(table, 20, canonical=False, packed=False)
+    rows = got.collect()
+    assert {r.kmer: r.n for r in rows} == expected and len(rows) == len(expected)
+    monkeypatch.setattr(kmers, "_hashes", lambda letters, k: letters[: max(len(letters) - k + 1, 0)].astype(np.uint64) % np.uint64(3))
+    assert {r.kmer: r.n for r in kmers.kmer_count(table, 20, canonical=False, packed=False).collect()} == expected
+    stored = sum(kmers._text_runs(table, 20).select(F.length("runs")).toPandas().iloc[:, 0])
+    assert stored < 13 * sum(expected.values())
