@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,14 @@ def split_mates(reads: DataFrame) -> dict[int, DataFrame]:
 
 
 def write_mates(reads: DataFrame, path: str) -> None:
-    reads.write.partitionBy("mate").parquet(path)
+    """One folder for each mate. A task keeps both files open, so that the reads are not sorted, which would spill them."""
+    conf, name = reads.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, max(int(before), 4))  # past these, Spark sorts what is left
+    try:
+        reads.write.partitionBy("mate").parquet(path, compression="zstd")
+    finally:
+        conf.set(name, before)
 
 
 def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -100,6 +108,23 @@ def adapter_clip(
     return clipped.withColumns(columns).withColumnRenamed("_at", "clip_at")
 
 
+def _longest_meeting(least: int):
+    """The most letters, ``least`` or more and not all of either, that begin one text and end the other."""
+
+    def longest(begins: pa.Array, ends: pa.Array) -> pa.Array:
+        found = []
+        for x, y in zip(begins.to_pylist(), ends.to_pylist(), strict=True):
+            at = -1
+            if x is not None and y is not None and min(len(x), len(y)) > least:
+                head, at = x[:least], y.find(x[:least], max(1, len(y) - len(x) + 1))
+                while at >= 0 and not x.startswith(y[at:]):
+                    at = y.find(head, at + 1)
+            found.append(len(y) - at if at >= 0 and len(y) - at >= least else None)
+        return pa.array(found, pa.int32())
+
+    return longest
+
+
 def palindrome_clip(reads: DataFrame, min_overlap: int = 16) -> DataFrame:
     """Cut both mates where they read through their fragment, and add its length, ``fragment``.
 
@@ -112,11 +137,7 @@ def palindrome_clip(reads: DataFrame, min_overlap: int = 16) -> DataFrame:
     pair = Window.partitionBy("read_id")
     sides = {f"_seq{m}": F.max(F.when(F.col("mate") == m, F.col("seq"))).over(pair) for m in (1, 2)}
     pairs = reads.withColumns(sides).withColumn("_other", reverse_complement("_seq2"))
-    longest = F.least(F.length("_seq1"), F.length("_seq2")) - 1
-    complete = F.col("_seq1").isNotNull() & F.col("_seq2").isNotNull()
-    lengths = F.when(complete & (longest >= min_overlap), F.sequence(F.lit(min_overlap), longest))
-    same = F.filter(lengths, lambda n: F.col("_seq1").substr(F.lit(1), n) == F.right("_other", n))
-    found = once(pairs, fragment=F.array_max(same))
+    found = pairs.withColumn("fragment", F.arrow_udf(_longest_meeting(min_overlap), "int")("_seq1", "_other"))
     end = F.coalesce("fragment", F.length("seq"))
     columns = {"seq": F.col("seq").substr(F.lit(1), end)}
     if "qual" in reads.columns:

@@ -96,3 +96,23 @@ def test_palindromes_against_plain_python(spark):
         whole = by_key[r.read_id, r.mate]
         assert r.fragment == cut and r.seq == (whole if cut is None or whole is None else whole[:cut])
         assert r.seq is None or r.qual == list(range(len(r.seq)))
+
+
+def test_ends_that_meet_are_searched_not_tried_length_by_length(spark):
+    """Half a million bases: every length compared would be too many letters."""
+    rng = random.Random(4)
+    text = "".join(rng.choices("ACGT", k=400_000))
+    back = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [("p", 1, text + "A" * 20), ("p", 2, back + "C" * 30), ("q", 1, "A" * 300), ("q", 2, "T" * 200), ("r", 1, text), ("s", 1, None), ("s", 2, back)]
+    got = rd.palindrome_clip(spark.createDataFrame(rows, "read_id string, mate int, seq string")).collect()
+    assert {(r.read_id, r.mate): r.fragment for r in got} == {("p", 1): 400_000, ("p", 2): 400_000, ("q", 1): 199, ("q", 2): 199, ("r", 1): None, ("s", 1): None, ("s", 2): None}
+
+
+def test_mates_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    reads = spark.createDataFrame([(f"r{i}", m, "ACGT") for i in range(50) for m in (1, 2, None)], "read_id string, mate int, seq string")
+    seen = []
+    monkeypatch.setattr(type(reads.write), "partitionBy", lambda self, *c, old=type(reads.write).partitionBy: (seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")), old(self, *c))[1])
+    rd.write_mates(reads, f"{tmp_path}/mates")
+    assert seen == ["4"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    back = spark.read.parquet(f"{tmp_path}/mates")
+    assert sorted(map(str, back.select("read_id", "mate", "seq").collect())) == sorted(map(str, reads.collect()))
