@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sluice.operators.fingerprints import group_uid
 from sluice.operators.skew import lookup, scan_before
-from sluice.session import materialize
+from sluice.session import materialize, plan_bytes
 
+TASK_BYTES = 1 << 20  # estimated bytes of vertices and edges that one task compares
 # The frame of the exported graph document.
 GRAPH_OPEN = '{"graph":{"mode":"NORMAL","vertices":['
 GRAPH_MIDDLE = '],"edges":['
@@ -55,14 +56,24 @@ def add_junction(
     return vertices, contents, edges
 
 
+def _without(vertices: DataFrame, edges: DataFrame, end: str) -> DataFrame:
+    """The vertices that are not at this end of any edge.
+
+    Both sides are dealt to a number of tasks that follows their size: adaptive execution would
+    put shuffled rows together by their packed size, many times less than what a sort holds.
+    """
+    size = plan_bytes(vertices) + plan_bytes(edges)
+    tasks = max(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    there = edges.select(F.col(end).alias("uid")).repartition(tasks, "uid").distinct()
+    return vertices.repartition(tasks, "uid").join(there.hint("merge"), "uid", "left_anti")
+
+
 def sources(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    into = edges.select(F.col("dst").alias("uid")).distinct()
-    return vertices.join(into, "uid", "left_anti")
+    return _without(vertices, edges, "dst")
 
 
 def sinks(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    out = edges.select(F.col("src").alias("uid")).distinct()
-    return vertices.join(out, "uid", "left_anti")
+    return _without(vertices, edges, "src")
 
 
 def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:

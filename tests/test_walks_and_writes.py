@@ -73,3 +73,13 @@ def test_validation_in_the_writing_pass_equals_the_report(spark, tmp_path):
     assert other.digest != first.digest
     none = validate.write_validated(df.where("1 = 0"), manifest, f"file:{tmp_path}/none").collect()
     assert all(r.valid and r.n_rows == 0 for r in none)
+
+
+def test_tasks_that_look_for_ends_follow_the_size(spark, monkeypatch):
+    """Shuffled rows are not put together into few large sorts."""
+    monkeypatch.setattr(graph, "TASK_BYTES", 1 << 10)
+    vertices = spark.range(2000).selectExpr("cast(id as string) as uid", "'x' as name")
+    edges = spark.range(1, 2000).selectExpr("cast(id div 2 as string) as src", "cast(id as string) as dst")
+    top, low = graph.sources(vertices, edges), graph.sinks(vertices, edges)
+    assert [r.uid for r in top.collect()] == ["0"] and low.count() == 1000
+    assert top.rdd.getNumPartitions() >= 20
