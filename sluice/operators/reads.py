@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,40 @@ def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
     return ordinal(first.unionByName(second), ["read_id", "mate"], "slot")
 
 
+def _good_part(leading: int, trailing: int, width: int, mean: int):
+    """Where the kept part of each read begins (1-based) and its length, by its quality values."""
+
+    def first_from(at: np.ndarray, start: np.ndarray, none: int) -> np.ndarray:
+        """The first of the sorted places ``at`` that is not before ``start``."""
+        return np.r_[at, none][np.searchsorted(at, start)]
+
+    def part(qual: pa.Array) -> pa.Array:
+        bounds = qual.offsets.to_numpy().astype(np.int64)
+        values = qual.values.slice(bounds[0], bounds[-1] - bounds[0])
+        bounds = bounds - bounds[0]
+        begin, end = bounds[:-1], bounds[1:]
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        q = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+        if q.dtype.kind in "iu":  # sums of bytes need more than a byte
+            q = q.astype(np.int64 if q.dtype.itemsize > 2 else np.int32)
+        head = first_from(np.flatnonzero(known & ~(q < leading)), begin, len(q))
+        head = np.where(head < end, head, end)
+        good = np.flatnonzero(known & ~(q < trailing))
+        tail = np.r_[-1, good][np.searchsorted(good, end)] + 1
+        tail = np.maximum(np.where(tail > begin, tail, begin), head)
+        n = max(len(q) - max(width, 1) + 1, 0)
+        total, whole = q[:n].copy(), known[:n].copy()
+        for step in range(1, width):
+            total += q[step : n + step]
+            whole &= known[step : n + step]
+        low = first_from(np.flatnonzero(whole & (total < width * mean)), head, len(q))
+        stop = np.where(low + max(width, 1) <= tail, low, tail)
+        found = [pa.array((x).astype(np.int32)) for x in (head - begin + 1, stop - head)]
+        return pa.StructArray.from_arrays(found, names=["from", "len"], mask=qual.is_null())
+
+    return part
+
+
 def quality_trim(
     reads: DataFrame,
     leading: int = 3,
@@ -64,29 +100,12 @@ def quality_trim(
 
     The read is cut exactly at the start of the first window whose mean is too low.
     """
-    width, mean = window
-    head = F.array_position(F.transform("qual", lambda q: q >= leading), F.lit(True))
-    tail = F.array_position(F.transform(F.reverse("qual"), lambda q: q >= trailing), F.lit(True))
-    ends = once(
-        reads,
-        _from=F.when(head == 0, F.size("qual") + 1).otherwise(head).cast("int"),
-        _to=F.when(tail == 0, 0).otherwise(F.size("qual") - tail + 1).cast("int"),
-    )
-    kept = F.slice("qual", F.col("_from"), F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0)))
-    ends = once(ends, _kept=kept)
-
-    def low(q, i):
-        total = q
-        for step in range(1, width):
-            total = total + F.get("_kept", i + step)
-        return total < width * mean
-
-    bad = F.array_position(F.transform("_kept", low), F.lit(True))
-    cut = once(ends, _len=F.when(bad == 0, F.size("_kept")).otherwise(bad - 1).cast("int"))
+    ends = reads.select("*", F.arrow_udf(_good_part(leading, trailing, *window), "from int, len int")("qual").alias("_part"))
+    cut = once(ends, _from=F.col("_part.from"), _len=F.col("_part.len"))
     return cut.where(F.col("_len") >= minlen).select(
         *[c for c in reads.columns if c not in ("seq", "qual")],
         F.col("seq").substr(F.col("_from"), F.col("_len")).alias("seq"),
-        F.slice("_kept", F.lit(1), F.col("_len")).alias("qual"),
+        F.slice("qual", F.col("_from"), F.col("_len")).alias("qual"),
     )
 
 

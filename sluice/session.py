@@ -66,8 +66,8 @@ def plan_bytes(df: DataFrame) -> int:
 def bounded_bytes(df: DataFrame) -> int | None:
     """Upper estimate of ``df`` in bytes, or None where the estimate proves nothing.
 
-    Catalyst takes an exploded side for as small as its input, so a plan with a generator
-    has no bound until it is stored.
+    Catalyst takes an exploded side for as small as its input, so a plan with a generator, or
+    a function that makes rows, has no bound until it is stored.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return None if "Generate " in plan else plan_bytes(df)
+    return None if "Generate " in plan or "MapInArrow " in plan else plan_bytes(df)
