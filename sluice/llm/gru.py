@@ -88,15 +88,21 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Numbered words with their counts, in order of frequency, and the corpus totals."""
+    """Numbered words with their counts, in order of frequency, and the corpus totals.
 
-    words: list[str]
+    The words stay an Arrow column, which takes a tenth of the memory of Python strings in every
+    worker.
+    """
+
+    words: pa.Array | list[str]
     counts: np.ndarray
     tokens: int
     distinct: int
     ends: int
 
     def __post_init__(self) -> None:
+        if not isinstance(self.words, pa.Array):
+            self.words = pa.array(self.words, pa.string())
         n = len(self.words)
         sharp = min(n, SHARP)
         self.first_flat = -(-SHARP // SHARP_CLASS)
@@ -387,7 +393,7 @@ def train_slice(
 def _numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
     """Numbers of words; words without a number get the last one."""
     found = pc.index_in(words, value_set=known)
-    return pc.fill_null(found, len(known) + 1).to_numpy().astype(np.int64)
+    return pc.fill_null(found, len(known) + 1).to_numpy()
 
 
 def _encoded(docs: DataFrame, v: Vocabulary, shards: int, id_col: str, text_col: str) -> DataFrame:
@@ -395,7 +401,7 @@ def _encoded(docs: DataFrame, v: Vocabulary, shards: int, id_col: str, text_col:
     shared = docs.sparkSession.sparkContext.broadcast(v.words)
 
     def encode(batches):
-        known = pa.array(shared.value, pa.string())
+        known = shared.value
         for batch in batches:
             _, offsets = flat(batch.column(1))
             for a, b in slices(offsets, SLICE):
@@ -420,13 +426,14 @@ def _of_shards(batches):
     for batch in batches:
         for shard, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if held and (shard != own or size >= TRAIN_TOKENS):
-                yield own, np.concatenate(held), np.r_[0, np.cumsum([len(n) for n in held])]
-                held, size = [], 0
+                bounds, numbers, held, size = np.r_[0, np.cumsum([len(n) for n in held])], np.concatenate(held), [], 0
+                yield own, numbers, bounds
             own = shard
-            held.append(np.frombuffer(codes.as_buffer(), "<i4").astype(np.int64))
+            held.append(np.frombuffer(codes.as_buffer(), "<i4"))
             size += len(held[-1]) + 1
     if held:
-        yield own, np.concatenate(held), np.r_[0, np.cumsum([len(n) for n in held])]
+        bounds, numbers, held = np.r_[0, np.cumsum([len(n) for n in held])], np.concatenate(held), []
+        yield own, numbers, bounds
 
 
 def _added(rows: DataFrame) -> tuple[np.ndarray, int] | None:
@@ -527,7 +534,7 @@ def learn_vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     table = short.where(F.col("_range") >= lowest).select("word", "c").toArrow()
     top = table.sort_by([("c", "descending"), ("word", "ascending")])
     return Vocabulary(
-        top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64), int(total["n"]) + documents,
+        top["word"].combine_chunks().cast(pa.string()), top["c"].to_numpy().astype(np.int64), int(total["n"]) + documents,
         int(total["v"]) + (documents > 0), documents,
     )
 
@@ -550,22 +557,23 @@ def score_texts(
     def score(batches):
         w, state = shared.value
         v = Vocabulary(*state)
-        known = pa.array(v.words, pa.string())
-        base, n_known = v.base_log, len(v.words)
+        known, n_known = v.words, len(v.words)
+        base = np.r_[v.base_log, 0.0]  # words without a number are added up by the join
         for whole in batches:
             _, offsets = flat(whole.column(1))
             for a, b in slices(offsets, SLICE):
                 batch = whole.slice(a, b - a)
                 words, bounds = word_lists(batch.column(1))
                 numbers = _numbered(words, known)
-                row = np.repeat(np.arange(b - a), np.diff(bounds))
+                row = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(bounds))
                 rest = numbers > n_known
-                head = np.bincount(row[~rest], weights=base[numbers[~rest]], minlength=b - a) + base[n_known]
-                likely = log_likelihoods(w, numbers, bounds, v) / np.log(10)
+                head = np.bincount(row, weights=base[numbers], minlength=b - a) + base[n_known]
                 rests = np.bincount(row[rest], minlength=b - a)
-                unknown = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(rests)].astype(np.int32)), words.filter(pa.array(rest))
-                )
+                left = words.filter(pa.array(rest))
+                del words, row, rest
+                pa.default_memory_pool().release_unused()
+                likely = log_likelihoods(w, numbers, bounds, v) / np.log(10)
+                unknown = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rests)].astype(np.int32)), left)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.diff(bounds) + 1), pa.array(np.diff(bounds) - rests),
                      pa.array(head), pa.array(likely), unknown],

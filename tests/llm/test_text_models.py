@@ -339,3 +339,15 @@ def test_a_weak_conjunction_does_not_end_the_search():
     bad[(noise > 0.8) & (rng.uniform(size=n) < 0.8)] = True
     rules = learn_list({"noise": noise, "clear": clear}, bad)
     assert any(term[0] == "clear" for rule in rules for term in rule)
+
+
+def test_vocabulary_and_shards_stay_small_in_workers():
+    words = [f"word{i}" for i in range(1000)]
+    v = Vocabulary(words, np.full(1000, 3), 4000, 1001, 1000)
+    assert isinstance(v.words, pa.Array) and v.words.to_pylist() == words
+    again = Vocabulary(*v.state)
+    assert again.words.equals(v.words) and (again.cls == v.cls).all()
+    codes = [np.arange(n, dtype="<i4").tobytes() for n in (3, 0, 5)]
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 1], pa.int32()), pa.array(codes, pa.binary())], names=["shard", "codes"])
+    found = [(own, numbers.dtype.itemsize, numbers.tolist(), bounds.tolist()) for own, numbers, bounds in gru._of_shards([rows])]
+    assert found == [(0, 4, [0, 1, 2], [0, 3, 3]), (1, 4, [0, 1, 2, 3, 4], [0, 5])]
