@@ -16,8 +16,9 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: Characters that no word has, once A-Z are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of a text in any case. Single characters make a table lookup of the
+#: regex, which ranges do not.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -249,6 +250,17 @@ def _rule_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def _needed(keyword: str) -> list[list[str]]:
+    """For each word of a keyword the whole words one of which every match of its rules has."""
+    spelled = {"licen": ["license", "licence"]}
+    for short in ("gpl", "lgpl", "agpl", "gfdl"):  # the version may stand right behind the name
+        ends = ["", "v", "version", *[f"{v}{n}" for v in ("", "v") for n in "123"]]
+        spelled[short] = [short + end for end in ends]
+    if keyword == "version 2 of":  # is not part of its rule's match, so the last word may go on
+        keyword = "version 2"
+    return [spelled.get(word, [word]) for word in keyword.split()]
+
+
 def _blanks(text: Column | str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -261,17 +273,24 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     keywords = sorted({k for _, k, _, _, _ in signature_rules()})
 
-    def likely(low: Column) -> Column:
-        # A keyword of two words may be split by any separators, so its words are looked for
-        # one by one.
+    known = sorted({w for k in keywords for choice in _needed(k) for w in choice})
+
+    def likely(held: Column) -> Column:
         tests = [
-            F.when(_all(F.contains(low, F.lit(w)) for w in keyword.split()), F.lit(keyword))
+            F.when(
+                _all(F.arrays_overlap(held, F.array(*map(F.lit, choice))) for choice in _needed(keyword)),
+                F.lit(keyword),
+            )
             for keyword in keywords
         ]
         return F.array_compact(F.array(*tests))
 
-    # The lambda binds the lowered text, so it is made once and not once for each keyword.
-    hits = F.transform(F.array(F.lower("_text")), likely)[0]
+    # One pass over the words leaves the few that a keyword has, so no text is searched once for
+    # each keyword. Words of ASCII are lowered alike by any rule.
+    words = F.split(F.lower("_text"), BETWEEN, -1)
+    held = F.array_intersect(words, F.array(*map(F.lit, known)))
+    # The lambda binds the words held, so they are found once and not once for each keyword.
+    hits = F.transform(F.array(held), lambda h: F.when(F.size(h) > 0, likely(h)))[0]
     gated = (
         docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
         .withColumn("_likely", hits)
@@ -345,6 +364,11 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _word_count(text: Column) -> Column:
+    """Words of a text; a word is put before and after, so no piece of the split is empty."""
+    return (F.size(F.split(F.concat(F.lit("a "), text, F.lit(" a")), BETWEEN, -1)) - 2).cast("long")
+
+
 def _all(tests) -> Column:
     out = None
     for test in tests:
@@ -378,7 +402,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(
         F.col(f"`{id_col}`").alias(id_col),
         F.xxhash64(F.col(f"`{text_col}`")).alias("_own"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
+        _word_count(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("n_words"),
     )
     joined = narrow.join(
         found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left"
