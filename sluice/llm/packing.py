@@ -30,6 +30,20 @@ BATCH_BYTES = 6 << 20
 _LETTERS = "a-zÀ-ÖØ-öø-ÿ"
 
 
+def _joined(words: pa.Array) -> str:
+    """The words with a blank between them."""
+    offsets = pa.array([0, len(words)], pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, words.cast(pa.string())), " ")[0].as_py()
+
+
+def _runs(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that the places name by number, one after the other."""
+    count = sizes[places]
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(begin[places] - (ends - count), count) + np.arange(total)]
+
+
 class WordEncoder:
     """Ids of texts from the ids of their distinct words.
 
@@ -54,8 +68,9 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        #: The blank between two words is a part without ids.
+        self.parts: dict[str, int] = {" ": 0}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def raw(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,8 +87,10 @@ class WordEncoder:
         # Lowered ASCII is what it is to the normaliser: straight to the merges.
         merges = self.tokenizer.model.tokenize
         plain = [p for p in parts if p.isascii()]
-        single = [[t.id for t in merges(p)] for p in plain]
-        keep(plain, [i for one in single for i in one], [len(one) for one in single])
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            single = list(map(merges, some))
+            keep(some, [t.id for one in single for t in one], list(map(len, single)))
         other = [p for p in parts if not p.isascii()]
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
@@ -89,21 +106,22 @@ class WordEncoder:
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and their numbers."""
         plain = pc.match_substring_regex(words, self.simple).to_numpy(zero_copy_only=False)
-        cut = pa.array(self.cut(" ".join(words.filter(pa.array(plain)).to_pylist())), pa.string())
-        coded = cut.dictionary_encode()
-        parts = coded.dictionary.to_pylist()
-        blank = parts.index(" ") if " " in parts else -1
-        if len(self.parts) + len(parts) > REMEMBERED:
-            self.forget()
-        self._learn([p for p in parts if p != " " and p not in self.parts])
-        numbers = np.array([self.parts.get(p, -1) for p in parts], np.int64)
-        where = coded.indices.to_numpy().astype(np.int64)
-        seams = np.flatnonzero(where == blank)
-        per_word = np.diff(np.r_[-1, seams, len(where)]) - 1 if len(where) else np.zeros(0, np.int64)
-        sequence = numbers[where[where != blank]]
-        begin = np.cumsum(self.sizes) - self.sizes
+        told = words.filter(pa.array(plain))
+        cut = self.cut(_joined(told)) if len(told) else []
+        numbers = list(map(self.parts.get, cut))
+        if None in numbers:
+            new = list(dict.fromkeys(p for p, n in zip(cut, numbers, strict=True) if n is None))
+            if len(self.parts) + len(new) > REMEMBERED:
+                self.forget()
+                new = [p for p in dict.fromkeys(cut) if p != " "]
+            self._learn(new)
+            numbers = list(map(self.parts.get, cut))
+        sequence = np.array(numbers, np.int64)
+        seams = np.flatnonzero(sequence == 0)
+        per_word = np.diff(np.r_[-1, seams, len(sequence)]) - 1 if len(sequence) else np.zeros(0, np.int64)
+        sequence = sequence[sequence != 0]
         count = self.sizes[sequence]
-        ids = self.ids[np.repeat(begin[sequence], count) + spread(count)]
+        ids = _runs(self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, sequence)
         sums = np.r_[0, np.cumsum(count)]
         ends = np.cumsum(per_word)
         sizes = np.zeros(len(words), np.int64)
@@ -128,11 +146,9 @@ class WordEncoder:
         bounds = bounds - bounds[0]
         coded = values.dictionary_encode()
         ids, sizes = self._words(coded.dictionary)
-        begin = np.cumsum(sizes) - sizes
         place = coded.indices.to_numpy()
-        count = sizes[place]
-        out = ids[np.repeat(begin[place], count) + spread(count)]
-        offsets = np.r_[0, np.cumsum(count)][bounds]
+        out = _runs(ids, np.cumsum(sizes) - sizes, sizes, place)
+        offsets = np.r_[0, np.cumsum(sizes[place])][bounds]
         if special.any():  # the tokenizer looks for these strings before it lowers anything
             texts = [out[offsets[k] : offsets[k + 1]] for k in range(rows)]
             for k in np.flatnonzero(special).tolist():
