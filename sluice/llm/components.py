@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.session import materialize
+from sluice.session import bounded_bytes, materialize
+
+#: Stored bytes of edges for one file of a round, some million edges.
+FILE_BYTES = 8 << 20
+
+
+def _by_size(rows: DataFrame, size: int | None) -> DataFrame:
+    """Rows made from ``size`` stored bytes of edges, in as many files as these need.
+
+    On a local disk Hadoop starts some three processes for each file (``chmod``), so few rows
+    are not written in as many files as a shuffle has partitions.
+    """
+    if size is None:
+        return rows
+    files = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    return rows.coalesce(min(files, 1 << 20))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,9 +32,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     with very many edges is split by adaptive execution.
     """
     known = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
-    both = materialize(known.union(known.select("b", "a")).distinct(), "edges")
+    both = materialize(_by_size(known.union(known.select("b", "a")).distinct(), bounded_bytes(edges)), "edges")
+    size = bounded_bytes(both)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    labels = materialize(labels.withColumn("label", F.least("node", "label")), "labels")
+    labels = materialize(_by_size(labels.withColumn("label", F.least("node", "label")), size), "labels")
     while True:
         near = (
             both.join(labels, both.b == labels.node)
@@ -33,7 +49,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jumped = hooked.join(jump, hooked.label == jump["_to"], "left").select(
             "node", "before", F.least("label", "_further").alias("label")
         )
-        stored = materialize(jumped, "labels")
+        stored = materialize(_by_size(jumped, size), "labels")
         labels = stored.select("node", "label")
         if stored.where("label != before").isEmpty():
             return labels
