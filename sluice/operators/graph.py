@@ -14,6 +14,8 @@ from sluice.operators.skew import lookup, scan_before
 from sluice.session import materialize, plan_bytes
 
 TASK_BYTES = 1 << 20  # estimated bytes of vertices and edges that one task compares
+MOST_TASKS = 20_000  # tasks that an estimate asks for at most
+UNKNOWN = 1 << 62  # Catalyst takes an input without statistics for larger
 # The frame of the exported graph document.
 GRAPH_OPEN = '{"graph":{"mode":"NORMAL","vertices":['
 GRAPH_MIDDLE = '],"edges":['
@@ -63,7 +65,8 @@ def _without(vertices: DataFrame, edges: DataFrame, end: str) -> DataFrame:
     put shuffled rows together by their packed size, many times less than what a sort holds.
     """
     size = plan_bytes(vertices) + plan_bytes(edges)
-    tasks = max(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    by_size = min(size // TASK_BYTES, MOST_TASKS) if size < UNKNOWN else 0
+    tasks = max(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
     there = edges.select(F.col(end).alias("uid")).repartition(tasks, "uid").distinct()
     return vertices.repartition(tasks, "uid").join(there.hint("merge"), "uid", "left_anti")
 
