@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from sluice.operators.fingerprints import group_uid
 from sluice.operators.skew import lookup, scan_before
-from sluice.session import materialize, plan_bytes
+from sluice.session import UNKNOWN, materialize, plan_bytes
 
 TASK_BYTES = 1 << 20  # estimated bytes of vertices and edges that one task compares
 MOST_TASKS = 20_000  # tasks that an estimate asks for at most
-UNKNOWN = 1 << 62  # Catalyst takes an input without statistics for larger
 # The frame of the exported graph document.
 GRAPH_OPEN = '{"graph":{"mode":"NORMAL","vertices":['
 GRAPH_MIDDLE = '],"edges":['

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from __spark_entry__ import queries
-from sluice.operators import align, skew
+from sluice.operators import align, kmers, skew
 from sluice.operators import packed as codes
 from sluice.session import shared_dir
 
@@ -93,3 +93,58 @@ def test_ids_of_other_types_are_mapped(spark):
             index = align.build_index(contigs, stored=stored, **setting)
             got = align.seed_map(reads, index, contigs, **setting).select("read_id", "pos").collect()
             assert {int(float(r.read_id)): r.pos for r in got} == {i: i + 1 for i in range(0, 300, 7)}
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 19])
+@pytest.mark.parametrize("k", [3, 5, 20, 33])
+def test_seeds_of_a_contig_are_counted_in_pieces_too(spark, monkeypatch, at_once, k):
+    monkeypatch.setattr(align, "SEEDS", at_once)
+    rng = random.Random(8)
+    rows = [(i, f"c{i % 9}", "".join(rng.choices("ACGT" if i % 4 else "ACGTNé😀", k=rng.randrange(60)))) for i in range(20)]
+    rows += [(20, "c1", "ACGT" * 20), (21, None, "ACGTTGCAAC" * 4), (22, "none", None), (23, "short", "A"), (24, "empty", "")]
+    contigs = spark.createDataFrame(rows, "ord long, contig string, seq string")
+    seeds = align.seed_index(contigs.repartition(2, "contig").sortWithinPartitions("contig"), k)
+    expected = [(s[i : i + k], c, i + 1) for _, c, s in rows for i in range(len(s or "") - k + 1)]
+    assert sorted(map(tuple, seeds.collect()), key=str) == sorted(expected, key=str)
+    got = {r.contig: tuple(r)[1:] for r in align.seed_report(seeds).collect()}
+    for name in {c for _, c, _ in expected}:
+        own = [(w, p) for w, c, p in expected if c == name]
+        words = [w.encode() for w, _ in own]
+        assert got.pop(name) == (len(own), len(set(words)), sum(p for _, p in own), min(words).decode(), max(words).decode())
+    assert not got
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "ACGTN"])
+def test_no_runs_are_stored_for_counting(spark, letters):
+    rng = random.Random(9)
+    genome = "".join(rng.choices(letters, k=2000))
+    rows = [(f"r{i}", 1, genome[at : at + 70]) for i, at in enumerate(rng.choices(range(1900), k=400))]
+    reads = spark.createDataFrame(rows, "read_id string, mate int, seq string")
+    before = written(spark)
+    expected = {r.kmer: r.n for r in kmers._string_counts(kmers.explode_kmers(reads, 20)).collect()}
+    counts = kmers.kmer_count(reads, 20)
+    assert {r.kmer: r.n for r in counts.collect()} == expected and written(spark) == before
+    stored = kmers.store_counts(counts)
+    assert {r.kmer: r.n for r in stored.collect()} == expected
+    assert [name.rsplit("-", 1)[0] for name in written(spark) if name not in before] == ["counts"]
+
+
+def test_runs_of_a_read_take_few_bytes(spark):
+    """Lengths, places and names of runs travel by weight, many in a row."""
+    rng = random.Random(10)
+    table = pa.table({"seq": ["".join(rng.choices("ACGT", k=80)) for _ in range(4000)]})
+    reads = spark.createDataFrame(table.to_pandas())
+    rows = kmers._bucketed_runs(reads.coalesce(1), 20, True, 64, np.array([], np.int64), False).collect()
+    assert len(rows) <= 64  # 4000 reads are one stretch
+    lengths = b"".join(bytes(r.lengths[r.runs :]) for r in rows)
+    assert not any(lengths)  # no length needs a second byte
+
+
+def test_buckets_follow_the_size_of_the_reads(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([("r", 1, "ACGT" * 30)], "read_id string, mate int, seq string").write.parquet(f"{tmp_path}/reads")
+    reads, tasks = spark.read.parquet(f"{tmp_path}/reads"), kmers._tasks(spark.range(1))
+    assert kmers._buckets(reads, 64) == 64 * tasks
+    monkeypatch.setattr(kmers, "BUCKET_BYTES", 1)
+    assert kmers._buckets(reads, 64) > 64 * tasks
+    unknown = spark.createDataFrame([("r", 1, "ACGT")], "read_id string, mate int, seq string")
+    assert kmers._buckets(unknown, 64) == 64 * tasks
