@@ -148,3 +148,15 @@ def test_buckets_follow_the_size_of_the_reads(spark, monkeypatch, tmp_path):
     assert kmers._buckets(reads, 64) > 64 * tasks
     unknown = spark.createDataFrame([("r", 1, "ACGT")], "read_id string, mate int, seq string")
     assert kmers._buckets(unknown, 64) == 64 * tasks
+
+
+@pytest.mark.parametrize("limit", [-1, 1 << 800])
+def test_large_mappings_are_stored_before_hot_keys_are_looked_for(spark, monkeypatch, limit):
+    monkeypatch.setattr(align, "SALT_FROM_BYTES", limit)
+    text = "".join(random.Random(7).choices("ACGT", k=300))
+    contigs = spark.createDataFrame([(1, "a", text)], "ord long, contig string, seq string")
+    reads = spark.createDataFrame([(f"r{i}", 1, text[i : i + 90]) for i in (0, 50, 200)], "read_id string, mate int, seq string")
+    before = written(spark)
+    got = align.seed_map(reads, align.build_index(contigs, stored=False), contigs).collect()
+    assert {r.read_id: r.pos for r in got} == {"r0": 1, "r50": 51, "r200": 201}
+    assert [n.rsplit("-", 1)[0] for n in written(spark) if n not in before] == ["placed"] * (limit < 0)
